@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,24 @@ def build_session(app: str = "titleforge", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application, wherever they were started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_titleforge", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp())  # on the driver, which serves the file
+    archive = folder / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._titleforge = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of a data folder."""
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
