@@ -4,21 +4,24 @@ b-bit MinHash: each title's shingles give minima under many hash functions; band
 propose candidates; the low b bits of all minima, packed into longs, estimate the similarity by bit
 counts, corrected for chance collisions; what stays is checked exactly.
 
-Large bands never give all pairs. First every member is held against the band's pivot only; the
+Bands are sorted and scanned; members meet only if their letters allow it. Large bands never give
+all pairs: every member is first held against the band's pivot and its neighbours in the sort; the
 links found so far are closed to components; then only members of one band that are still in
 different components are paired."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titleforge.llm.arrow import bucket_counts, over_batches
+from titleforge.llm.arrow import over_batches
 from titleforge.llm.codepoints import from_codepoints, keep, letters_and_digits, lower_case, row_of, to_codepoints
 from titleforge.llm.components import components
-from titleforge.llm.edits import BUCKET_BITS, EditSignatures, bucket_of, mixed
+from titleforge.llm.edits import EditSignatures, letter_bags, mixed
 from titleforge.session import cut_lineage
 
 BREAK = 0x1F  # between segments
@@ -56,7 +59,7 @@ def shingles(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 class MinHash:
     """`bands` bands of `width` minima each; `bits` low bits of every minimum are packed into longs."""
 
-    def __init__(self, bands: int = 64, width: int = 3, bits: int = 2, seed: int = 20240229) -> None:
+    def __init__(self, bands: int = 64, width: int = 4, bits: int = 2, seed: int = 20240229) -> None:
         self.bands, self.width, self.bits = bands, width, bits
         self.rows = bands * width
         assert self.rows % (64 // bits) == 0
@@ -103,25 +106,80 @@ class MinHash:
         return (agree - F.lit(chance)) / F.lit(1 - chance)
 
 
+SMALL = 32  # members of a band up to which they are held against each other at once
+BAND = "band long, node long, bag long"
+
+
+def _meet(edits: int):
+    """Scans a partition sorted by (band, node): candidate pairs within bands, by kind.
+
+    kind 0: a pair (a, b) whose letter bags allow the edits. A band of up to SMALL members is compared
+    whole; of a larger one each member meets the first (the pivot) and its SMALL - 1 predecessors, and
+    its members come out once more as kind 1 (band, a) with their bag. At no time more than a batch
+    and SMALL rows are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = np.zeros(0, np.int64)
+        held, seen = [empty, empty, empty], 0  # the open run's rows (its last ones if it is large), its members so far
+        pivot = (0, 0)
+        large = False
+
+        def out(kind: int, band: np.ndarray, a: np.ndarray, b: np.ndarray, bag: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"kind": np.full(len(a), kind, np.int8), "band": band, "a": a, "b": b, "bag": bag})
+
+        def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return np.bitwise_count((x ^ y).view(np.uint64)) <= 2 * edits
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = [np.asarray(batch.column(k)) for k in range(3)]
+            old = len(held[0])
+            band, node, bag = (np.concatenate([h, f]) for h, f in zip(held, fresh))
+            starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+            sizes = np.diff(np.append(starts, len(band)))
+            total = sizes.copy()
+            first_node, first_bag = node[starts].copy(), bag[starts].copy()
+            if old:
+                total[0] += seen - old
+                first_node[0], first_bag[0] = pivot
+            run_of = np.repeat(np.arange(len(starts)), sizes)
+            index = np.arange(len(band))
+            is_new = index >= old
+            for d in range(1, SMALL):
+                if sizes.max() <= d:
+                    break
+                hit = np.flatnonzero((run_of[d:] == run_of[:-d]) & is_new[d:] & alike(bag[d:], bag[:-d]))
+                if len(hit):
+                    yield out(0, band[hit], node[hit], node[hit + d], bag[hit])
+            big = (total > SMALL)[run_of]
+            far = np.flatnonzero(big & is_new & (node != first_node[run_of]) & alike(bag, first_bag[run_of]))
+            if len(far):
+                yield out(0, band[far], first_node[run_of[far]], node[far], bag[far])
+            # members of large runs; those held back while the run was small come out when it grows
+            late = big & (is_new | ((run_of == 0) & (not large)))
+            if late.any():
+                yield out(1, band[late], node[late], node[late], bag[late])
+            last = int(starts[-1])
+            pivot = int(first_node[-1]), int(first_bag[-1])
+            seen, large = int(total[-1]), bool(total[-1] > SMALL)
+            keep_from = max(last, len(band) - SMALL + 1) if large else last
+            held = [band[keep_from:], node[keep_from:], bag[keep_from:]]
+
+    return run
+
+
 def near_groups(
-    titles: DataFrame,
-    *,
-    id_col: str = "row_id",
-    text: str = "title",
-    edits: int = 3,
-    common_share: float = 0.04,
-    least_rare: int = 8,
-    least_estimate: float = 0.2,
-    minhash: MinHash | None = None,
+    titles: DataFrame, *, id_col: str = "row_id", text: str = "title", edits: int = 3, least_estimate: float = 0.2, minhash: MinHash | None = None, hot: int = 200_000
 ) -> DataFrame:
     """(id, first_id): the group of every row that is not null; first_id is its smallest id.
 
     Two texts are near if their letters and digits, without case, differ by at most `edits` edits, or
-    if they have the same segments in any order. Groups are closed under near. Shingles that more than
-    `common_share` of the texts hold tell nothing and are left out of the minima; texts with fewer than
-    `least_rare` others use all their shingles too. Texts so short that shingles fail meet by deletion
-    variants, which is exact. Redelivered ids count once; texts of no letters form one group; null
-    texts are left out; an empty table gives none."""
+    if they have the same segments in any order. Groups are closed under near. Texts so short that
+    shingles fail meet by deletion variants, which is exact. Redelivered ids count once; texts of no
+    letters form one group; null texts are left out; an empty table gives none.
+
+    Bands that more than about `hot` texts share, told from one node in a hundred, are salted."""
     mh, sig = minhash or MinHash(), EditSignatures(edits)
     short = sig.short + sig.edits
 
@@ -133,55 +191,48 @@ def near_groups(
     rows = cut_lineage(over_batches(source, form, "id long, segments string").distinct())
     # one node per distinct text: exact copies never meet each other again
     nodes = cut_lineage(rows.groupBy("segments").agg(F.min("id").alias("node")).select("node", "segments"))
-    total = nodes.count()
 
-    def buckets(batch: pa.RecordBatch) -> np.ndarray:
-        points, offsets, _ = to_codepoints(batch.column(1))
-        return bucket_of(shingles(points, offsets)[1])
-
-    counts = bucket_counts(nodes, buckets, 1 << BUCKET_BITS)
-    limit = max(2.0, common_share * total)
-
-    def signed(points: np.ndarray, offsets: np.ndarray, rare_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    def minima(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows that have shingles, their minima)."""
         row, h = shingles(points, offsets)
-        rare = counts[bucket_of(h)] <= limit
-        if rare_only:
-            use = rare
-        else:
-            few = np.bincount(row[rare], minlength=len(offsets) - 1) < least_rare
-            use = few[row]
-        row, h = row[use], h[use]
         starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
         return row[starts], mh.minima(h, starts) if len(starts) else np.zeros((0, mh.rows), np.uint64)
 
     def bands(batch: pa.RecordBatch) -> dict[str, object]:
         ids = np.asarray(batch.column(0))
         points, offsets, _ = to_codepoints(batch.column(1))
-        owners, keys = [], []
-        for rare_only in (True, False):
-            row, minima = signed(points, offsets, rare_only)
-            owners.append(np.repeat(ids[row], mh.bands))
-            keys.append(mixed(mh.band_keys(minima).ravel(), 3 + rare_only))
         plain, at = keep(points, offsets, points != BREAK)
-        row, h = sig.variants(plain, at, short)
-        return {"node": np.concatenate([*owners, ids[row]]), "band": np.concatenate([*keys, h]).view(np.int64)}
+        bags = letter_bags(plain, at)
+        row, least = minima(points, offsets)
+        few, h = sig.variants(plain, at, short)
+        owner = np.concatenate([np.repeat(row, mh.bands), few])
+        return {"band": np.concatenate([mh.band_keys(least).ravel(), h]).view(np.int64), "node": ids[owner], "bag": bags[owner]}
 
     def signatures(batch: pa.RecordBatch) -> dict[str, object]:
         points, offsets, _ = to_codepoints(batch.column(1))
-        row, h = shingles(points, offsets)
-        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+        row, least = minima(points, offsets)
         words = np.zeros((batch.num_rows, mh.rows * mh.bits // 64), np.int64)
-        if len(starts):
-            words[row[starts]] = mh.packed(mh.minima(h, starts))
+        if len(row):
+            words[row] = mh.packed(least)
         return {"node": batch.column(0), "segments": batch.column(1), "packed": pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), words.shape[1]).cast(pa.list_(pa.int64()))}
 
-    banded = cut_lineage(over_batches(nodes, bands, "node long, band long"))
-    signed_nodes = cut_lineage(over_batches(nodes, signatures, "node long, segments string, packed array<long>"))
+    sampled = over_batches(nodes.where("pmod(xxhash64(node), 100) = 0"), bands, BAND).groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > hot // 100)
+    crowds = {r.band: 1 + r.n * 100 // hot for r in sampled.collect()}  # each stands for `hot` rows: their number is bounded by rows * bands / hot
+    banded = over_batches(nodes, bands, BAND)
+    salt = F.lit(0)
+    if crowds:
+        parts = spark_map(crowds)
+        salt = F.coalesce(F.pmod(F.xxhash64("node"), parts[F.col("band")]), F.lit(0)).cast("int")
+    shuffled = banded.withColumn("salt", salt).repartition("band", "salt").sortWithinPartitions("band", "salt", "node").select("band", "node", "bag")
+    met = cut_lineage(shuffled.mapInArrow(_meet(edits), "kind byte, band long, a long, b long, bag long"))
 
     def near(pairs: DataFrame) -> DataFrame:
-        """The pairs that pass the estimate and the exact check."""
+        """The pairs that pass the estimate and the exact check; signatures are made for their nodes only."""
+        pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        signed = cut_lineage(over_batches(nodes.join(wanted, "node", "left_semi"), signatures, "node long, segments string, packed array<long>"))
         for side in "ab":
-            pairs = pairs.join(signed_nodes.select(F.col("node").alias(side), F.col("packed").alias(f"{side}_packed"), F.col("segments").alias(f"{side}_text")), side)
+            pairs = pairs.join(signed.select(F.col("node").alias(side), F.col("packed").alias(f"{side}_packed"), F.col("segments").alias(f"{side}_text")), side)
         plain = {side: F.replace(f"{side}_text", F.lit(chr(BREAK)), F.lit("")) for side in "ab"}
         order = {side: F.array_sort(F.split(f"{side}_text", chr(BREAK))) for side in "ab"}
         tiny = F.least(F.length(plain["a"]), F.length(plain["b"])) < short
@@ -191,21 +242,27 @@ def near_groups(
             .select("a", "b")
         )
 
-    pivots = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    pivots = cut_lineage(pivots)
-    star = banded.join(pivots, "band").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = cut_lineage(near(star))
-    found = components(first)
-    placed = banded.join(pivots.where("members > 2").select("band", "pivot"), "band").join(found.withColumnRenamed("root", "r"), "node", "left")
-    placed = placed.select("band", "node", "pivot", F.coalesce("r", "node").alias("root"))
-    open_bands = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    rest = cut_lineage(placed.join(open_bands, "band").where("node <> pivot").select("band", "node", "root"))
-    left, right = rest.alias("l"), rest.alias("r")
-    more = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")))
-    second = near(more.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct())
-    groups = components(first.unionByName(second))
-    placed_rows = rows.join(nodes, "segments").join(groups, "node", "left")
-    return placed_rows.select("id", F.coalesce("root", "node").alias("first_id"))
+    candidates = met.where("kind = 0").select("a", "b")
+    crowd = met.where("kind = 1").select("band", F.col("a").alias("node"), "bag")
+    alike = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * edits
+    if crowds:  # the salted parts' pivots meet the least of them
+        first = crowd.groupBy("band", F.pmod(F.xxhash64("node"), F.lit(64)).alias("p")).agg(F.min("node").alias("b"))
+        candidates = candidates.unionByName(first.join(crowd.groupBy("band").agg(F.min("node").alias("a")), "band").where("a <> b").select("a", "b"))
+    links = cut_lineage(near(candidates))
+    groups = components(links)
+    placed = crowd.join(groups.withColumnRenamed("root", "r"), "node", "left").select("band", "node", "bag", F.coalesce("r", "node").alias("root"))
+    apart = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
+    rest = cut_lineage(placed.join(apart, "band"))
+    if not rest.isEmpty():
+        left, right = rest.alias("l"), rest.alias("r")
+        more = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & alike("l.bag", "r.bag"))
+        groups = components(links.unionByName(near(more.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))))
+    return rows.join(nodes, "segments").join(groups, "node", "left").select("id", F.coalesce("root", "node").alias("first_id"))
+
+
+def spark_map(values: dict[int, int]) -> Column:
+    """A small dictionary as a map column."""
+    return F.map_from_arrays(F.lit(list(values)).cast("array<bigint>"), F.lit(list(values.values())).cast("array<bigint>"))
 
 
 def near_pairs(titles: DataFrame, **options: object) -> DataFrame:
