@@ -213,7 +213,8 @@ def packed(documents: DataFrame, bins: DataFrame, *, id_col: str = "doc_id", tex
             frames.append(got)
         return pd.concat(frames).astype({"doc_id": "Int64"}) if frames else pd.DataFrame(columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return sized.groupBy("_block").applyInPandas(run, OUT)
+    # as many partitions as blocks: the rows are few bytes, so their size says nothing of the work
+    return sized.repartition(blocks, "_block").groupBy("_block").applyInPandas(run, OUT)
 
 
 def packing_report(packing: DataFrame) -> DataFrame:
