@@ -48,9 +48,10 @@ def error_class(status: Column, message: Column) -> Column:
 
 def retry_delay(attempt: Column, retry_after: Column, *, base: float = 2.0, most: float = 60.0, jitter: Column | None = None) -> Column:
     """Seconds to wait: the server's wish, if it is a number, else a doubling delay; both at most `most`."""
-    wish = F.greatest(F.lit(0.0), retry_after.try_cast("double"))
+    number = retry_after.try_cast("double")
+    wish = F.when(number.isNotNull() & ~F.isnan(number), F.greatest(F.lit(0.0), number))
     grown = F.lit(base) * F.pow(F.lit(2.0), attempt) + (F.lit(0.0) if jitter is None else jitter * base)
-    return F.least(F.lit(most), F.coalesce(F.when(F.isnan(wish), None).otherwise(wish), grown))
+    return F.least(F.lit(most), F.coalesce(wish, grown))
 
 
 def thinking_profiles(provider: Column, model_id: Column, base_url: Column) -> Column:

@@ -13,11 +13,12 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The white space that Python's str.strip removes.
 WHITE = r"\t-\r\x1c-\x20\u0085   -     　"
 LABELS = ("Yes", "No")
-RESPONSE = "struct<label:string,explanation:string,confidence:double,format_valid:boolean>"
+RESPONSE = T.StructType([T.StructField("label", T.StringType()), T.StructField("explanation", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("format_valid", T.BooleanType())])
 
 
 def strip(text: Column) -> Column:
@@ -87,8 +88,8 @@ def rescue_label(text: Column) -> Column:
 
 def clamp_confidence(text: Column) -> Column:
     """A number as text, held between 0 and 1; NaN is 0; null where it is no number."""
-    value = F.expr("null").cast("double") if text is None else text.try_cast("double")
-    return F.when(F.isnan(value), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
+    value = text.try_cast("double")
+    return F.when(F.isnan(value), 0.0).when(value.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
 
 
 def _balanced(body: Column) -> Column:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @lru_cache(100_000)
@@ -21,7 +22,7 @@ def _p_value(k: int, n: int) -> float:
     return float(min(1.0, 2.0 * np.exp(top) * np.exp(logs - top).sum()))
 
 
-@F.pandas_udf("double")  # type: ignore[call-overload]
+@F.pandas_udf(T.DoubleType())  # type: ignore[call-overload]
 def exact_binomial(k: pd.Series, n: pd.Series) -> pd.Series:
     """Exact two-sided p at one half of k successes of n, k the smaller side; 1 for n = 0."""
     return pd.Series([_p_value(int(a), int(b)) for a, b in zip(k, n)])

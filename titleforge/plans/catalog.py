@@ -248,7 +248,7 @@ def latest_success(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     sql(
         "pred",
-        "SELECT line_no, model_name, id, s.condition_signature IS NOT NULL AS signed, b.title IS NOT NULL AS current_title, l.status = 'success' AND l.pred_label IN ('Yes', 'No') AS succeeded "
+        "SELECT line_no, model_name, l.id, s.condition_signature IS NOT NULL AS signed, b.title IS NOT NULL AS current_title, l.status = 'success' AND l.pred_label IN ('Yes', 'No') AS succeeded "
         "FROM prediction_log l LEFT JOIN sig s USING (model_name, condition_signature) LEFT JOIN bench b ON l.subset = b.subset AND l.id = b.id AND l.title = b.title",
     )
 )
@@ -290,7 +290,7 @@ def progress_counts(spark: SparkSession, sf: str) -> DataFrame:
     sql(
         "open",
         """SELECT model_name, subset, id, coalesce(n, 0) AS stage FROM open LEFT JOIN (
-            SELECT model_name, subset, id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY model_name, subset, id ORDER BY stage) - 1 AS at FROM limited) WHERE stage = at GROUP BY 1, 2, 3
+            SELECT model_name, subset, id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY model_name, subset, id ORDER BY stage) - 1 AS pos FROM limited) WHERE stage = pos GROUP BY 1, 2, 3
         ) USING (model_name, subset, id)""",
     )
 )
@@ -392,11 +392,11 @@ def ordinal_ids(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("ordinal", tables.ordinal_id(F.lit("row"), F.col("ordinal")).alias("row_id"), "title")
 
 
-@query(sql("bench", "SELECT ordinal, title, CASE WHEN ordinal <= n - 141 THEN 'train' WHEN ordinal <= n - 72 THEN 'dev' ELSE 'test' END AS split FROM ordered", _ORDINAL))
+@query(sql("bench", "SELECT ordinal, title, CASE WHEN ordinal <= n - n * 15 // 100 - n * 16 // 100 THEN 'train' WHEN ordinal <= n - n * 16 // 100 THEN 'dev' ELSE 'test' END AS split FROM ordered", _ORDINAL))
 def positional_split(spark: SparkSession, sf: str) -> DataFrame:
     df = tables.ordered_ordinal(inputs.benchmark(spark, sf).select("subset", "id", "title"), ["subset", "id"])
-    size = min(69, max(1, df.count() // 4))
-    return tables.positional_split(df, size, min(72, max(1, size))if size < 69 else 72).select("ordinal", "title", "split")
+    n = df.count()
+    return tables.positional_split(df, n * 15 // 100, n * 16 // 100).select("ordinal", "title", "split")
 
 
 @query(sql("bench", "SELECT subset, count(*) AS n, count(DISTINCT title) AS titles FROM bench GROUP BY 1"))
@@ -491,7 +491,7 @@ fields AS (
     SELECT *, CASE lower(trim(json_extract_string(j, '$.label'))) WHEN 'yes' THEN 'Yes' WHEN 'no' THEN 'No' END AS l, json_type(j, '$.confidence') AS kind, json_extract_string(j, '$.confidence') AS c FROM checked
 ),
 read AS (
-    SELECT *, CASE WHEN kind IS NULL THEN 0.5 WHEN kind = 'NULL' THEN NULL WHEN c = 'true' THEN 1 WHEN c = 'false' THEN 0 ELSE least(1, greatest(0, TRY_CAST(trim(c) AS DOUBLE))) END AS conf FROM fields
+    SELECT *, CASE WHEN kind IS NULL THEN 0.5 WHEN kind = 'NULL' THEN NULL WHEN c = 'true' THEN 1 WHEN c = 'false' THEN 0 WHEN TRY_CAST(trim(c) AS DOUBLE) IS NOT NULL THEN least(1, greatest(0, TRY_CAST(trim(c) AS DOUBLE))) END AS conf FROM fields
 )
 """
 
