@@ -291,6 +291,12 @@ def _analyse(model: LangModel, rules: Rules, column: pa.Array, labels: list[str
     return docs[at], begin, end, lang[at].astype(np.int64), sure, np.add.reduceat(solid, at)
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, as scoring needs several arrays of a batch's size."""
+    for batch in batches:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def segments(documents: DataFrame, model: LangModel, rules: Rules = Rules()) -> DataFrame:
     """(doc_id, segment, begin, end, lang, confidence, solid) of every segment of one language.
 
@@ -301,9 +307,7 @@ def segments(documents: DataFrame, model: LangModel, rules: Rules = Rules()) ->
     schema = "doc_id long, segment int, begin long, end long, lang string, confidence double, solid long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _small(batches):
             doc, begin, end, lang, sure, solid = _analyse(model, rules, batch.column(1), batch.column(2).to_pylist())
             full = solid > 0
             doc, begin, end, lang, sure, solid = (x[full] for x in (doc, begin, end, lang, sure, solid))
@@ -323,9 +327,7 @@ def document_languages(documents: DataFrame, model: LangModel, rules: Rules = Ru
     schema = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("lang", T.StringType()), ("share", T.DoubleType()), ("confidence", T.DoubleType()), ("several", T.BooleanType()), ("label_ok", T.BooleanType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _small(batches):
             labels = batch.column(2).to_pylist()
             doc, _, _, lang, sure, solid = _analyse(model, rules, batch.column(1), labels)
             if not len(doc):

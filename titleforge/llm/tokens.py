@@ -26,6 +26,7 @@ FOLDER = "/opt/tokenizers"
 # Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK, OVERLAP = 32_768, 1_024  # code points
+ROWS = 500
 
 
 def vocabulary_folder() -> str:
@@ -111,7 +112,8 @@ def _encoded(df: DataFrame, name: str, folder: str, count_only: bool) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(name, folder)
-        for batch in batches:
+        # few texts at a time: their ids as Python numbers need more room than the texts
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             ids = [encode(x) if x else [] for x in batch.column(len(kept)).to_pylist()]
             last = pa.array([len(x) for x in ids], pa.int32()) if count_only else pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], last], names=[*(f.name for f in kept), "n_tokens" if count_only else "ids"])
