@@ -68,7 +68,7 @@ def _vectors(data: Features) -> DataFrame:
     """One row per title: features (sparse vector), y, c."""
     size = data.size
 
-    @F.udf(VectorUDT())
+    @F.udf(VectorUDT(), useArrow=False)  # sparse vectors have no Arrow form; one call per training title
     def vector(index: list[int], weight: list[float]) -> SparseVector:
         return SparseVector(size, index, weight)
 

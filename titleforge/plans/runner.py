@@ -27,7 +27,7 @@ def retrying(scorer: Scorer, retries: int = 3, wait: Callable[[int], None] = lam
     """A scorer that asks again for the rows whose error passes, at most `retries` times in all."""
 
     def run(requests: pd.DataFrame) -> pd.DataFrame:
-        out = scorer(requests).reset_index(drop=True)
+        out = scorer(requests).reset_index(drop=True).astype(object)
         for attempt in range(1, retries):
             again = out.index[out["http_status"].isin(control.RETRYABLE) | (out["error"].fillna("").str.lower().str.contains("|".join(control.NETWORK_TERMS)) & out["http_status"].isna())]
             if not len(again):
