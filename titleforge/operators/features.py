@@ -27,7 +27,7 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
 
 def vocabulary(df: DataFrame, texts: int, *, max_df: float = 0.98, max_features: int = 80_000) -> DataFrame:
     """(index, gram, df, tf) of at most `max_features` grams, those of most occurrences, ties by gram."""
-    if max_features > 2_000_000:
+    if max_features > 1_000_000:
         raise ValueError("the vocabulary must stay small enough for every task")
     top = df.where(F.col("df") <= max_df * texts).orderBy(F.col("tf").desc(), "gram").limit(max_features)
     return top.select((F.row_number().over(Window.orderBy(F.col("tf").desc(), "gram")) - 1).cast("int").alias("index"), "gram", "df", "tf")

@@ -13,17 +13,16 @@ from pyspark.sql import functions as F
 from titleforge.functions.control import stage_budget, stage_cycle
 
 KEY = ("model_name", "subset", "id")
+MOST_MODELS = 10_000
 
 
 def expected_keys(titles: DataFrame, models: DataFrame) -> DataFrame:
     """One row per title and model, with the title's current text and label; models is a short list."""
-    names = models.select("model_name").distinct()
-    if names.limit(10_001).count() > 10_000:
+    names = sorted(r.model_name for r in models.select("model_name").where("model_name is not null").distinct().limit(MOST_MODELS + 1).collect())
+    if len(names) > MOST_MODELS:
         raise ValueError("more models than one title can be matched with at once")
     t = titles.select("subset", "id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("gold_label", F.lit("")).alias("gold_label"))
-    every = names.agg(F.sort_array(F.collect_set("model_name")).alias("names"))
-    # the list of names rides along as one literal-like row: no pair of tables is crossed row by row
-    return t.join(F.broadcast(every)).select(F.explode("names").alias("model_name"), "subset", "id", "title", "gold_label")
+    return t.select(F.explode(F.lit(names).cast("array<string>")).alias("model_name"), "subset", "id", "title", "gold_label")
 
 
 def current_signatures(log: DataFrame) -> DataFrame:

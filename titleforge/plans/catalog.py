@@ -534,7 +534,7 @@ def prompt_build(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def request_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    keys = inputs.expected(spark, sf).join(F.broadcast(inputs.models(spark, sf)), "model_name")
+    keys = inputs.expected(spark, sf).join(inputs.models(spark, sf), "model_name")
     prompts = text.messages(F.lit("Judge the title."), text.user_prompt(F.col("title")))
     body = control.request_body(F.col("model_id"), prompts, F.col("token_parameter"), F.lit(STAGES[0]), F.col("thinking_profiles")[0])
     return keys.select("model_name", "subset", "id", body.alias("body"))
@@ -651,9 +651,9 @@ def _nb_contrast(spark: SparkSession, sf: str, alpha: float = 0.5) -> tuple[Data
     """(index, feature, weight) of complement naive Bayes, all in tables."""
     data = estimators.prepare(_part(spark, sf, "train"))
     sums = estimators.complement_sums(data.rows).select("index", (F.col("no") + alpha).alias("no"), (F.col("yes") + alpha).alias("yes"))
-    total = sums.agg(F.sum("no").alias("a"), F.sum("yes").alias("b"))
-    weight = (F.log("no") - F.log("a")) - (F.log("yes") - F.log("b"))
-    table_ = sums.join(F.broadcast(total)).select("index", (-weight).alias("weight"))
+    total = sums.agg(F.sum("no").alias("a"), F.sum("yes").alias("b")).first()
+    weight = (F.log("yes") - F.log(F.lit(total.b))) - (F.log("no") - F.log(F.lit(total.a)))
+    table_ = sums.select("index", weight.alias("weight"))
     return table_.join(data.vocab.select("index", F.col("gram").alias("feature")), "index"), data
 
 

@@ -65,6 +65,13 @@ def shared_folder(spark: SparkSession) -> str:
     return own.as_uri()
 
 
+def tasks_for(df: DataFrame, rows_per_task: int = 50_000) -> int:
+    """How many tasks work that takes long per row should have: at least one per core.
+
+    Shuffles are sized by bytes, which says nothing of the work that follows."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read from there, so that a lost executor
     costs no recomputation and each reader sees the same rows."""
