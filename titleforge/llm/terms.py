@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from titleforge.llm.arrow import over_batches
 from titleforge.llm.codepoints import from_codepoints, row_of, to_codepoints
-from titleforge.session import cut_lineage
+from titleforge.session import cut_lineage, tasks_for
 
 FLUSH = 2_000_000  # pairs a task holds before it writes entries
 PART = (1 << 21) - 1
@@ -105,8 +105,8 @@ def term_counts(
     `common_above` of the records, else null. Texts are taken as stored. Empty texts count as records
     without terms; an empty table gives no rows."""
     assert all(1 <= s <= 3 for s in sizes)
-    once = titles.where(F.col(text).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(text).cast("string")).alias("text"))
-    once = cut_lineage(once)
+    rows = titles.where(F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    once = cut_lineage(rows.repartition(tasks_for(rows), "id").groupBy("id").agg(F.min("text").alias("text")))
     total = once.count()
     entries = cut_lineage(once.mapInArrow(_entries(sizes), "term long, record long, occurrences long, records long"))
     ordered = entries.repartitionByRange("term", "record").sortWithinPartitions("term", "record")
