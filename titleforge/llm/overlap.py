@@ -17,7 +17,7 @@ from titleforge.llm.arrow import bucket_counts, over_batches
 from titleforge.llm.codepoints import from_codepoints, to_codepoints
 from titleforge.llm.edits import BUCKET_BITS, EditSignatures, bucket_of, letter_bags, letter_keys
 from titleforge.llm.visual import unify
-from titleforge.session import cut_lineage
+from titleforge.session import cut_lineage, tasks_for
 
 ENTRY = "class_id long, h long, salt int, place int, size int, bag long"
 
@@ -91,7 +91,8 @@ def cross_split_overlaps(titles: DataFrame, edits: int = 3, train: str = "train"
     rows = title_keys(titles, keep=("split", "source")).groupBy("id").agg(F.min("key").alias("key"), F.min("split").alias("split"), F.min("source").alias("source"))
     rows = cut_lineage(rows)
     is_train = F.coalesce(F.col("split") == train, F.lit(False))
-    classes = cut_lineage(rows.groupBy("key").agg(F.min("id").alias("class_id"), F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval")))
+    # the checkpoint keeps these partitions: cutting shingles takes longer than their bytes tell
+    classes = cut_lineage(rows.repartition(tasks_for(rows), "key").groupBy("key").agg(F.min("id").alias("class_id"), F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval")))
     members = rows.join(classes.select("key", "class_id"), "key").select("id", "split", "source", "class_id", is_train.alias("is_train"))
     same = classes.where("in_train and in_eval").select(F.col("class_id").alias("train_class"), F.col("class_id").alias("eval_class"))
     return members, near_classes(classes, edits).unionByName(same)
