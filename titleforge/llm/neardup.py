@@ -22,7 +22,7 @@ from titleforge.llm.arrow import over_batches
 from titleforge.llm.codepoints import from_codepoints, keep, letters_and_digits, lower_case, row_of, to_codepoints
 from titleforge.llm.components import components
 from titleforge.llm.edits import EditSignatures, letter_bags, mixed
-from titleforge.session import cut_lineage
+from titleforge.session import cut_lineage, tasks_for
 
 BREAK = 0x1F  # between segments
 
@@ -190,7 +190,7 @@ def near_groups(
     source = titles.where(F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("segments"))
     rows = cut_lineage(over_batches(source, form, "id long, segments string").distinct())
     # one node per distinct text: exact copies never meet each other again
-    nodes = cut_lineage(rows.groupBy("segments").agg(F.min("id").alias("node")).select("node", "segments"))
+    nodes = cut_lineage(rows.repartition(tasks_for(rows, 20_000), "segments").groupBy("segments").agg(F.min("id").alias("node")).select("node", "segments"))
 
     def minima(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows that have shingles, their minima)."""
