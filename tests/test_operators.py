@@ -89,6 +89,13 @@ def test_retry_delay(spark):
     assert [r[0] for r in got] == [2.0, 16.0, 60.0, 5.0, 0.0, 60.0, 2.0, 4.0]
 
 
+def test_progress_record(spark):
+    c = F.lit
+    row = spark.range(1).select(control.progress_record(c("request_started"), c("none"), c(1), c("abc"), c(7), c(1.23456)).alias("r"), control.timed_out(c(300.0)).alias("t")).first()
+    assert (row.r.attempt_status, row.r.thinking_observed, row.r.latency_ms, row.r.http_status, row.t) == ("request_started", True, 1234.56, None, True)
+    assert control.request_policy(stages=(1, 2))["token_stages"] == [1, 2]
+
+
 def test_stable_hash():
     assert control.stable_hash({"b": 1, "a": "中"}) == control.stable_hash({"a": "中", "b": 1}) != control.stable_hash({"a": "中", "b": 2})
 

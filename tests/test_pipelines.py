@@ -51,6 +51,17 @@ def test_model_configs(tmp_path):
             readers.model_configs(*bad)
 
 
+def test_environment():
+    assert readers.environment_configs({"LLM_MODEL_NAME": "m"})[0]["base_url"] == "https://api.openai.com/v1"
+    assert readers.environment_configs({}, dry_run=True)[0]["name"] == "example-model"
+    assert [c["name"] for c in readers.environment_configs({"LLM_MODELS_JSON": '[{"model": "a"}, {"model": "b"}]'})] == ["a", "b"]
+    with pytest.raises(ValueError):
+        readers.environment_configs({})
+    assert readers.api_key({"api_key": " k "}, {}) == "k" and readers.api_key({"api_key_env": "V"}, {"V": "x"}) == "x"
+    with pytest.raises(ValueError):
+        readers.api_key({"name": "m"}, {})
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "中"), (2, None)], "a int, b string")
     sinks.write_tables({"t": df, "none": df.limit(0)}, tmp_path)

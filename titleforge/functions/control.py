@@ -130,6 +130,27 @@ def usage(prompt: Column, completion: Column, reasoning: Column, total: Column)
     )
 
 
+def progress_record(status: Column, profile: Column, attempt: Column, content: Column, reasoning_chars: Column, elapsed: Column) -> Column:
+    """The compact record of a running response: its text so far, no hidden reasoning, no usage yet."""
+    none = F.lit(0).cast("long")
+    return F.struct(
+        utc_now().alias("timestamp"), status.alias("attempt_status"), profile.alias("thinking_profile"), attempt.alias("api_attempt"), F.lit("").alias("finish_reason"), content.alias("raw_response"),
+        F.lit("").alias("reasoning_content"), (reasoning_chars > 0).alias("thinking_observed"), reasoning_chars.alias("reasoning_chars"), none.alias("prompt_tokens"), none.alias("completion_tokens"),
+        none.alias("reasoning_tokens"), none.alias("total_tokens"), elapsed_ms(elapsed).alias("latency_ms"), F.lit(None).cast("int").alias("http_status"), F.lit("").alias("error_kind"), F.lit("").alias("error"),
+    )
+
+
+def request_policy(*, stages: Sequence[int], temperature: float = 0.6, top_p: float = 0.95, frequency_penalty: float = 0.5, thinking_budget: int = 1_024, reasoning_effort: str = "high", timeout: float = 300.0, retries: int = 3, **more: Any) -> dict[str, Any]:
+    """The settings all requests share, as one value to sign."""
+    own = dict(temperature=temperature, top_p=top_p, frequency_penalty=frequency_penalty, thinking_budget=thinking_budget, reasoning_effort=reasoning_effort, timeout=timeout, retries=retries)
+    return {**own, "max_tokens": stages[0], "token_stages": list(stages), "response_format": "json_object", "stream": True, **more}
+
+
+def timed_out(elapsed_seconds: Column, limit: float = 300.0) -> Column:
+    """Whether a streamed response ran longer than its wall-clock limit."""
+    return elapsed_seconds >= limit
+
+
 def elapsed_ms(seconds: Column) -> Column:
     return F.round(seconds * 1000, 2)
 

@@ -143,3 +143,23 @@ def expand_config(config: DataFrame) -> DataFrame:
         F.coalesce("supports_temperature", F.lit(True)).alias("supports_temperature"),
         F.coalesce("m.thinking_profiles", thinking_profiles(provider, model_id, url)).alias("thinking_profiles"),
     )
+
+
+def environment_configs(environ: Mapping[str, str], *, dry_run: bool = False) -> list[dict[str, Any]]:
+    """Models named by the environment: LLM_MODELS_JSON (a list), or LLM_MODEL_NAME with LLM_BASE_URL and
+    LLM_API_KEY_ENV; a dry run without either gets one example."""
+    if listed := environ.get("LLM_MODELS_JSON"):
+        return model_configs(json.loads(listed))
+    if name := environ.get("LLM_MODEL_NAME") or (dry_run and "example-model"):
+        default = "https://api.example.com/v1" if dry_run else "https://api.openai.com/v1"
+        return model_configs([{"model": name, "base_url": environ.get("LLM_BASE_URL", default), "api_key_env": environ.get("LLM_API_KEY_ENV", "OPENAI_API_KEY")}])
+    raise ValueError("the environment names no model")
+
+
+def api_key(config: Mapping[str, Any], environ: Mapping[str, str]) -> str:
+    """The key of a configuration: its own, else that of the variable it names."""
+    if key := str(config.get("api_key") or "").strip():
+        return key
+    if not (variable := str(config.get("api_key_env") or "").strip()):
+        raise ValueError(f"{config.get('name')} has no key and names no variable for one")
+    return environ[variable]
