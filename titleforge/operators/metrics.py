@@ -67,7 +67,7 @@ def point_metrics(predictions: DataFrame, by: Sequence[str] = ("model_name", "su
     """Counts, rates and means per group, from one shuffle of partial sums.
 
     Groups of no rows do not occur; an empty table gives none. Null labels count as not Yes."""
-    means = [F.avg(F.col(c).cast("double")).alias(name) for c, name in (("format_valid", "format_valid_rate"), ("thinking_observed", "thinking_observed_rate"), ("latency_ms", "mean_latency_ms"), ("reasoning_tokens", "mean_reasoning_tokens")) if c in predictions.columns]
+    means = [F.avg(F.col(c).cast("double")).alias(name) for c, name in MEANS if c in predictions.columns]
     return confusion(predictions, by, means).withColumns(rates(policy))
 
 
@@ -79,33 +79,61 @@ def bin_of(p: Column, edges: Sequence[float] = EDGES) -> Column:
     return out
 
 
-def calibration_bins(predictions: DataFrame, by: Sequence[str] = ("model_name", "subset")) -> DataFrame:
-    """Per group and bin: rows, mean probability of Yes, share of Yes."""
-    p = probability_yes(F.col("pred_label"), F.col("confidence"))
-    rows = predictions.select(*by, p.alias("p"), indicator(F.col("gold_label")).alias("y")).withColumn("bin", bin_of(F.col("p")))
-    return rows.where("bin is not null").groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"))
+MEANS = (("format_valid", "format_valid_rate"), ("thinking_observed", "thinking_observed_rate"), ("latency_ms", "mean_latency_ms"), ("reasoning_tokens", "mean_reasoning_tokens"))
 
 
-def calibration_error(predictions: DataFrame, by: Sequence[str] = ("model_name", "subset")) -> DataFrame:
-    """Expected calibration error per group: the bins' gaps, weighted by their share of all rows."""
-    bins = calibration_bins(predictions, by)
-    total = predictions.groupBy(*by).agg(F.count("*").alias("total"))
-    gaps = bins.groupBy(*by).agg(F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("mean_y"))).alias("gap"))
-    return gaps.join(total, list(by)).select(*by, (F.col("gap") / F.col("total")).alias("ece"))
+def score_cells(predictions: DataFrame, by: Sequence[str], score: Column | None = None, *, whole: bool = False) -> DataFrame:
+    """(by, s, y, n): rows by group, score and gold label; with `whole` also by prediction, and with the
+    sums and counts of the columns that are averaged. Whatever is computed from scores starts from these
+    few rows: one shuffle of partial counts."""
+    s = probability_yes(F.col("pred_label"), F.col("confidence")) if score is None else score
+    there = [c for c, _ in MEANS if whole and c in predictions.columns]
+    keys = [*by, s.alias("s"), indicator(F.col("gold_label")).alias("y"), *([indicator(F.col("pred_label")).alias("hat")] if whole else [])]
+    rows = predictions.select(*keys, *(F.col(c).cast("double").alias(f"_{c}") for c in there))
+    sums = [f(F.col(f"_{c}")).alias(f"{name}_{c}") for c in there for name, f in (("sum", F.sum), ("num", F.count))]
+    return rows.groupBy(*by, "s", "y", *(["hat"] if whole else [])).agg(F.count("*").alias("n"), *sums)
 
 
-def auroc(predictions: DataFrame, by: Sequence[str] = ("model_name", "subset"), score: Column | None = None) -> DataFrame:
-    """Area under the ROC curve per group, ties shared; null where gold has one class.
+def _bins(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    placed = cells.withColumn("bin", bin_of(F.col("s")))
+    n = F.sum("n")
+    return placed.groupBy(*by, "bin").agg(n.alias("n"), (F.sum(F.col("s") * F.col("n")) / n).alias("mean_p"), (F.sum(F.col("y") * F.col("n")) / n).alias("mean_y"))
 
-    Rows are first counted by distinct score: the ranks run over these, not over the rows."""
-    s = probability_yes(F.col("pred_label"), F.col("confidence")) if score is None else score
-    cells = predictions.select(*by, s.alias("s"), indicator(F.col("gold_label")).alias("y")).groupBy(*by, "s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+
+def _error(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    gap = F.when(F.col("bin").isNotNull(), F.col("n") * F.abs(F.col("mean_p") - F.col("mean_y")))
+    return _bins(cells, by).groupBy(*by).agg((F.coalesce(F.sum(gap), F.lit(0.0)) / F.sum("n")).alias("ece"))
+
+
+def _area(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    per = cells.groupBy(*by, "s").agg(F.sum(F.col("y") * F.col("n")).alias("pos"), F.sum((1 - F.col("y")) * F.col("n")).alias("neg"))
     w = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = cells.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    ranked = per.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
     won = F.sum(F.col("pos").cast("double") * (F.col("below") + F.col("neg") / 2.0))
     return ranked.groupBy(*by).agg(F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"))
 
 
-def evaluation(predictions: DataFrame, by: Sequence[str] = ("model_name", "subset")) -> DataFrame:
-    """The full metric table: point metrics, calibration error and AUROC."""
-    return point_metrics(predictions, by).join(calibration_error(predictions, by), list(by), "left").join(auroc(predictions, by), list(by), "left")
+def calibration_bins(predictions: DataFrame, by: Sequence[str] = ("model_name", "subset")) -> DataFrame:
+    """Per group and bin: rows, mean probability of Yes, share of Yes."""
+    return _bins(score_cells(predictions, by), by).where("bin is not null")
+
+
+def calibration_error(predictions: DataFrame, by: Sequence[str] = ("model_name", "subset")) -> DataFrame:
+    """Expected calibration error per group: the bins' gaps, weighted by their share of all rows.
+
+    Rows without a probability, or with one outside 0 and 1, are in no bin but among all rows."""
+    return _error(score_cells(predictions, by), by)
+
+
+def auroc(predictions: DataFrame, by: Sequence[str] = ("model_name", "subset"), score: Column | None = None) -> DataFrame:
+    """Area under the ROC curve per group, ties shared; null where gold has one class."""
+    return _area(score_cells(predictions, by, score), by)
+
+
+def evaluation(predictions: DataFrame, by: Sequence[str] = ("model_name", "subset"), policy: Policy = "fixed") -> DataFrame:
+    """The full metric table: point metrics, calibration error and AUROC, from one pass over the rows."""
+    cells = score_cells(predictions, by, whole=True)
+    counts = [F.coalesce(F.sum(F.when((F.col("y") == a) & (F.col("hat") == b), F.col("n"))), F.lit(0)).alias(name) for name, a, b in (("tp", 1, 1), ("fp", 0, 1), ("tn", 0, 0), ("fn", 1, 0))]
+    means = [F.try_divide(F.sum(f"sum_{c}"), F.sum(f"num_{c}")).alias(name) for c, name in MEANS if f"sum_{c}" in cells.columns]
+    points = cells.groupBy(*by).agg(F.sum("n").alias("n"), *counts, *means).withColumns(rates(policy))
+    return points.join(_error(cells, by), list(by), "left").join(_area(cells, by), list(by), "left")
