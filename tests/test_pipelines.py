@@ -84,18 +84,19 @@ def fake(requests: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def test_runner(spark):
+@pytest.mark.parametrize("item_local", [False, True])
+def test_runner(spark, item_local):
     titles = spark.createDataFrame([("s", "1", "plain", "Yes"), ("s", "2", "long one", "No")], "subset string, id string, title string, gold_label string")
     models = spark.createDataFrame([("a",), ("b",)], "model_name string")
     signatures = models.select("model_name", F.lit("sig").alias("condition_signature"))
     schema = "line_no long, condition_signature string, token_plan_signature string, model_name string, subset string, id string, title string, gold_label string, token_budget long, token_stage_index long, status string, pred_label string, confidence double, format_valid boolean"
-    log, outcome = runner.run_stages(titles, models, spark.createDataFrame([], schema), fake, signatures=signatures, plan="p", stages=(4096, 8192))
+    log, outcome = runner.run_stages(titles, models, spark.createDataFrame([], schema), fake, signatures=signatures, plan="p", stages=(4096, 8192), item_local=item_local)
     assert outcome == "complete"
     assert sorted((r.id, r.token_stage_index, r.status) for r in log.collect()) == sorted([("1", 0, "success"), ("2", 0, "token_limit"), ("2", 1, "success")] * 2)
-    again, outcome = runner.run_stages(titles, models, log, fake, signatures=signatures, plan="p", stages=(4096, 8192))
+    again, outcome = runner.run_stages(titles, models, log, fake, signatures=signatures, plan="p", stages=(4096, 8192), item_local=item_local)
     assert outcome == "complete" and again.count() == log.count()
     more = titles.unionByName(spark.createDataFrame([("s", "3", "down", "No")], titles.schema))
-    assert runner.run_stages(more, models, log, fake, signatures=signatures, plan="p", stages=(4096, 8192))[1] == "incomplete"
+    assert runner.run_stages(more, models, log, fake, signatures=signatures, plan="p", stages=(4096, 8192), item_local=item_local)[1] == "incomplete"
 
 
 def test_retrying():

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from titleforge.functions.text import char_ngrams
+from titleforge.session import cut_lineage
 
 SIZES = (2, 3, 4, 5)
 
@@ -29,7 +30,16 @@ def vocabulary(df: DataFrame, texts: int, *, max_df: float = 0.98, max_features:
     """(index, gram, df, tf) of at most `max_features` grams, those of most occurrences, ties by gram."""
     if max_features > 1_000_000:
         raise ValueError("the vocabulary must stay small enough for every task")
-    top = df.where(F.col("df") <= max_df * texts).orderBy(F.col("tf").desc(), "gram").limit(max_features)
+    df = cut_lineage(df.where(F.col("df") <= max_df * texts))
+    # only grams of enough occurrences are ordered: a table of few rows tells how many that takes
+    size = F.floor(F.log2(F.col("tf").cast("double")) * 8)
+    steps = df.groupBy(size.alias("step")).agg(F.count("*").alias("n")).orderBy(F.col("step").desc()).collect()
+    seen, least = 0, None
+    for step in steps:
+        seen, least = seen + step.n, step.step
+        if seen >= max_features:
+            break
+    top = df.where(size >= F.lit(least)).orderBy(F.col("tf").desc(), "gram").limit(max_features)
     return top.select((F.row_number().over(Window.orderBy(F.col("tf").desc(), "gram")) - 1).cast("int").alias("index"), "gram", "df", "tf")
 
 

@@ -65,9 +65,9 @@ def score(requests: DataFrame, scorer: Scorer) -> DataFrame:
     )
 
 
-def run_stages(titles: DataFrame, models: DataFrame, log: DataFrame, scorer: Scorer, *, signatures: DataFrame, plan: str, stages: Sequence[int], most_stages: int = 12) -> tuple[DataFrame, str]:
+def run_stages(titles: DataFrame, models: DataFrame, log: DataFrame, scorer: Scorer, *, signatures: DataFrame, plan: str, stages: Sequence[int], most_stages: int = 12, item_local: bool = False) -> tuple[DataFrame, str]:
     """(the log with new lines, outcome). Stage s + 1 begins when every candidate of stage s succeeded or
-    was cut off. Outcome: complete, balance (the account is empty), incomplete (failures that may pass,
+    was cut off; with item_local each item goes on by itself, from the stage it has reached. Outcome: complete, balance (the account is empty), incomplete (failures that may pass,
     or stages left). Successes are never asked again; `log` has the columns of the prediction log that
     the state needs. Each stage is one job; the log grows by a written table per stage."""
     expected = cut_lineage(state.expected_keys(titles, models))
@@ -79,7 +79,10 @@ def run_stages(titles: DataFrame, models: DataFrame, log: DataFrame, scorer: Sco
         if open_.isEmpty():
             return log, "complete"
         outcomes = state.stage_outcomes(log, signatures, plan, titles)
-        due = state.stage_pending(state.stage_candidates(open_, outcomes), outcomes).where(F.col("stage") == stage)
+        if item_local:
+            due = state.item_stage(outcomes, open_)
+        else:
+            due = state.stage_pending(state.stage_candidates(open_, outcomes), outcomes).where(F.col("stage") == stage)
         requests = due.join(expected, list(KEY)).select(*KEY, "title", "gold_label", text.user_prompt(F.col("title")).alias("prompt"), "stage", control.stage_budget(F.col("stage"), stages).alias("token_budget"))
         got = cut_lineage(score(requests, scorer))
         top = log.agg(F.coalesce(F.max("line_no"), F.lit(0))).first()[0]
@@ -92,7 +95,8 @@ def run_stages(titles: DataFrame, models: DataFrame, log: DataFrame, scorer: Sco
         kinds = {r.status for r in got.select("status").distinct().collect()}
         if "balance_exhausted" in kinds:
             return log, "balance"
-        if kinds & {"transient_failure", "permanent_failure"}:
+        failed = kinds & {"transient_failure", "permanent_failure"}
+        if failed and not (item_local and kinds - failed):
             return log, "incomplete"
     return log, "complete" if state.incomplete_keys(expected, state.latest_success(log, signatures, titles, columns=("title", "pred_label"))).isEmpty() else "incomplete"
 
