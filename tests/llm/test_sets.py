@@ -200,3 +200,13 @@ def test_packed(spark, data):
         packing.packed(documents, spark.createDataFrame([("x", 0)], "bin_set string, capacity int"))
     report = packing.packing_report(packing.packed(documents, bins)).toPandas()
     assert (report.used_share > 0.8).all()
+
+
+def test_bounded_sample(spark):
+    from titleforge.llm.arrow import bounded_sample
+
+    df = spark.range(5_000).selectExpr("id", "id % 7 AS x").repartition(9)
+    got = {r.id for r in bounded_sample(df, "id", 40).collect()}
+    least = {r.id for r in df.selectExpr("id", "xxhash64(id) AS h").orderBy("h").limit(40).collect()}
+    assert got == least
+    assert bounded_sample(df.limit(5), "id", 40).count() == 5 and bounded_sample(df.limit(0), "id", 40).count() == 0

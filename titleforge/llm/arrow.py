@@ -40,3 +40,15 @@ def bucket_counts(df: DataFrame, buckets: Callable[[pa.RecordBatch], np.ndarray]
     out = np.zeros(size, np.int64)
     out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
+
+
+def bounded_sample(df: DataFrame, by: str, size: int) -> DataFrame:
+    """The `size` rows of `df` of least hash of column `by`, ties by the row itself.
+
+    Rows are first thinned by a threshold on the hash that leaves about twice as many as asked for, so
+    that what tasks send to be ordered is bounded by `size` and not by the number of tasks."""
+    total = df.count()
+    h = F.xxhash64(by)
+    keep = min(1.0, (2 * size + 100) / max(total, 1))
+    thin = df.where(h <= F.lit(int(-(2**63) + keep * (2**64 - 1)) if keep < 1 else 2**63 - 1))
+    return thin.orderBy(h, *df.columns).limit(size)
