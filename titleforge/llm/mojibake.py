@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titleforge.llm.arrow import bucket_counts
+from titleforge.llm.arrow import bounded_sample, bucket_counts
 from titleforge.llm.codepoints import SIZE, to_codepoints
 
 TOP = 0x10000  # planes above the first share one emission
@@ -204,9 +204,9 @@ class Model:
 def fit(benchmark: DataFrame, *, id_col: str = "title_id", text: str = "title", sample: int = 3000) -> Model:
     """The model of a benchmark table. Character counts cover all of it; the pairs' emissions are
     learned from at most `sample` titles, those of least id hash."""
-    texts = benchmark.where(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
+    texts = benchmark.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     counts = bucket_counts(texts.select("text"), lambda b: to_codepoints(b.column(0))[0], SIZE)
-    picked = [r.text for r in texts.orderBy("h", "text").limit(sample).collect()]
+    picked = [r.text for r in bounded_sample(texts, "id", sample).collect()]
     return Model(counts.astype(float), picked)
 
 
