@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from titleforge.llm.arrow import bounded_sample
+
 ORDERS = (2, 3, 4)
 BITS = 16
 CHUNK = 300  # bytes a training example has, and the length at which evidence is as calibrated
@@ -212,15 +214,17 @@ def train(texts: list[bytes], labels: np.ndarray, names: tuple[str, ...], *, alp
 
 
 def fit(documents: DataFrame, languages: DataFrame, *, sample: int = 3_000, most_bytes: int = 6_000) -> LangModel:
-    """The model of labelled documents: at most `sample` whose usual extension agrees with the label,
+    """The model of labelled documents (of no languages: one that finds nothing): at most `sample` whose usual extension agrees with the label,
     those of least id hash, and of each at most `most_bytes` bytes for training."""
     known = sorted((r.lang, r.usual_ext) for r in languages.select("lang", "usual_ext").limit(1_000).collect())
     names = tuple(k for k, _ in known)
-    usual = F.create_map(*(F.lit(x) for pair in known for x in pair)) if known else F.lit(None)
+    if not names:
+        return LangModel((), np.zeros((1 << BITS, 0), np.float32), 1.0)
+    usual = F.create_map(*(F.lit(x) for pair in known for x in pair))
     ext = F.regexp_extract(F.lower("file_path"), r"\.(\w+)$", 1)
-    chosen = documents.where(F.col("lang").isin(*names) & (F.length("text") > 20) & (usual[F.col("lang")] == ext)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    picked = chosen.orderBy("h", "doc_id").limit(sample)
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("h", "lang", F.substring("text", 1, most_bytes).alias("text")).toPandas().sort_values(["h", "text"])
+    chosen = documents.where(F.col("lang").isin(*names) & (F.length("text") > 20) & (usual[F.col("lang")] == ext)).select("doc_id", "lang")
+    picked = bounded_sample(chosen, "doc_id", sample)  # so small that it may be broadcast
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "lang", F.substring("text", 1, most_bytes).alias("text")).toPandas().sort_values(["doc_id", "text"])
     at = {n: k for k, n in enumerate(names)}
     return train([t.encode()[:most_bytes] for t in rows["text"]], np.array([at[x] for x in rows["lang"]]), names)
 
@@ -291,6 +295,11 @@ def _analyse(model: LangModel, rules: Rules, column: pa.Array, labels: list[str
     return docs[at], begin, end, lang[at].astype(np.int64), sure, np.add.reduceat(solid, at)
 
 
+def _texts(documents: DataFrame, model: LangModel) -> DataFrame:
+    """The columns that scoring reads; no rows if the model knows no language."""
+    return documents.where(F.lit(bool(model.names))).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+
+
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`, as scoring needs several arrays of a batch's size."""
     for batch in batches:
@@ -314,7 +323,7 @@ def segments(documents: DataFrame, model: LangModel, rules: Rules = Rules()) ->
             number = np.arange(len(doc)) - np.searchsorted(doc, doc)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(doc)), "segment": pa.array(number, pa.int32()), "begin": begin, "end": end, "lang": pa.array(names[lang] if len(lang) else [], pa.string()), "confidence": pa.array(sure, pa.float64()), "solid": solid})
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, schema)
+    return _texts(documents, model).mapInArrow(run, schema)
 
 
 def document_languages(documents: DataFrame, model: LangModel, rules: Rules = Rules(), *, least: float = 0.15, only_found: bool = False) -> DataFrame:
@@ -349,7 +358,7 @@ def document_languages(documents: DataFrame, model: LangModel, rules: Rules = Ru
                 names=schema.names,
             )
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, schema)
+    return _texts(documents, model).mapInArrow(run, schema)
 
 
 def found(documents: DataFrame, languages: DataFrame) -> DataFrame:
