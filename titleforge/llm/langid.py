@@ -234,11 +234,11 @@ class Rules:
     """How units become segments and documents."""
 
     price: float = 3.0  # of changing the language, in log odds
-    evidence: float = 3.0  # times which units weigh against the price; their own odds, spread over a text, are too even
+    evidence: float = 4.0  # times which units weigh against the price; their own odds, spread over a text, are too even
     label_weight: float = 2.0  # log odds for the language the file came with
     least_share: float = 0.04  # of the non-blank bytes, below which a segment joins its surroundings
     least_size: int = 40
-    least_language: float = 0.1  # share of a document below which a language is taken for noise
+    least_language: float = 0.15  # share of a document below which a language is taken for noise
 
 
 def _analyse(model: LangModel, rules: Rules, column: pa.Array, labels: list[str | None]) -> tuple[np.ndarray, ...]:
