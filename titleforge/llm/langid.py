@@ -238,7 +238,7 @@ class Rules:
     label_weight: float = 2.0  # log odds for the language the file came with
     least_share: float = 0.04  # of the non-blank bytes, below which a segment joins its surroundings
     least_size: int = 40
-    least_language: float = 0.15  # share of a document below which a language is taken for noise
+    least_language: float = 0.13  # share of a document below which a language is taken for noise
 
 
 def _analyse(model: LangModel, rules: Rules, column: pa.Array, labels: list[str | None]) -> tuple[np.ndarray, ...]:
