@@ -7,7 +7,7 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -100,6 +100,11 @@ def _balanced(body: Column) -> Column:
     return bare == ""
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_response(raw: Column) -> Column:
     """struct(label, explanation, confidence, format_valid) of a response, by built-in functions.
 
@@ -107,23 +112,32 @@ def parse_response(raw: Column) -> Column:
     confidence is no number, the first yes or no of the whole text is taken, with confidence 0.5, its
     first 200 characters as explanation, and format_valid false. Null gives the empty label."""
     text = strip_fence(F.coalesce(raw, F.lit("")))
-    body = outer_object(text)
-    read = F.from_json(body, "label string, explanation string, confidence string", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
-    variant = F.try_parse_json(body)
-    fields = F.try_variant_get(variant, "$.confidence", "string")
-    named = F.lower(strip(read["label"]))
-    label = F.when(named == "yes", "Yes").when(named == "no", "No")
-    given = F.when(fields == "true", 1.0).when(fields == "false", 0.0).otherwise(clamp_confidence(strip(read["confidence"])))
-    absent = F.try_variant_get(variant, "$.confidence", "variant").isNull()
-    confidence = F.when(absent, 0.5).otherwise(given)
-    valid = variant.isNotNull() & _balanced(body) & label.isNotNull() & confidence.isNotNull()
-    ok = F.coalesce(valid, F.lit(False))
-    return F.struct(
-        F.when(ok, label).otherwise(rescue_label(text)).alias("label"),
-        F.when(ok, strip(F.coalesce(read["explanation"], F.lit("")))).otherwise(F.substring(text, 1, 200)).alias("explanation"),
-        F.when(ok, confidence).otherwise(0.5).alias("confidence"),
-        ok.alias("format_valid"),
-    )
+
+    def read(t: Column) -> Column:
+        body = outer_object(t)
+        fields = F.from_json(body, "label string, explanation string, confidence string", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+        return F.struct(t.alias("t"), fields.alias("f"), F.try_parse_json(body).alias("v"), _balanced(body).alias("whole"))
+
+    def judge(r: Column) -> Column:
+        named = F.lower(strip(r["f"]["label"]))
+        kind = F.try_variant_get(r["v"], "$.confidence", "string")
+        given = F.when(kind == "true", 1.0).when(kind == "false", 0.0).otherwise(clamp_confidence(strip(r["f"]["confidence"])))
+        absent = F.try_variant_get(r["v"], "$.confidence", "variant").isNull()
+        return F.struct(
+            r["t"].alias("t"), r["f"]["explanation"].alias("e"), F.when(r["v"].isNotNull() & r["whole"], F.when(named == "yes", "Yes").when(named == "no", "No")).alias("label"),
+            F.when(absent, 0.5).otherwise(given).alias("confidence"),
+        )
+
+    def settle(r: Column) -> Column:
+        ok = r["label"].isNotNull() & r["confidence"].isNotNull()
+        return F.struct(
+            F.when(ok, r["label"]).otherwise(rescue_label(r["t"])).alias("label"),
+            F.when(ok, strip(F.coalesce(r["e"], F.lit("")))).otherwise(F.substring(r["t"], 1, 200)).alias("explanation"),
+            F.when(ok, r["confidence"]).otherwise(0.5).alias("confidence"),
+            ok.alias("format_valid"),
+        )
+
+    return let(let(let(text, read), judge), settle)
 
 
 def _exact(raw: str | None) -> tuple[str, str, float, bool]:

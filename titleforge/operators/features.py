@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from titleforge.functions.text import char_ngrams
-from titleforge.session import cut_lineage
+from titleforge.session import cut_lineage, tasks_for
 
 SIZES = (2, 3, 4, 5)
 
 
 def term_frequencies(titles: DataFrame, *, id_col: str = "id", text: str = "title", sizes: Sequence[int] = SIZES) -> DataFrame:
-    """(id, gram, tf). Null texts and texts below the smallest size have no rows."""
-    return titles.select(id_col, F.explode(char_ngrams(F.col(text), sizes)).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias("tf"))
+    """(id, gram, tf). Null texts and texts below the smallest size have no rows.
+
+    Texts are spread first, as a small text makes many rows; grams of a text stay where it is, so
+    counting them needs no further shuffle."""
+    spread = titles.select(id_col, text).repartition(tasks_for(titles, 5_000), id_col)
+    return spread.select(id_col, F.explode(char_ngrams(F.col(text), sizes)).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
