@@ -57,7 +57,7 @@ def test_overlap_is_exact(spark, monkeypatch, salt_rows):
     made = EditSignatures
     monkeypatch.setattr(overlap, "EditSignatures", lambda edits: made(edits, salt_rows=salt_rows))
     rows = [(i, ["train", "dev", "test"][i % 3], t, f"s{i % 2}") for i, t in enumerate(titles(3, 240))]
-    df = spark.createDataFrame([*rows, rows[20]], "title_id long, split string, title string, source string").selectExpr("*", "1 AS key", "2 AS class_id")
+    df = spark.createDataFrame([*rows, rows[20], (None, None, rows[20][2], None), (None, "dev", None, None)], "title_id long, split string, title string, source string").selectExpr("*", "1 AS key", "2 AS class_id")
     got = Counter((r.a_id, r.b_id) for r in overlap.overlap_pairs(df).collect())
     keys = [(i, s, key(t)) for i, s, t, _ in rows if t is not None]
     expect = {(a, b) for (a, s, x), (b, u, y) in itertools.combinations(keys, 2) if (s == "train") != (u == "train") and near(x, y)}
@@ -90,7 +90,7 @@ def test_near_groups(spark, monkeypatch, small, hot):
     rows = list(enumerate(titles(5, 260, shortest=3)))
     rng = random.Random(9)
     rows += [(1000 + k, edited(rng, "村支书茶山温泉厨房老中医讲堂高血压专家打脸偏方走红", 1)) for k in range(60)]  # a crowd of near copies
-    df = spark.createDataFrame([*rows, rows[30]], "row_id long, title string").selectExpr("*", "1 AS node", "2 AS band").repartition(3)
+    df = spark.createDataFrame([*rows, rows[30], (None, rows[30][1])], "row_id long, title string").selectExpr("*", "1 AS node", "2 AS band").repartition(3)
     got = Counter((r.first_id, r.other_id) for r in neardup.near_pairs(df, hot=hot).collect())
     expect = brute_groups(rows)
     assert max(got.values()) == 1 and not set(got) - expect
@@ -132,7 +132,7 @@ def test_copies(spark):
         rng.shuffle(fields)
         rows.append((i, json.dumps(dict(fields), ensure_ascii=bool(i % 5))))
     rows += [(900, None), (901, "no object"), (902, "NO, object"), (903, ""), (904, "x" * 100_000), (905, "{}")]
-    df = spark.createDataFrame(rows, "record_id long, payload string").selectExpr("*", "1 AS key", "2 AS kept_id").repartition(5)
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "record_id long, payload string").selectExpr("*", "1 AS key", "2 AS kept_id").repartition(5)
 
     def canon(p):
         try:
@@ -196,6 +196,11 @@ def test_packed(spark, data):
         pieces = one.groupby("doc_id").size()
         assert (pieces == np.maximum(1, -(-sizes.loc[pieces.index] // capacity))).all()
     assert packing.packed(documents.limit(0), bins).count() == 0
+    odd = spark.createDataFrame([(None, "a b"), (None, None), (5, None), (5, ""), (5, "x " * 3_000), (5, "x " * 3_000)], "doc_id long, text string")
+    got = packing.packed(odd, bins).toPandas()
+    small = got[got.bin_set == "small"]
+    assert small[small.doc_id.isna()].n_tokens.tolist().count(0) == 1 and (small.groupby("container").n_tokens.sum() <= 512).all()
+    assert small[small.doc_id == 5].n_tokens.sum() == 2 * token_counts(odd.where("text like 'x%'")).first().n_tokens
     with pytest.raises(ValueError):
         packing.packed(documents, spark.createDataFrame([("x", 0)], "bin_set string, capacity int"))
     report = packing.packing_report(packing.packed(documents, bins)).toPandas()

@@ -109,7 +109,7 @@ def test_packed_terms(text):
 def test_term_counts(spark, monkeypatch):
     monkeypatch.setattr(terms, "FLUSH", 10)
     data = [(i, "热词abc" if i % 3 else f"冷{i}" * 2) for i in range(60)] + [(1, "热词abc"), (99, None), (100, ""), (101, "y")]
-    df = spark.createDataFrame(data, "title_id long, title string").selectExpr("*", "'x' AS term").repartition(3)
+    df = spark.createDataFrame([*data, (None, "热词abc")], "title_id long, title string").selectExpr("*", "'x' AS term").repartition(3)
     once = {i: t for i, t in data if t is not None}
     expect: dict[str, list[int]] = {}
     for t in once.values():

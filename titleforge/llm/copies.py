@@ -89,7 +89,7 @@ def _scan(each_copy: bool):
 
 def _scanned(records: DataFrame, id_col: str, payload: str, each_copy: bool) -> DataFrame:
     """(record_id, kept, copies) with the runs across partition edges joined."""
-    keyed = records.where(F.col(payload).isNotNull()).select(canonical_key(F.col(payload)).alias("key"), F.col(id_col).cast("long").alias("id"))
+    keyed = records.where(F.col(payload).isNotNull() & F.col(id_col).isNotNull()).select(canonical_key(F.col(payload)).alias("key"), F.col(id_col).cast("long").alias("id"))
     ordered = keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     rows = cut_lineage(ordered.mapInArrow(_scan(each_copy), SCANNED))
     edges = rows.where("edge is not null")
@@ -104,7 +104,7 @@ def copy_pairs(records: DataFrame, *, id_col: str = "record_id", payload: str =
 
     Two records are the same if all fields agree by name when only letters and digits count, without
     case; a missing or null field is as an empty one. A payload that is no object is compared whole.
-    Null payloads are left out; repeated ids count once; an empty table gives no rows."""
+    Null payloads and null ids are left out; repeated ids count once; an empty table gives no rows."""
     return _scanned(records, id_col, payload, True).where("record_id <> kept_id").select("kept_id", F.col("record_id").alias("copy_id")).distinct()
 
 

@@ -177,7 +177,7 @@ def near_groups(
     Two texts are near if their letters and digits, without case, differ by at most `edits` edits, or
     if they have the same segments in any order. Groups are closed under near. Texts so short that
     shingles fail meet by deletion variants, which is exact. Redelivered ids count once; texts of no
-    letters form one group; null texts are left out; an empty table gives none.
+    letters form one group; null texts and ids are left out; an empty table gives none.
 
     Bands that more than about `hot` texts share, told from one node in a hundred, are salted."""
     mh, sig = minhash or MinHash(), EditSignatures(edits)
@@ -187,7 +187,7 @@ def near_groups(
         points, offsets, _ = to_codepoints(batch.column(1))
         return {"id": batch.column(0), "segments": from_codepoints(*segment_points(points, offsets))}
 
-    source = titles.where(F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("segments"))
+    source = titles.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("segments"))
     rows = cut_lineage(over_batches(source, form, "id long, segments string").distinct())
     # one node per distinct text: exact copies never meet each other again
     nodes = cut_lineage(rows.repartition(tasks_for(rows, 20_000), "segments").groupBy("segments").agg(F.min("id").alias("node")).select("node", "segments"))

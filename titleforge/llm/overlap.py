@@ -23,7 +23,7 @@ ENTRY = "class_id long, h long, salt int, place int, size int, bag long"
 
 
 def title_keys(titles: DataFrame, *, id_col: str = "title_id", text: str = "title", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, key, kept columns) per row: letters and digits of the plain form in lower case. Null texts are left out."""
+    """(id, key, kept columns) per row: letters and digits of the plain form in lower case. Rows with a null text or id are left out."""
     schema = f"id long, key string{''.join(f', {c} string' for c in keep)}"
 
     def make(batch: pa.RecordBatch) -> dict[str, object]:
@@ -31,7 +31,7 @@ def title_keys(titles: DataFrame, *, id_col: str = "title_id", text: str = "titl
         points, offsets, _ = unify(points, offsets)
         return {"id": batch.column(0), "key": from_codepoints(*letter_keys(points, offsets)), **{c: batch.column(2 + k) for k, c in enumerate(keep)}}
 
-    return over_batches(titles.where(F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("key"), *keep), make, schema)
+    return over_batches(titles.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("key"), *keep), make, schema)
 
 
 def _entries(batch: pa.RecordBatch, sig: EditSignatures, counts: np.ndarray, probe: bool) -> dict[str, object]:
@@ -84,7 +84,7 @@ def near_classes(classes: DataFrame, edits: int = 3) -> DataFrame:
 def cross_split_overlaps(titles: DataFrame, edits: int = 3, train: str = "train") -> tuple[DataFrame, DataFrame]:
     """(members, links) of the overlaps between split `train` and the others.
 
-    members: id, split, source, class_id of every title that is not null (redelivered rows once).
+    members: id, split, source, class_id of every title that has an id and is not null (redelivered rows once).
     links: train_class, eval_class, also of a class with itself if both sides hold it. Copies are
     not expanded. Titles without letters and digits form one class. An empty table gives none;
     rows with a null split count as evaluation rows of split null."""

@@ -100,12 +100,12 @@ def term_counts(
 ) -> DataFrame:
     """(term, occurrences, records, mark) of every substring of the given sizes in code points.
 
-    A record is a distinct id with a text that is not null; of an id that came again with other texts
+    A record is a distinct id (null is none) with a text that is not null; of an id that came again with other texts
     the least text counts. mark is `rare` below `rare_below` records, `common` above the share
     `common_above` of the records, else null. Texts are taken as stored. Empty texts count as records
     without terms; an empty table gives no rows."""
     assert all(1 <= s <= 3 for s in sizes)
-    rows = titles.where(F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = titles.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     once = cut_lineage(rows.repartition(tasks_for(rows), "id").groupBy("id").agg(F.min("text").alias("text")))
     total = once.count()
     entries = cut_lineage(once.mapInArrow(_entries(sizes), "term long, record long, occurrences long, records long"))
