@@ -96,25 +96,29 @@ class ResponseFold(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("response", "content string, last long, chunks long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         content, last, chunks = self.state.get() if self.state.exists() else ("", 0, 0)
-        out = []
+        out, finished = [], False
         for row in pd.concat(rows).sort_values("seq").itertuples():
             content, chunks = content + (row.content_delta or ""), chunks + 1
             if row.finish_reason:
                 out.append((key[0], "finished", content, chunks))
+                finished = True
             elif len(content) - last >= self.step:
                 last = len(content)
                 out.append((key[0], "content_checkpoint", content, chunks))
-        self.state.update((content, last, chunks))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.alive_ms)
+        if finished:  # nothing is kept of a response that has ended
+            self.state.clear()
+        else:
+            self.state.update((content, last, chunks))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.alive_ms)
         yield pd.DataFrame(out, columns=["request", "status", "content", "chunks"])
 
-    def handleExpiredTimer(self, key: Any, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         content, _, chunks = self.state.get() if self.state.exists() else ("", 0, 0)
-        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.alive_ms)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.alive_ms)
         yield pd.DataFrame([(key[0], "stream_checkpoint", content, chunks)], columns=["request", "status", "content", "chunks"])
 
     def close(self) -> None:
@@ -122,7 +126,9 @@ class ResponseFold(StatefulProcessor):
 
 
 def watch_responses(deltas: DataFrame, step: int = 64, alive_ms: int = 30_000) -> DataFrame:
-    """The checkpoints of running requests as a stream (needs the RocksDB state store)."""
+    """The checkpoints of running requests as a stream.
+
+    Needs the RocksDB state store, and a processing-time trigger: with timers an availableNow run never ends."""
     return deltas.groupBy("request").transformWithStateInPandas(
         statefulProcessor=ResponseFold(step, alive_ms), outputStructType="request string, status string, content string, chunks long", outputMode="Append", timeMode="ProcessingTime"
     )
