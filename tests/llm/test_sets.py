@@ -98,6 +98,27 @@ def test_near_groups(spark, monkeypatch, small, hot):
     assert neardup.near_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [200_000, 100])
+def test_near_groups_miss_no_link(spark, hot):
+    rng = random.Random(17)
+    letters = [chr(0x4E00 + k) for k in range(3000)]
+    rows = []
+    for k in range(60):  # three spread replacements, three spread insertions
+        one = rng.sample(letters, 11 + k % 6)
+        two = [rng.choice(letters) if i in (2, 5, 8) else c for i, c in enumerate(one)]
+        rows += [(10 * k + 1, "".join(one)), (10 * k, "".join(two))]
+        base = rng.sample(letters, 8)
+        rows += [(10 * k + 2, "".join(base)), (10 * k + 3, "".join(c + (rng.choice(letters) if i in (1, 3, 5) else "") for i, c in enumerate(base)))]
+    for k in range(20):  # equal letters, shifted separators; the same segments turned
+        text = rng.sample(letters, 12)
+        rows += [(1000 + 4 * k, "".join(text)), (1001 + 4 * k, " ".join(text)), (1002 + 4 * k, "".join(text[7:]) + "，" + "".join(text[:7])), (1003 + 4 * k, "".join(text[:7]) + "-" + "".join(text[7:]))]
+    crowd = "村支书茶山温泉厨房老中医讲堂高血压专家打脸偏方走红"
+    rows += [(5000 + k, edited(rng, crowd, 1)) for k in range(60)] + [(4000, crowd[:3] + "甲" + crowd[4:12] + "乙" + crowd[13:20] + "丙" + crowd[21:])]
+    df = spark.createDataFrame(rows, "row_id long, title string").repartition(3)
+    got = Counter((r.first_id, r.other_id) for r in neardup.near_pairs(df, hot=hot).collect())
+    assert got == Counter(brute_groups(rows))
+
+
 def test_estimate_follows_similarity(spark):
     mh = neardup.MinHash()
     rng = np.random.default_rng(2)

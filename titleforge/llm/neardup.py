@@ -7,7 +7,11 @@ counts, corrected for chance collisions; what stays is checked exactly.
 Bands are sorted and scanned; members meet only if their letters allow it. Large bands never give
 all pairs: every member is first held against the band's pivot and its neighbours in the sort; the
 links found so far are closed to components; then only members of one band that are still in
-different components are paired."""
+different components are paired.
+
+Bands may miss a pair, so they are only the first source. Texts of equal letters, and of equal
+segments in any order, are linked outright; then an exact prefix-filter join on rare disjoint
+shingles, or on deletion variants for short texts, links what the groups found so far leave apart."""
 
 from __future__ import annotations
 
@@ -18,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titleforge.llm.arrow import over_batches
+from titleforge.llm.arrow import bucket_counts, over_batches
 from titleforge.llm.codepoints import from_codepoints, keep, letters_and_digits, lower_case, row_of, to_codepoints
 from titleforge.llm.components import components
-from titleforge.llm.edits import EditSignatures, letter_bags, mixed
+from titleforge.llm.edits import BUCKET_BITS, EditSignatures, bucket_of, letter_bags, mixed
+from titleforge.llm.overlap import ENTRY, _entries
 from titleforge.session import cut_lineage, tasks_for
 
 BREAK = 0x1F  # between segments
@@ -169,6 +174,48 @@ def _meet(edits: int):
     return run
 
 
+def _closed(nodes: DataFrame, links: DataFrame, sig: EditSignatures) -> DataFrame:
+    """(node, root): the components of `links` and of all near pairs of `nodes` (segments, node).
+
+    A shingle's entries of the component that most of them are in never meet each other, so a large
+    group costs no pairs within itself."""
+    plain, order = F.replace("segments", F.lit(chr(BREAK)), F.lit("")), F.array_sort(F.split("segments", chr(BREAK)))
+    both = cut_lineage(nodes.select("node", plain.alias("key"), order.alias("parts")))
+    classes = both.groupBy("key").agg(F.min("node").alias("class_id"))
+    same = both.join(classes, "key").where("node <> class_id").select(F.col("node").alias("a"), F.col("class_id").alias("b"))
+    turned = both.join(both.groupBy("parts").agg(F.min("node").alias("b")), "parts").where("node <> b").select(F.col("node").alias("a"), "b")
+    links = cut_lineage(links.unionByName(same).unionByName(turned))
+    placed = components(links).withColumnRenamed("node", "class_id")
+    classes = cut_lineage(classes.repartition(tasks_for(classes, 20_000), "key").select("class_id", "key"))
+
+    def buckets(batch: pa.RecordBatch) -> np.ndarray:
+        points, offsets, _ = to_codepoints(batch.column(1))
+        return bucket_of(sig.probes(points, offsets)[2])
+
+    counts = bucket_counts(classes, buckets, 1 << BUCKET_BITS)
+    roots = cut_lineage(classes.join(placed, "class_id", "left").select("class_id", F.coalesce("root", "class_id").alias("root")))
+    probe = over_batches(classes, lambda b: _entries(b, sig, counts, True), ENTRY).join(roots, "class_id")
+    index = over_batches(classes, lambda b: _entries(b, sig, counts, False), ENTRY).join(roots, "class_id")
+    index = cut_lineage(index)
+    probe = cut_lineage(probe.join(index.select("h").distinct(), "h", "left_semi"))
+    most = probe.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("n")).where("n > 1").select("h", "most")
+    most = cut_lineage(most)
+    probe, index = (cut_lineage(x.join(most, "h").withColumn("main", F.col("root") == F.col("most")).drop("most")) for x in (probe, index))
+    met = None
+    for i, p in ((index.where("not main"), probe), (index.where("main"), probe.where("not main"))):
+        i, p = i.alias("i"), p.alias("p")
+        left, right = F.col("p.place") - F.col("i.place"), (F.col("p.size") - F.col("p.place")) - (F.col("i.size") - F.col("i.place"))
+        pairs = (
+            p.join(i, (F.col("p.h") == F.col("i.h")) & (F.col("p.salt") == F.col("i.salt")) & (F.col("p.root") != F.col("i.root")))
+            .where((F.abs(left) + F.abs(right) <= sig.edits) & (F.bit_count(F.col("p.bag").bitwiseXOR(F.col("i.bag"))) <= 2 * sig.edits))
+            .select(F.least("p.class_id", "i.class_id").alias("a"), F.greatest("p.class_id", "i.class_id").alias("b"))
+        )
+        met = pairs if met is None else met.unionByName(pairs)
+    texts = [classes.select(F.col("class_id").alias(c), F.col("key").alias(f"{c}_key")) for c in "ab"]
+    more = met.distinct().join(texts[0], "a").join(texts[1], "b").where(F.levenshtein("a_key", "b_key", sig.edits) >= 0).select("a", "b")
+    return components(links.unionByName(more))
+
+
 def near_groups(
     titles: DataFrame, *, id_col: str = "row_id", text: str = "title", edits: int = 3, least_estimate: float = 0.2, minhash: MinHash | None = None, hot: int = 200_000
 ) -> DataFrame:
@@ -256,7 +303,8 @@ def near_groups(
     if not rest.isEmpty():
         left, right = rest.alias("l"), rest.alias("r")
         more = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & alike("l.bag", "r.bag"))
-        groups = components(links.unionByName(near(more.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))))
+        links = links.unionByName(near(more.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))))
+    groups = _closed(nodes, links, sig)
     return rows.join(nodes, "segments").join(groups, "node", "left").select("id", F.coalesce("root", "node").alias("first_id"))
 
 
