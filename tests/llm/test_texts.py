@@ -190,6 +190,25 @@ def test_languages_held_out(languages):
         assert not expect or end[-1] == len(text.encode())
 
 
+@pytest.fixture(scope="module")
+def half_model(languages):
+    docs, names = languages
+    at = {n: k for k, n in enumerate(names)}
+    half = docs[: len(docs) // 2]
+    return langid.train([t.encode()[:6000] for t in half.text], np.array([at[x] for x in half.lang]), names)
+
+
+PYTHON, SQL = "import os\n\ndef f(x):\n    return [y for y in x if y]\n\n", "SELECT a, COUNT(*) FROM t WHERE b IS NOT NULL GROUP BY a;\nINSERT INTO t (a) VALUES (1);\n"
+
+
+def test_segments_of_long_documents(spark, half_model):
+    text = PYTHON * 900 + SQL * 8 + PYTHON * 900  # a segment of about 1 % of its document
+    rows = spark.createDataFrame([(1, text, "python")], "doc_id long, text string, lang string")
+    got = langid.segments(rows, half_model).orderBy("segment").collect()
+    assert [r.lang for r in got] == ["python", "sql", "python"]
+    assert got[0].begin == 0 and got[-1].end == len(text) and abs(got[1].begin - len(PYTHON) * 900) < 100
+
+
 def test_languages_frame(spark, data):
     docs, known = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/lang_list.parquet")
     model = langid.fit(docs, known, sample=200)

@@ -238,11 +238,17 @@ class Rules:
     label_weight: float = 2.0  # log odds for the language the file came with
     least_share: float = 0.04  # of the non-blank bytes, below which a segment joins its surroundings
     least_size: int = 40
+    large_size: int = 200  # non-blank characters below which prose is a comment or a string of the code around it, and a doubtful segment joins it
+    least_sure: float = 0.7
+    prose: tuple[str, ...] = ("text", "markdown")
     least_language: float = 0.13  # share of a document below which a language is taken for noise
 
 
-def _analyse(model: LangModel, rules: Rules, column: pa.Array, labels: list[str | None]) -> tuple[np.ndarray, ...]:
-    """Per segment: (document, begin byte, end byte, language, confidence, non-blank bytes)."""
+def _analyse(model: LangModel, rules: Rules, column: pa.Array, labels: list[str | None], *, every: bool = False) -> tuple[np.ndarray, ...]:
+    """Per segment: (document, begin byte, end byte, language, confidence, non-blank bytes).
+
+    With `every`, floors are absolute: whatever its share of the document, a segment stays that has
+    `least_size` non-blank characters, or `large_size` if it is prose or of less confidence than `least_sure`."""
     column = column.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64, count=len(column) + 1 + column.offset)[column.offset :]
     data = column.buffers()[2]
@@ -276,7 +282,11 @@ def _analyse(model: LangModel, rules: Rules, column: pa.Array, labels: list[str
 
     at = runs()
     part = np.add.reduceat(solid, at)
-    small = part < np.maximum(rules.least_size, rules.least_share * size[docs[at]])
+    if every:
+        doubtful = model.confidence(np.add.reduceat(sums, at, axis=0), np.add.reduceat(grams, at))[np.arange(len(at)), lang[at]] < rules.least_sure
+        small = part < np.where(doubtful | np.isin(np.array(model.names)[lang[at]], rules.prose), rules.large_size, rules.least_size)
+    else:
+        small = part < np.maximum(rules.least_size, rules.least_share * size[docs[at]])
     if small.any():
         lang = absorb(small, lang, at, part)
         at = runs()
@@ -284,7 +294,7 @@ def _analyse(model: LangModel, rules: Rules, column: pa.Array, labels: list[str
     table = np.zeros((len(labels), len(model.names)))
     np.add.at(table, (docs[at], lang[at]), part)
     rare = table[docs[at], lang[at]] < rules.least_language * size[docs[at]]
-    if rare.any():
+    if not every and rare.any():
         lang = absorb(rare, lang, at, part)
         at = runs()
     total, count = np.add.reduceat(sums, at, axis=0), np.add.reduceat(grams, at)
@@ -307,7 +317,7 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.
 
 
 def segments(documents: DataFrame, model: LangModel, rules: Rules = Rules()) -> DataFrame:
-    """(doc_id, segment, begin, end, lang, confidence, solid) of every segment of one language.
+    """(doc_id, segment, begin, end, lang, confidence, solid) of every segment of one language, however long its document.
 
     begin and end are byte offsets of the UTF-8 text, solid the number of non-blank characters.
     Null, empty and blank texts have no segment. The label a file came with (lang) weighs a little;
@@ -317,7 +327,7 @@ def segments(documents: DataFrame, model: LangModel, rules: Rules = Rules()) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
-            doc, begin, end, lang, sure, solid = _analyse(model, rules, batch.column(1), batch.column(2).to_pylist())
+            doc, begin, end, lang, sure, solid = _analyse(model, rules, batch.column(1), batch.column(2).to_pylist(), every=True)
             full = solid > 0
             doc, begin, end, lang, sure, solid = (x[full] for x in (doc, begin, end, lang, sure, solid))
             number = np.arange(len(doc)) - np.searchsorted(doc, doc)
