@@ -209,6 +209,15 @@ def test_segments_of_long_documents(spark, half_model):
     assert got[0].begin == 0 and got[-1].end == len(text) and abs(got[1].begin - len(PYTHON) * 900) < 100
 
 
+def test_languages_in_many_short_parts(half_model):
+    text = (PYTHON * 12 + SQL) * 30  # each part under 4 % of the document, the language more than a tenth
+    share = len("".join(SQL.split())) / len("".join((PYTHON * 12 + SQL).split()))
+    rules = langid.Rules(least_language=share / 2)
+    _, _, _, lang, _, solid = langid._analyse(half_model, rules, pa.array([text]), ["python"])
+    got = np.bincount(lang, weights=solid, minlength=len(half_model.names)) / solid.sum()
+    assert abs(got[half_model.names.index("sql")] - share) < 0.03
+
+
 def test_languages_frame(spark, data):
     docs, known = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/lang_list.parquet")
     model = langid.fit(docs, known, sample=200)

@@ -236,7 +236,6 @@ class Rules:
     price: float = 3.0  # of changing the language, in log odds
     evidence: float = 4.0  # times which units weigh against the price; their own odds, spread over a text, are too even
     label_weight: float = 2.0  # log odds for the language the file came with
-    least_share: float = 0.04  # of the non-blank bytes, below which a segment joins its surroundings
     least_size: int = 40
     large_size: int = 200  # non-blank characters below which prose is a comment or a string of the code around it, and a doubtful segment joins it
     least_sure: float = 0.7
@@ -282,11 +281,10 @@ def _analyse(model: LangModel, rules: Rules, column: pa.Array, labels: list[str
 
     at = runs()
     part = np.add.reduceat(solid, at)
+    small = np.zeros(len(at), bool)  # of a whole document only the sum of each language counts, below
     if every:
         doubtful = model.confidence(np.add.reduceat(sums, at, axis=0), np.add.reduceat(grams, at))[np.arange(len(at)), lang[at]] < rules.least_sure
         small = part < np.where(doubtful | np.isin(np.array(model.names)[lang[at]], rules.prose), rules.large_size, rules.least_size)
-    else:
-        small = part < np.maximum(rules.least_size, rules.least_share * size[docs[at]])
     if small.any():
         lang = absorb(small, lang, at, part)
         at = runs()
