@@ -72,6 +72,13 @@ def p7_loaded(spark: SparkSession, sf: str) -> DataFrame:
     return recovering_csv.loaded_lines(table(spark, sf, "csv_lines"), table(spark, sf, "csv_files"))
 
 
+@query(SQL["p7_loaded"])
+def p7_recovered(spark: SparkSession, sf: str) -> DataFrame:
+    """The valid rows once more, now from whole files: the lines put together, read in ranges and resumed behind each fault."""
+    rows = recovering_csv.recovered_rows(table(spark, sf, "csv_lines"), table(spark, sf, "csv_files"))
+    return rows.where("reason is null").select("row_id", "title", "label", "account")
+
+
 
 # Metrics
 
