@@ -24,22 +24,51 @@ def over_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, objec
     return df.mapInArrow(run, schema)
 
 
-def bucket_counts(df: DataFrame, buckets: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
-    """How many entries of all rows of `df` fall into each of `size` buckets.
+PART = 4_096
 
-    Each task sends at most `size` sums, the driver gets one array of `size` numbers whatever the data."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+def merged_array(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], size: int, merge: np.ufunc = np.add, dtype: type = np.int64, *, apart: bool = False) -> np.ndarray:
+    """One array of `size` numbers, merged from the arrays that `fill` makes of the tasks' batches.
+
+    Arrays travel in parts of fixed length and are merged part by part as they come, so that no task
+    holds more than its own share, and the driver gets `size` numbers whatever the data. `apart` says
+    that no two tasks have rows of the same part, so there is nothing to merge."""
+
+    def give(parts: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"part": pa.array(which), "value": pa.array([parts[k].tobytes() for k in range(len(which))], pa.binary())})
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(-(-size // PART) * PART, dtype)
+        for batch in batches:
+            if batch.num_rows:
+                fill(total[:size], batch)
+        parts = total.reshape(-1, PART)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield give(parts[some], some)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            total += np.bincount(buckets(batch), minlength=size)
-        filled = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(filled), "n": pa.array(total[filled])})
-
-    rows = df.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size, np.int64)
-    out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return out
+            for part, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                now = np.frombuffer(value.as_buffer(), dtype)
+                held[part] = merge(held[part], now) if part in held else now
+        if held:
+            yield give(np.stack(list(held.values())), np.array(list(held), np.int64))
+
+    out = np.zeros(-(-size // PART) * PART, dtype)
+    parts = df.mapInArrow(collect, "part long, value binary")
+    for row in (parts if apart else parts.repartition("part").mapInArrow(join, "part long, value binary")).collect():
+        out[row.part * PART : (row.part + 1) * PART] = np.frombuffer(row.value, dtype)
+    return out[:size]
+
+
+def bucket_counts(df: DataFrame, buckets: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """How many entries of all rows of `df` fall into each of `size` buckets."""
+
+    def fill(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        total += np.bincount(buckets(batch), minlength=size)
+
+    return merged_array(df, fill, size)
 
 
 def bounded_sample(df: DataFrame, by: str, size: int) -> DataFrame:

@@ -3,6 +3,7 @@ ordinary strings, deletion neighbourhoods for short ones. Both are exact."""
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +11,6 @@ import pyarrow as pa
 
 from titleforge.llm.codepoints import from_codepoints, keep, letters_and_digits, lower_case, row_of, to_codepoints
 
-BUCKET_BITS = 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -29,9 +29,15 @@ def mixed(values: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def bucket_of(hashes: np.ndarray) -> np.ndarray:
-    """The frequency bucket of each hash."""
-    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def bucket_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The bucket of each hash in a table of `size` buckets, a power of two."""
+    return (hashes >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+@lru_cache(None)
+def _kept(n: int, gone: int) -> np.ndarray:
+    """The places left of n when `gone` are deleted, one row per choice."""
+    return np.array(list(combinations(range(n), n - gone)), np.int64).reshape(-1, n - gone)
 
 
 def shingle_hashes(points: np.ndarray, q: int) -> np.ndarray:
@@ -89,7 +95,8 @@ class EditSignatures:
         return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
 
     def index(self, points: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, position, hash) of the edits + 1 disjoint shingles of least total count."""
+        """(row, position, hash) of the edits + 1 disjoint shingles of least total cost; `counts` has the
+        cost of each bucket of hashes. Costs steer only the work: any choice finds every pair."""
         sizes = np.diff(offsets)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
         hashes: dict[int, np.ndarray] = {}
@@ -98,7 +105,7 @@ class EditSignatures:
             if q not in hashes:
                 hashes[q] = shingle_hashes(points, q)
             h = hashes[q][offsets[rows][:, None] + np.arange(n - q + 1)]
-            cost = np.log1p(counts[bucket_of(h)])
+            cost = counts[bucket_of(h, len(counts))].astype(np.float64)
             # best[k][:, i]: least cost of k shingles that end before position i
             best = [np.zeros((len(rows), n + 1))]
             took: list[np.ndarray] = []
@@ -121,26 +128,23 @@ class EditSignatures:
 
     def variants(self, points: np.ndarray, offsets: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, hash) of all strings left after up to `edits` deletions, for rows of fewer than `below` letters."""
-        rows, texts = [], []
-        for r in np.flatnonzero(np.diff(offsets) < below).tolist():
-            letters = points[offsets[r] : offsets[r + 1]].tolist()
-            left = {tuple(letters)}
-            for k in range(1, min(self.edits, len(letters)) + 1):
-                left |= {tuple(x for i, x in enumerate(letters) if i not in gone) for gone in map(set, combinations(range(len(letters)), k))}
-            rows += [r] * len(left)
-            texts += left
-        value = 0xFFFFFFFFFFFFFFFF
-        out = np.zeros(len(texts), np.uint64)
-        for i, text in enumerate(texts):
-            x = 7
-            for c in text:
-                x = (x * 1_000_003 + c + 1) & value
-            out[i] = x
-        return np.array(rows, np.int64), mixed(out, 99)
-
-    def salts(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Into how many parts the probes of a shingle are split: more than one only for hot shingles."""
-        return 1 + counts[bucket_of(hashes)] // self.salt_rows
+        sizes = np.diff(offsets)
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        for n in np.unique(sizes[sizes < below]).tolist():
+            rows = np.flatnonzero(sizes == n)
+            hashes = []
+            for gone in range(min(self.edits, n) + 1):
+                left = points[(offsets[rows][:, None] + _kept(n, gone).ravel()).ravel()].reshape(len(rows), -1, n - gone) if n > gone else np.zeros((len(rows), 1, 0), np.int64)
+                x = np.full(left.shape[:2], np.uint64(7))
+                with np.errstate(over="ignore"):
+                    for k in range(n - gone):
+                        x = x * np.uint64(1_000_003) + left[:, :, k].astype(np.uint64) + np.uint64(1)
+                hashes.append(x)
+            every = np.sort(np.concatenate(hashes, axis=1), axis=1)
+            fresh = np.ones(every.shape, bool)
+            fresh[:, 1:] = every[:, 1:] != every[:, :-1]
+            out.append((np.repeat(rows, fresh.sum(axis=1)), mixed(every[fresh], 99)))
+        return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
 
 
 def key_column(column: pa.Array) -> pa.Array:

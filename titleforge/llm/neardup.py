@@ -1,17 +1,17 @@
 """Problem 6: groups of titles that differ by small edits or by the order of their segments.
 
-b-bit MinHash: each title's shingles give minima under many hash functions; bands of full minima
+b-bit MinHash: each text's shingles give minima under many hash functions; bands of full minima
 propose candidates; the low b bits of all minima, packed into longs, estimate the similarity by bit
 counts, corrected for chance collisions; what stays is checked exactly.
 
-Bands are sorted and scanned; members meet only if their letters allow it. Large bands never give
-all pairs: every member is first held against the band's pivot and its neighbours in the sort; the
-links found so far are closed to components; then only members of one band that are still in
-different components are paired.
+Texts of equal letters and digits are one node, and nodes with the same segments in any order are
+linked outright. Bands are sorted and scanned. A large band never gives all pairs: each member meets
+the band's pivot and its neighbours in an order that differs from band to band.
 
-Bands may miss a pair, so they are only the first source. Texts of equal letters, and of equal
-segments in any order, are linked outright; then an exact prefix-filter join on rare disjoint
-shingles, or on deletion variants for short texts, links what the groups found so far leave apart."""
+Bands may miss a pair, so the groups they give are only the first. An exact prefix-filter join on rare
+disjoint shingles (deletion variants for short texts) then links what is still apart: only entries of
+different groups meet, and of a shingle that very many share, the entries of its largest group never
+meet each other, so a large group costs no pairs within itself."""
 
 from __future__ import annotations
 
@@ -19,15 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titleforge.llm.arrow import bucket_counts, over_batches
+from titleforge.llm.arrow import PART, merged_array, over_batches
 from titleforge.llm.codepoints import from_codepoints, keep, letters_and_digits, lower_case, row_of, to_codepoints
 from titleforge.llm.components import components
-from titleforge.llm.edits import BUCKET_BITS, EditSignatures, bucket_of, letter_bags, mixed
-from titleforge.llm.overlap import ENTRY, _entries
-from titleforge.session import cut_lineage, tasks_for
+from titleforge.llm.edits import EditSignatures, bucket_of, mixed
+from titleforge.llm.overlap import ENTRY, entries, shingle_costs, table_size
+from titleforge.session import cut_lineage
 
 BREAK = 0x1F  # between segments
 
@@ -48,23 +48,19 @@ def segment_points(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 
 
 def shingles(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the pairs of neighbouring letters inside segments, and of segments of one letter."""
+    """(row, hash) of the pairs of neighbouring letters; a text of one letter has that letter."""
     row = row_of(offsets)
     if not len(points):
         return row, np.zeros(0, np.uint64)
-    letter = points != BREAK
-    left, right = np.zeros(len(points), bool), np.zeros(len(points), bool)
-    right[:-1] = letter[:-1] & letter[1:] & (row[:-1] == row[1:])
-    left[1:] = right[:-1]
-    after = np.append(points[1:], 0)
-    use = right | (letter & ~left & ~right)
-    return row[use], mixed(np.where(right, points << 21 | after, points)[use], 5)
+    pair = np.append(row[:-1] == row[1:], False)
+    use = pair | (np.diff(offsets) == 1)[row]
+    return row[use], mixed(np.where(pair, points << 21 | np.append(points[1:], 0), points)[use], 5)
 
 
 class MinHash:
     """`bands` bands of `width` minima each; `bits` low bits of every minimum are packed into longs."""
 
-    def __init__(self, bands: int = 64, width: int = 4, bits: int = 2, seed: int = 20240229) -> None:
+    def __init__(self, bands: int = 8, width: int = 4, bits: int = 2, seed: int = 20240229) -> None:
         self.bands, self.width, self.bits = bands, width, bits
         self.rows = bands * width
         assert self.rows % (64 // bits) == 0
@@ -95,222 +91,200 @@ class MinHash:
         low = low.reshape(len(minima), -1, per) << (np.arange(per, dtype=np.uint64) * np.uint64(self.bits))
         return np.bitwise_or.reduce(low, axis=2).view(np.int64)
 
-    def estimate(self, a: str, b: str) -> Column:
-        """The similarity of two packed signatures: agreeing minima by bit counts, less the agreement by chance."""
-        mask = sum(1 << k for k in range(0, 64, self.bits))
-        mask = mask - (1 << 64) if mask >> 63 else mask
-        differ = []
-        for k in range(self.rows * self.bits // 64):
-            x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
-            y = x
-            for s in range(1, self.bits):
-                y = y.bitwiseOR(F.shiftrightunsigned(x, s))
-            differ.append(F.bit_count(y.bitwiseAND(F.lit(mask))))
-        agree = F.lit(1.0) - sum(differ[1:], differ[0]) / F.lit(float(self.rows))
+    def estimate(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The similarity of packed signatures, row by row: agreeing minima by bit counts, less the agreement by chance."""
+        x = (a ^ b).view(np.uint64)
+        y = x.copy()
+        for s in range(1, self.bits):
+            y |= x >> np.uint64(s)
+        mask = np.uint64(sum(1 << k for k in range(0, 64, self.bits)))
+        agree = 1.0 - np.bitwise_count(y & mask).sum(axis=1, dtype=np.int64) / self.rows
         chance = 2.0**-self.bits
-        return (agree - F.lit(chance)) / F.lit(1 - chance)
+        return (agree - chance) / (1 - chance)
 
 
-SMALL = 32  # members of a band up to which they are held against each other at once
-BAND = "band long, node long, bag long"
+SMALL = 8  # members of a band up to which they are held against each other at once
+PAIR = "a long, b long"
 
 
-def _meet(edits: int):
-    """Scans a partition sorted by (band, node): candidate pairs within bands, by kind.
+def _meet(mh: MinHash, least: float):
+    """Scans a partition sorted by band: pairs of one band whose estimated similarity is at least `least`.
 
-    kind 0: a pair (a, b) whose letter bags allow the edits. A band of up to SMALL members is compared
-    whole; of a larger one each member meets the first (the pivot) and its SMALL - 1 predecessors, and
-    its members come out once more as kind 1 (band, a) with their bag. At no time more than a batch
-    and SMALL rows are held."""
+    A band of up to SMALL members is compared whole; of a larger one each member meets the first (the
+    pivot) and its SMALL - 1 predecessors. At no time more than a batch and SMALL rows are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = np.zeros(0, np.int64)
-        held, seen = [empty, empty, empty], 0  # the open run's rows (its last ones if it is large), its members so far
-        pivot = (0, 0)
-        large = False
-
-        def out(kind: int, band: np.ndarray, a: np.ndarray, b: np.ndarray, bag: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"kind": np.full(len(a), kind, np.int8), "band": band, "a": a, "b": b, "bag": bag})
-
-        def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            return np.bitwise_count((x ^ y).view(np.uint64)) <= 2 * edits
+        held, seen = None, 0  # the open run's rows (its last ones if it is large), its members so far
+        pivot = None
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fresh = [np.asarray(batch.column(k)) for k in range(3)]
-            old = len(held[0])
-            band, node, bag = (np.concatenate([h, f]) for h, f in zip(held, fresh))
+            fresh = [np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.stack([np.asarray(c) for c in batch.columns[2:]], axis=1)]
+            old = 0 if held is None else len(held[0])
+            band, node, sign = fresh if held is None else (np.concatenate([h, f]) for h, f in zip(held, fresh))
             starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
             sizes = np.diff(np.append(starts, len(band)))
             total = sizes.copy()
-            first_node, first_bag = node[starts].copy(), bag[starts].copy()
-            if old:
+            first_node, first_sign = node[starts].copy(), sign[starts].copy()
+            if pivot is not None:
                 total[0] += seen - old
-                first_node[0], first_bag[0] = pivot
+                first_node[0], first_sign[0] = pivot
             run_of = np.repeat(np.arange(len(starts)), sizes)
-            index = np.arange(len(band))
-            is_new = index >= old
+            is_new = np.arange(len(band)) >= old
+            pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def take(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+                good = (a != b) & (mh.estimate(x, y) >= least)
+                pairs.append((np.minimum(a, b)[good], np.maximum(a, b)[good]))
+
             for d in range(1, SMALL):
                 if sizes.max() <= d:
                     break
-                hit = np.flatnonzero((run_of[d:] == run_of[:-d]) & is_new[d:] & alike(bag[d:], bag[:-d]))
-                if len(hit):
-                    yield out(0, band[hit], node[hit], node[hit + d], bag[hit])
-            big = (total > SMALL)[run_of]
-            far = np.flatnonzero(big & is_new & (node != first_node[run_of]) & alike(bag, first_bag[run_of]))
-            if len(far):
-                yield out(0, band[far], first_node[run_of[far]], node[far], bag[far])
-            # members of large runs; those held back while the run was small come out when it grows
-            late = big & (is_new | ((run_of == 0) & (not large)))
-            if late.any():
-                yield out(1, band[late], node[late], node[late], bag[late])
+                hit = np.flatnonzero((run_of[d:] == run_of[:-d]) & is_new[d:])
+                take(node[hit], node[hit + d], sign[hit], sign[hit + d])
+            far = np.flatnonzero((total > SMALL)[run_of] & is_new)
+            take(first_node[run_of[far]], node[far], first_sign[run_of[far]], sign[far])
+            both = np.unique(np.stack([np.concatenate(x) for x in zip(*pairs)], axis=1), axis=0)
+            if len(both):
+                yield pa.RecordBatch.from_pydict({"a": np.ascontiguousarray(both[:, 0]), "b": np.ascontiguousarray(both[:, 1])})
             last = int(starts[-1])
-            pivot = int(first_node[-1]), int(first_bag[-1])
-            seen, large = int(total[-1]), bool(total[-1] > SMALL)
-            keep_from = max(last, len(band) - SMALL + 1) if large else last
-            held = [band[keep_from:], node[keep_from:], bag[keep_from:]]
+            pivot, seen = (int(first_node[-1]), first_sign[-1].copy()), int(total[-1])
+            since = max(last, len(band) - SMALL + 1)
+            held = [band[since:], node[since:], sign[since:]]
 
     return run
 
 
-def _closed(nodes: DataFrame, links: DataFrame, sig: EditSignatures) -> DataFrame:
-    """(node, root): the components of `links` and of all near pairs of `nodes` (segments, node).
+def _verified(pairs: DataFrame, classes: DataFrame, edits: int) -> DataFrame:
+    """The pairs within the allowed edits, with their other columns."""
+    for side in "ab":
+        pairs = pairs.join(classes.select(F.col("class_id").alias(side), F.col("key").alias(f"{side}_key")), side)
+    return pairs.where(F.levenshtein("a_key", "b_key", edits) >= 0).drop("a_key", "b_key")
 
-    A shingle's entries of the component that most of them are in never meet each other, so a large
-    group costs no pairs within itself."""
-    plain, order = F.replace("segments", F.lit(chr(BREAK)), F.lit("")), F.array_sort(F.split("segments", chr(BREAK)))
-    both = cut_lineage(nodes.select("node", plain.alias("key"), order.alias("parts")))
-    classes = both.groupBy("key").agg(F.min("node").alias("class_id"))
-    same = both.join(classes, "key").where("node <> class_id").select(F.col("node").alias("a"), F.col("class_id").alias("b"))
-    turned = both.join(both.groupBy("parts").agg(F.min("node").alias("b")), "parts").where("node <> b").select(F.col("node").alias("a"), "b")
-    links = cut_lineage(links.unionByName(same).unionByName(turned))
-    placed = components(links).withColumnRenamed("node", "class_id")
-    classes = cut_lineage(classes.repartition(tasks_for(classes, 20_000), "key").select("class_id", "key"))
 
-    def buckets(batch: pa.RecordBatch) -> np.ndarray:
+def _banded_pairs(classes: DataFrame, rows: int, mh: MinHash, least: float, hot: int) -> DataFrame:
+    """(a, b): the candidates of all bands that pass the estimate, each once."""
+    signs = [f"sign{k}" for k in range(mh.rows * mh.bits // 64)]
+    schema = ", ".join(f"{c} long" for c in ("band", "class_id", *signs))
+
+    def bands(batch: pa.RecordBatch) -> dict[str, object] | None:
+        ids = np.asarray(batch.column(0))
         points, offsets, _ = to_codepoints(batch.column(1))
-        return bucket_of(sig.probes(points, offsets)[2])
-
-    counts = bucket_counts(classes, buckets, 1 << BUCKET_BITS)
-    roots = cut_lineage(classes.join(placed, "class_id", "left").select("class_id", F.coalesce("root", "class_id").alias("root")))
-    probe = over_batches(classes, lambda b: _entries(b, sig, counts, True), ENTRY).join(roots, "class_id")
-    index = over_batches(classes, lambda b: _entries(b, sig, counts, False), ENTRY).join(roots, "class_id")
-    index = cut_lineage(index)
-    probe = cut_lineage(probe.join(index.select("h").distinct(), "h", "left_semi"))
-    most = probe.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("n")).where("n > 1").select("h", "most")
-    most = cut_lineage(most)
-    probe, index = (cut_lineage(x.join(most, "h").withColumn("main", F.col("root") == F.col("most")).drop("most")) for x in (probe, index))
-    met = None
-    for i, p in ((index.where("not main"), probe), (index.where("main"), probe.where("not main"))):
+        row, h = shingles(points, offsets)
+        if not len(row):
+            return None
+        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        least = mh.minima(h, starts)
+        words = np.repeat(mh.packed(least), mh.bands, axis=0)
+        return {"band": mh.band_keys(least).ravel().view(np.int64), "class_id": np.repeat(ids[row[starts]], mh.bands), **{c: np.ascontiguousarray(words[:, k]) for k, c in enumerate(signs)}}
+
+    banded, by = over_batches(classes, bands, schema), ["band"]
+    if rows > hot:  # else no band can be hot
+        # a hot band stands for at least a thousandth of all rows, so there are at most 1,000 times `bands` of them
+        hot = max(hot, rows // 1_000)
+        sample = over_batches(classes.where("pmod(xxhash64(class_id), 100) = 0"), bands, schema)
+        crowds = cut_lineage(sample.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > hot // 100).select("band", (1 + F.floor(F.col("n") * 100 / hot)).cast("int").alias("parts")))
+        salt = F.pmod(F.xxhash64("class_id", "band"), F.coalesce("parts", F.lit(1))).cast("int")
+        banded, by = banded.join(F.broadcast(crowds), "band", "left").withColumn("salt", salt), ["band", "salt"]
+    # neighbours in a band are by chance and differ from band to band
+    placed = banded.repartition(*by).sortWithinPartitions(*by, F.xxhash64("class_id", "band")).select("band", "class_id", *signs)
+    return placed.mapInArrow(_meet(mh, least), PAIR).distinct()
+
+
+def _pairs_between(classes: DataFrame, sig: EditSignatures, rows: int, crowd: int) -> DataFrame:
+    """(a, b, a_root, b_root): candidates for near pairs of classes (class_id, key, root) of different roots. Exact: none is missing."""
+    costs = shingle_costs(classes, sig, rows)
+    schema = ENTRY + ", root long"
+
+    def indexed(batch: pa.RecordBatch) -> dict[str, object]:
+        row, out = entries(batch, sig, costs)
+        return {**out, "root": np.asarray(batch.column(2))[row]}
+
+    index = cut_lineage(over_batches(classes, indexed, schema))
+    size = table_size(4 * index.count(), most=1 << 23)
+    short = lambda roots: (mixed(roots.view(np.uint64), 3) >> np.uint64(48)).astype(np.uint16)
+
+    def mark(table: np.ndarray, batch: pa.RecordBatch) -> None:
+        at, r = bucket_of(np.asarray(batch.column(0)).view(np.uint64), size), short(np.asarray(batch.column(1)))
+        np.maximum.at(table, 2 * at, r)
+        np.maximum.at(table, 2 * at + 1, ~r)
+
+    # of each bucket the greatest and the least short hash of a root: a probe goes on only if another root may be there
+    part = F.shiftrightunsigned("h", 64 - (size // (PART // 2)).bit_length() + 1)  # the part of the table that an entry falls into
+    table = merged_array(index.select("h", "root").repartition(part), mark, 2 * size, np.maximum, np.uint16, apart=True)
+
+    def asked(batch: pa.RecordBatch) -> dict[str, object]:
+        row, out = entries(batch, sig, None)
+        out = {**out, "root": np.asarray(batch.column(2))[row]}
+        at, own = bucket_of(out["h"].view(np.uint64), size), short(out["root"])
+        high, low = table[2 * at], table[2 * at + 1]
+        other = ((high != own) | (~low != own)) & ((high > 0) | (low > 0))
+        return {k: v[other] for k, v in out.items()}
+
+    probe = cut_lineage(over_batches(classes, asked, schema))
+    per = probe.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("most"))
+    crowds = cut_lineage(per.where(F.col("n") > crowd).select("h", "most", (F.floor(F.col("n") / sig.salt_rows) + 1).cast("int").alias("parts")))
+
+    def join(i: DataFrame, p: DataFrame) -> DataFrame:
         i, p = i.alias("i"), p.alias("p")
         left, right = F.col("p.place") - F.col("i.place"), (F.col("p.size") - F.col("p.place")) - (F.col("i.size") - F.col("i.place"))
-        pairs = (
+        swap = F.col("p.class_id") > F.col("i.class_id")
+        return (
             p.join(i, (F.col("p.h") == F.col("i.h")) & (F.col("p.salt") == F.col("i.salt")) & (F.col("p.root") != F.col("i.root")))
             .where((F.abs(left) + F.abs(right) <= sig.edits) & (F.bit_count(F.col("p.bag").bitwiseXOR(F.col("i.bag"))) <= 2 * sig.edits))
-            .select(F.least("p.class_id", "i.class_id").alias("a"), F.greatest("p.class_id", "i.class_id").alias("b"))
-        )
-        met = pairs if met is None else met.unionByName(pairs)
-    texts = [classes.select(F.col("class_id").alias(c), F.col("key").alias(f"{c}_key")) for c in "ab"]
-    more = met.distinct().join(texts[0], "a").join(texts[1], "b").where(F.levenshtein("a_key", "b_key", sig.edits) >= 0).select("a", "b")
-    return components(links.unionByName(more))
+            .select(
+                F.least("p.class_id", "i.class_id").alias("a"), F.greatest("p.class_id", "i.class_id").alias("b"),
+                F.when(swap, F.col("i.root")).otherwise(F.col("p.root")).alias("a_root"), F.when(swap, F.col("p.root")).otherwise(F.col("i.root")).alias("b_root"),
+            )
+        )
+
+    if crowds.isEmpty():
+        return join(index.withColumn("salt", F.lit(0)), probe.withColumn("salt", F.lit(0))).distinct()
+    parts = F.coalesce("parts", F.lit(1))
+    probe = cut_lineage(probe.join(crowds, "h", "left").withColumn("salt", F.pmod(F.xxhash64("class_id"), parts).cast("int")))
+    index = cut_lineage(index.join(crowds, "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))))
+    main = F.coalesce(F.col("root") == F.col("most"), F.lit(False))
+    return join(index.where(~main), probe).unionByName(join(index.where(main), probe.where(~main))).distinct()
 
 
 def near_groups(
-    titles: DataFrame, *, id_col: str = "row_id", text: str = "title", edits: int = 3, least_estimate: float = 0.2, minhash: MinHash | None = None, hot: int = 200_000
+    titles: DataFrame, *, id_col: str = "row_id", text: str = "title", edits: int = 3, least_estimate: float = 0.25, minhash: MinHash | None = None, hot: int = 200_000, crowd: int = 1_000
 ) -> DataFrame:
     """(id, first_id): the group of every row that is not null; first_id is its smallest id.
 
     Two texts are near if their letters and digits, without case, differ by at most `edits` edits, or
-    if they have the same segments in any order. Groups are closed under near. Texts so short that
-    shingles fail meet by deletion variants, which is exact. Redelivered ids count once; texts of no
-    letters form one group; null texts and ids are left out; an empty table gives none.
+    if they have the same segments in any order. Groups are closed under near, and exact: whatever the
+    bands of MinHash or `least_estimate` leave apart, the join on rare shingles brings together.
+    Redelivered ids count once; texts of no letters form one group; null texts and ids are left out;
+    an empty table gives none.
 
-    Bands that more than about `hot` texts share, told from one node in a hundred, are salted."""
+    Bands that more than about `hot` texts share are salted; shingles that more than `crowd` texts of
+    several groups share are joined without pairs inside the largest of these groups."""
     mh, sig = minhash or MinHash(), EditSignatures(edits)
-    short = sig.short + sig.edits
 
     def form(batch: pa.RecordBatch) -> dict[str, object]:
         points, offsets, _ = to_codepoints(batch.column(1))
-        return {"id": batch.column(0), "segments": from_codepoints(*segment_points(points, offsets))}
+        points, offsets = segment_points(points, offsets)
+        return {"id": batch.column(0), "key": from_codepoints(*keep(points, offsets, points != BREAK)), "segments": from_codepoints(points, offsets)}
 
     source = titles.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("segments"))
-    rows = cut_lineage(over_batches(source, form, "id long, segments string").distinct())
+    turned = F.concat_ws(chr(BREAK), F.array_sort(F.split("segments", chr(BREAK)))).alias("turned")
+    rows = cut_lineage(over_batches(source, form, "id long, key string, segments string").select("id", "key", turned))
     # one node per distinct text: exact copies never meet each other again
-    nodes = cut_lineage(rows.repartition(tasks_for(rows, 20_000), "segments").groupBy("segments").agg(F.min("id").alias("node")).select("node", "segments"))
-
-    def minima(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows that have shingles, their minima)."""
-        row, h = shingles(points, offsets)
-        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-        return row[starts], mh.minima(h, starts) if len(starts) else np.zeros((0, mh.rows), np.uint64)
-
-    def bands(batch: pa.RecordBatch) -> dict[str, object]:
-        ids = np.asarray(batch.column(0))
-        points, offsets, _ = to_codepoints(batch.column(1))
-        plain, at = keep(points, offsets, points != BREAK)
-        bags = letter_bags(plain, at)
-        row, least = minima(points, offsets)
-        few, h = sig.variants(plain, at, short)
-        owner = np.concatenate([np.repeat(row, mh.bands), few])
-        return {"band": np.concatenate([mh.band_keys(least).ravel(), h]).view(np.int64), "node": ids[owner], "bag": bags[owner]}
-
-    def signatures(batch: pa.RecordBatch) -> dict[str, object]:
-        points, offsets, _ = to_codepoints(batch.column(1))
-        row, least = minima(points, offsets)
-        words = np.zeros((batch.num_rows, mh.rows * mh.bits // 64), np.int64)
-        if len(row):
-            words[row] = mh.packed(least)
-        return {"node": batch.column(0), "segments": batch.column(1), "packed": pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), words.shape[1]).cast(pa.list_(pa.int64()))}
-
-    sampled = over_batches(nodes.where("pmod(xxhash64(node), 100) = 0"), bands, BAND).groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > hot // 100)
-    crowds = {r.band: 1 + r.n * 100 // hot for r in sampled.collect()}  # each stands for `hot` rows: their number is bounded by rows * bands / hot
-    banded = over_batches(nodes, bands, BAND)
-    salt = F.lit(0)
-    if crowds:
-        parts = spark_map(crowds)
-        salt = F.coalesce(F.pmod(F.xxhash64("node"), parts[F.col("band")]), F.lit(0)).cast("int")
-    shuffled = banded.withColumn("salt", salt).repartition("band", "salt").sortWithinPartitions("band", "salt", "node").select("band", "node", "bag")
-    met = cut_lineage(shuffled.mapInArrow(_meet(edits), "kind byte, band long, a long, b long, bag long"))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """The pairs that pass the estimate and the exact check; signatures are made for their nodes only."""
-        pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        signed = cut_lineage(over_batches(nodes.join(wanted, "node", "left_semi"), signatures, "node long, segments string, packed array<long>"))
-        for side in "ab":
-            pairs = pairs.join(signed.select(F.col("node").alias(side), F.col("packed").alias(f"{side}_packed"), F.col("segments").alias(f"{side}_text")), side)
-        plain = {side: F.replace(f"{side}_text", F.lit(chr(BREAK)), F.lit("")) for side in "ab"}
-        order = {side: F.array_sort(F.split(f"{side}_text", chr(BREAK))) for side in "ab"}
-        tiny = F.least(F.length(plain["a"]), F.length(plain["b"])) < short
-        return (
-            pairs.where(tiny | (mh.estimate("a_packed", "b_packed") >= least_estimate))
-            .where((F.levenshtein(plain["a"], plain["b"], edits) >= 0) | (order["a"] == order["b"]))
-            .select("a", "b")
-        )
-
-    candidates = met.where("kind = 0").select("a", "b")
-    crowd = met.where("kind = 1").select("band", F.col("a").alias("node"), "bag")
-    alike = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * edits
-    if crowds:  # the salted parts' pivots meet the least of them
-        first = crowd.groupBy("band", F.pmod(F.xxhash64("node"), F.lit(64)).alias("p")).agg(F.min("node").alias("b"))
-        candidates = candidates.unionByName(first.join(crowd.groupBy("band").agg(F.min("node").alias("a")), "band").where("a <> b").select("a", "b"))
-    links = cut_lineage(near(candidates))
-    groups = components(links)
-    placed = crowd.join(groups.withColumnRenamed("root", "r"), "node", "left").select("band", "node", "bag", F.coalesce("r", "node").alias("root"))
-    apart = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    rest = cut_lineage(placed.join(apart, "band"))
-    if not rest.isEmpty():
-        left, right = rest.alias("l"), rest.alias("r")
-        more = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & alike("l.bag", "r.bag"))
-        links = links.unionByName(near(more.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))))
-    groups = _closed(nodes, links, sig)
-    return rows.join(nodes, "segments").join(groups, "node", "left").select("id", F.coalesce("root", "node").alias("first_id"))
-
-
-def spark_map(values: dict[int, int]) -> Column:
-    """A small dictionary as a map column."""
-    return F.map_from_arrays(F.lit(list(values)).cast("array<bigint>"), F.lit(list(values.values())).cast("array<bigint>"))
+    firsts = rows.groupBy("key").agg(F.min("id").alias("class_id"))
+    n = firsts.count()
+    classes = cut_lineage(firsts.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // 20_000)), "class_id").select("class_id", "key"))
+    members = cut_lineage(rows.join(classes, "key").select("id", "class_id", "turned"))
+    orders = members.select("class_id", "turned").distinct()
+    same = orders.groupBy("turned").agg(F.min("class_id").alias("b"), F.max("class_id").alias("y")).where("b <> y").drop("y")
+    links = _verified(_banded_pairs(classes, n, mh, least_estimate, hot), classes, edits).unionByName(orders.join(same, "turned").select(F.col("class_id").alias("a"), "b"))
+    first = components(links).withColumnRenamed("node", "class_id")
+    placed = cut_lineage(classes.join(first, "class_id", "left").select("class_id", "key", F.coalesce("root", "class_id").alias("root")))
+    more = _verified(_pairs_between(placed, sig, n, crowd), classes, edits).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+    last = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    groups = placed.join(last, "root", "left").select("class_id", F.coalesce("top", "root").alias("first_id"))
+    return members.select("id", "class_id").join(groups, "class_id").select("id", "first_id").distinct()
 
 
 def near_pairs(titles: DataFrame, **options: object) -> DataFrame:

@@ -4,7 +4,9 @@ Exact prefix-filter bipartite join on rare shingles. Titles are first joined int
 letters and digits. Each evaluation class is indexed by its rarest disjoint shingles (the prefix
 that no set of the allowed edits can break whole); training classes probe with their shingles,
 filtered by length, by position on both sides and by letter bags; what meets is verified by edit
-distance. Rarity comes from a table of fixed size; shingles that many probes share are salted."""
+distance. A table of hash bits of the index drops most probes before they are shuffled. Rarity comes
+from a table of bounded size and only steers the choice; the probes of each shingle are counted
+exactly, and shingles that very many probes share are salted."""
 
 from __future__ import annotations
 
@@ -13,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titleforge.llm.arrow import bucket_counts, over_batches
+from titleforge.llm.arrow import bucket_counts, merged_array, over_batches
 from titleforge.llm.codepoints import from_codepoints, to_codepoints
-from titleforge.llm.edits import BUCKET_BITS, EditSignatures, bucket_of, letter_bags, letter_keys
+from titleforge.llm.edits import EditSignatures, bucket_of, letter_bags, letter_keys
 from titleforge.llm.visual import unify
 from titleforge.session import cut_lineage, tasks_for
 
-ENTRY = "class_id long, h long, salt int, place int, size int, bag long"
+ENTRY = "class_id long, h long, place int, size int, bag long"
 
 
 def title_keys(titles: DataFrame, *, id_col: str = "title_id", text: str = "title", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -34,21 +36,31 @@ def title_keys(titles: DataFrame, *, id_col: str = "title_id", text: str = "titl
     return over_batches(titles.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("key"), *keep), make, schema)
 
 
-def _entries(batch: pa.RecordBatch, sig: EditSignatures, counts: np.ndarray, probe: bool) -> dict[str, object]:
+def table_size(entries: int, least: int = 1 << 16, most: int = 1 << 22) -> int:
+    """The buckets of a table for so many entries: a power of two, at most `most` whatever the data."""
+    return min(most, max(least, 1 << max(entries - 1, 1).bit_length()))
+
+
+def shingle_costs(classes: DataFrame, sig: EditSignatures, rows: int) -> np.ndarray:
+    """What a shingle of each bucket costs: the logarithm of the probes in it, over all of `classes` (class_id, key)."""
+    size = table_size(2 * rows)
+
+    def buckets(batch: pa.RecordBatch) -> np.ndarray:
+        points, offsets, _ = to_codepoints(batch.column(1))
+        return bucket_of(sig.probes(points, offsets)[2], size)
+
+    return np.log1p(bucket_counts(classes, buckets, size)).astype(np.float32)
+
+
+def entries(batch: pa.RecordBatch, sig: EditSignatures, costs: np.ndarray | None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(row, columns) of a batch (class_id, key): its index entries if costs are given, else its probes."""
     ids = np.asarray(batch.column(0))
     points, offsets, _ = to_codepoints(batch.column(1))
     sizes, bags = np.diff(offsets), letter_bags(points, offsets)
-    row, place, h = sig.probes(points, offsets) if probe else sig.index(points, offsets, counts)
-    few, variant = sig.variants(points, offsets, sig.short + (sig.edits if probe else 0))
-    parts = np.concatenate([sig.salts(h, counts), np.ones(len(few), np.int64)])
+    row, place, h = sig.probes(points, offsets) if costs is None else sig.index(points, offsets, costs)
+    few, variant = sig.variants(points, offsets, sig.short + (sig.edits if costs is None else 0))
     row, place, h = np.concatenate([row, few]), np.concatenate([place, np.zeros(len(few), np.int64)]), np.concatenate([h, variant])
-    if probe:
-        salt = ids[row] % parts
-    else:  # an index entry goes to every part of its probes
-        again = np.repeat(np.arange(len(row)), parts)
-        salt = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
-        row, place, h = row[again], place[again], h[again]
-    return {"class_id": ids[row], "h": h.view(np.int64), "salt": salt.astype(np.int32), "place": place.astype(np.int32), "size": sizes[row].astype(np.int32), "bag": bags[row]}
+    return row, {"class_id": ids[row], "h": h.view(np.int64), "place": place.astype(np.int32), "size": sizes[row].astype(np.int32), "bag": bags[row]}
 
 
 def near_classes(classes: DataFrame, edits: int = 3) -> DataFrame:
@@ -57,14 +69,32 @@ def near_classes(classes: DataFrame, edits: int = 3) -> DataFrame:
     `classes` has class_id, key (unique), in_train and in_eval."""
     sig = EditSignatures(edits)
     train, evaluation = (classes.where(c).select("class_id", "key") for c in ("in_train", "in_eval"))
-
-    def buckets(batch: pa.RecordBatch) -> np.ndarray:
-        points, offsets, _ = to_codepoints(batch.column(1))
-        return bucket_of(sig.probes(points, offsets)[2])
-
-    counts = bucket_counts(train, buckets, 1 << BUCKET_BITS)
-    index = over_batches(evaluation, lambda b: _entries(b, sig, counts, False), ENTRY).alias("e")
-    probe = over_batches(train, lambda b: _entries(b, sig, counts, True), ENTRY).alias("t")
+    costs = shingle_costs(train, sig, train.count())
+    index = cut_lineage(over_batches(evaluation, lambda b: entries(b, sig, costs)[1], ENTRY))
+    size = 8 * table_size(2 * index.count())
+
+    def mark(bits: np.ndarray, batch: pa.RecordBatch) -> None:
+        at = bucket_of(np.asarray(batch.column(0)).view(np.uint64), size)
+        np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+
+    there = merged_array(index.select("h"), mark, size // 8, np.bitwise_or, np.uint8)
+
+    def asked(batch: pa.RecordBatch) -> dict[str, object]:
+        out = entries(batch, sig, None)[1]
+        at = bucket_of(out["h"].view(np.uint64), size)
+        hit = (there[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        return {k: v[hit] for k, v in out.items()}
+
+    probe = cut_lineage(over_batches(train, asked, ENTRY))
+    hot = cut_lineage(probe.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > sig.salt_rows).select("h", (F.floor(F.col("n") / sig.salt_rows) + 1).cast("int").alias("parts")))
+    salt = F.lit(0)
+    if not hot.isEmpty():
+        parts = F.coalesce("parts", F.lit(1))
+        probe = probe.join(hot, "h", "left").withColumn("salt", F.pmod(F.xxhash64("class_id"), parts).cast("int"))
+        index = index.join(hot, "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    else:
+        probe, index = probe.withColumn("salt", salt), index.withColumn("salt", salt)
+    probe, index = probe.alias("t"), index.alias("e")
     left, right = F.col("t.place") - F.col("e.place"), (F.col("t.size") - F.col("t.place")) - (F.col("e.size") - F.col("e.place"))
     met = (
         probe.join(index, (F.col("t.h") == F.col("e.h")) & (F.col("t.salt") == F.col("e.salt")) & (F.col("t.class_id") != F.col("e.class_id")))

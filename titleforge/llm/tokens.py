@@ -79,7 +79,9 @@ def _pieces(long: DataFrame, id_col: str, chunk: int, overlap: int) -> DataFrame
     starts = F.sequence(F.lit(0), (F.greatest(n - overlap, F.lit(1)) - 1).cast("int"), F.lit(chunk))
     cut = long.select(id_col, "text", F.posexplode(starts).alias("k", "start"))
     # the text is cut before the shuffle that spreads the chunks
-    cut = cut.select(id_col, "k", "start", F.expr(f"substring(text, start + 1, {chunk + overlap})").alias("text")).repartition(id_col, "k")
+    cut = cut.select(id_col, "k", "start", F.expr(f"substring(text, start + 1, {chunk + overlap})").alias("text"))
+    # by number, as chunks are few and small beside the work on them, which a shuffle sized by bytes would give to one task
+    cut = cut.repartition(max(2, long.sparkSession.sparkContext.defaultParallelism), id_col, "k")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
