@@ -2,8 +2,8 @@
 
 Sparse multinomial logistic regression on TF-IDF character n-grams, trained with
 follow-the-regularised-leader and elastic-net penalties, then temperature calibration. It is fitted
-on a bounded sample of labelled documents whose extension agrees with their label. Scoring adds up
-the weights of the n-grams of each small unit (a line, or a statement of a very long line); a
+on a bounded sample per language of documents whose extension agrees with their label: chunks
+from all over their texts. Scoring adds up the weights of the n-grams of each small unit (a line, or a statement of a very long line); a
 Viterbi pass with a price for changing the language joins units to segments."""
 
 from __future__ import annotations
@@ -17,13 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titleforge.llm.arrow import bounded_sample
 
 ORDERS = (2, 3, 4)
 BITS = 16
 CHUNK = 300  # bytes a training example has, and the length at which evidence is as calibrated
 SCALE = 10.0
-BLOCK = 1 << 18  # bytes scored at once
+BLOCK = 1 << 14  # bytes scored at once: their weights stay in the processor's cache
 
 
 def _alphabet() -> np.ndarray:
@@ -61,31 +60,24 @@ class LangModel:
     def evidence(self, raw: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(summed weights, n-grams) of the units that begin at `starts`; `ends` holds the end of each text of `raw`."""
         out = np.zeros((len(starts), len(self.names)), np.float32)
-        live = (self.weights != 0).any(axis=1)
-        at = 0
-        while at < len(starts):
-            stop = max(int(np.searchsorted(starts, starts[at] + BLOCK)), at + 1)
-            low, high = int(starts[at]), int(starts[stop]) if stop < len(starts) else len(raw)
-            for a in range(low, high, 4 * BLOCK):  # only a unit beyond the block size needs several turns
-                b = min(high, a + 4 * BLOCK)
-                signs = SIGNS[raw[a : min(len(raw), b + max(ORDERS))]]
-                inner = np.clip(starts[at:stop] - a, 0, b - a)
-                edges = ends[np.searchsorted(ends, a, "right") : np.searchsorted(ends, b + max(ORDERS), "right")] - a
-                for order in ORDERS:
-                    h = gram_hashes(signs, order)[: b - a]
-                    use = live[h]
-                    for back in range(1, order):
-                        cross = edges - back
-                        use[cross[(cross >= 0) & (cross < b - a)]] = False
-                    where = np.flatnonzero(use)
-                    if not len(where):
-                        continue
-                    got = self.weights[h[where]]
-                    first = np.searchsorted(where, inner)
-                    some = np.diff(np.append(first, len(where))) > 0
-                    if some.any():
-                        out[at:stop][some] += np.add.reduceat(got, first[some], axis=0)
-            at = stop
+        nothing = len(self.weights)  # the row of n-grams that run over the end of a text
+        table = np.concatenate([self.weights, np.zeros((1, len(self.names)), np.float32)])
+        reach = max(ORDERS)
+        for a in range(0, len(raw), BLOCK):
+            b = min(len(raw), a + BLOCK)
+            signs = SIGNS[raw[a : min(len(raw), b + reach)]]
+            edges = ends[np.searchsorted(ends, a, "right") : np.searchsorted(ends, b + reach, "right")] - a
+            total = None
+            for order in ORDERS:
+                h = gram_hashes(signs, order)[: b - a].astype(np.int64)
+                for back in range(1, order):
+                    cross = edges - back
+                    h[cross[(cross >= 0) & (cross < b - a)]] = nothing
+                got = np.take(table, h, axis=0)
+                total = got if total is None else np.add(total, got, out=total)
+            first, last = int(np.searchsorted(starts, a, "right")) - 1, int(np.searchsorted(starts, b))
+            # sums along rows are several times faster than sums of rows
+            out[first:last] += np.add.reduceat(np.ascontiguousarray(total.T), np.maximum(starts[first:last], a) - a, axis=1).T
         sizes = np.diff(np.append(starts, len(raw)))
         return out, sizes * len(ORDERS)
 
@@ -143,62 +135,84 @@ def segment(sums: np.ndarray, docs: np.ndarray, price: float) -> np.ndarray:
     return path
 
 
-def train(texts: list[bytes], labels: np.ndarray, names: tuple[str, ...], *, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, rounds: int = 2, held_out: int = 8, seed: int = 7) -> LangModel:
-    """Fits on chunks of the texts; every `held_out`-th text only serves the temperature.
+def chunks_of(text: bytes, most: int | None = None) -> list[bytes]:
+    """The text in chunks; if there are more than `most`, as many spread evenly over the whole of it."""
+    starts = np.arange(0, max(len(text) - CHUNK // 3, 1), CHUNK)
+    if most is not None and len(starts) > most:
+        starts = starts[np.linspace(0, len(starts) - 1, most).round().astype(np.int64)]
+    return [text[a : a + CHUNK] for a in starts.tolist()]
+
+
+def train(chunks: list[bytes], labels: np.ndarray, docs: np.ndarray, names: tuple[str, ...], *, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, rounds: int = 2, batch: int = 16, held_out: int = 8, seed: int = 7) -> LangModel:
+    """Fits on chunks of texts (labels and docs: the label and the text of each); every `held_out`-th text only
+    serves the temperature. Steps are taken for small batches, of the features that occur in them.
 
     After the first round, chunks that the model surely gives to another language (embedded code,
     wrong labels) are left out."""
     size, k = 1 << BITS, len(names)
-    examples: list[tuple[np.ndarray, np.ndarray, int, int]] = []
-    for doc, (text, label) in enumerate(zip(texts, labels)):
-        raw = np.frombuffer(text, np.uint8)
-        for at in range(0, max(len(raw) - CHUNK // 3, 1), CHUNK):
-            signs = SIGNS[raw[at : at + CHUNK]]
-            h = np.concatenate([gram_hashes(signs, o)[: max(len(signs) - o + 1, 0)] for o in ORDERS])
-            if len(h):
-                f, c = np.unique(h, return_counts=True)
-                examples.append((f, c / len(h), int(label), doc))
-    df = np.zeros(size)
-    for f, _, _, _ in examples:
-        df[f] += 1
-    idf = np.log((1 + len(examples)) / (1 + df)) + 1
-    z, n = np.zeros((size, k)), np.zeros((size, k))
-    keep = np.ones(len(examples), bool)
+    features: list[np.ndarray] = []
+    shares: list[np.ndarray] = []
+    for chunk in chunks:
+        signs = SIGNS[np.frombuffer(chunk, np.uint8)]
+        h = np.concatenate([gram_hashes(signs, o)[: max(len(signs) - o + 1, 0)] for o in ORDERS])
+        f, c = np.unique(h, return_counts=True)
+        features.append(f.astype(np.int64))
+        shares.append((c / max(len(h), 1)).astype(np.float32))
+    full = np.array([len(f) > 0 for f in features], bool)
+    df = np.bincount(np.concatenate([*features, np.zeros(0, np.int64)]), minlength=size)
+    idf = (np.log((1 + len(chunks)) / (1 + df)) + 1).astype(np.float32)
+    z, n = np.zeros((size, k), np.float32), np.zeros((size, k), np.float32)
+    keep = full.copy()
     rng = np.random.default_rng(seed)
 
     def weights(rows: np.ndarray | slice) -> np.ndarray:
         zz = z[rows]
-        return np.where(np.abs(zz) > l1, (np.sign(zz) * l1 - zz) / ((beta + np.sqrt(n[rows])) / alpha + l2), 0.0)
-
-    def logits(i: int) -> np.ndarray:
-        f, tf, _, _ = examples[i]
-        return (tf * idf[f] * SCALE) @ weights(f)
-
-    fitted = np.array([i for i, e in enumerate(examples) if e[3] % held_out], np.int64)
+        return np.where(np.abs(zz) > l1, (np.sign(zz) * l1 - zz) / ((beta + np.sqrt(n[rows])) / alpha + l2), 0.0).astype(np.float32)
+
+    def matrix(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(features of these chunks, a row of their values per chunk)."""
+        all_ = np.concatenate([features[i] for i in some.tolist()])
+        there = np.zeros(size, bool)
+        there[all_] = True
+        rows = np.flatnonzero(there)
+        place = np.zeros(size, np.int64)
+        place[rows] = np.arange(len(rows))
+        x = np.zeros((len(some), len(rows)), np.float32)
+        x[np.repeat(np.arange(len(some)), [len(features[i]) for i in some.tolist()]), place[all_]] = np.concatenate([shares[i] for i in some.tolist()])
+        return rows, x * (idf[rows] * np.float32(SCALE))
+
+    def logits(some: np.ndarray) -> np.ndarray:
+        parts = [np.zeros((0, k), np.float32)]
+        for at in range(0, len(some), 64):
+            rows, x = matrix(some[at : at + 64])
+            parts.append(x @ weights(rows))
+        return np.concatenate(parts)
+
+    fitted = np.flatnonzero(full & (docs % held_out > 0))
     for turn in range(rounds):
-        for i in rng.permutation(fitted).tolist():
-            if not keep[i]:
-                continue
-            f, tf, label, _ = examples[i]
-            x = tf * idf[f] * SCALE
-            w = weights(f)
+        order = rng.permutation(fitted)
+        order = order[keep[order]]
+        for at in range(0, len(order), batch):
+            some = order[at : at + batch]
+            rows, x = matrix(some)
+            w = weights(rows)
             p = x @ w
-            p = np.exp(p - p.max())
-            p /= p.sum()
-            p[label] -= 1
-            g = x[:, None] * p[None]
-            g2 = g * g
-            z[f] += g - (np.sqrt(n[f] + g2) - np.sqrt(n[f])) / alpha * w
-            n[f] += g2
+            p = np.exp(p - p.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(some)), labels[some]] -= 1
+            g = x.T @ p
+            now = n[rows]
+            more = now + (x * x).T @ (p * p)  # the squares of each chunk's own step
+            z[rows] += g - (np.sqrt(more) - np.sqrt(now)) / alpha * w
+            n[rows] = more
         if turn + 1 < rounds:
-            for i in fitted.tolist():
-                s = logits(i)
-                keep[i] = s.max() - s[examples[i][2]] < 2.0
+            s = logits(fitted)
+            keep[fitted] = s.max(axis=1, initial=-np.inf) - s[np.arange(len(fitted)), labels[fitted]] < 2.0
     # temperature: least log loss on the held-out chunks, by golden section on its logarithm
-    rest = [i for i, e in enumerate(examples) if e[3] % held_out == 0]
+    rest = np.flatnonzero(full & (docs % held_out == 0))
     temperature = 1.0
-    if rest:
-        s, y = np.stack([logits(i) for i in rest]), np.array([examples[i][2] for i in rest])
+    if len(rest):
+        s, y = logits(rest).astype(float), labels[rest]
 
         def loss(t: float) -> float:
             v = s / np.exp(t)
@@ -210,23 +224,47 @@ def train(texts: list[bytes], labels: np.ndarray, names: tuple[str, ...], *, alp
             c, d = b - g * (b - a), a + g * (b - a)
             a, b = (a, d) if loss(c) < loss(d) else (c, b)
         temperature = float(np.exp((a + b) / 2))
-    return LangModel(names, (weights(slice(None)) * idf[:, None] * SCALE).astype(np.float32), temperature)
+    return LangModel(names, weights(slice(None)) * (idf * np.float32(SCALE))[:, None], temperature)
+
 
+def fit(documents: DataFrame, languages: DataFrame, *, sample: int = 4_000, per_document: int = 20) -> LangModel:
+    """The model of labelled documents (of no languages: one that finds nothing). It is fitted on about
+    `sample` documents, the same number for each language if there are as many, whose usual
+    extension agrees with the label: those of least id hash. Of each at most `per_document` chunks are
+    used, spread over its whole text. What is gathered is bounded by these two numbers.
 
-def fit(documents: DataFrame, languages: DataFrame, *, sample: int = 3_000, most_bytes: int = 6_000) -> LangModel:
-    """The model of labelled documents (of no languages: one that finds nothing): at most `sample` whose usual extension agrees with the label,
-    those of least id hash, and of each at most `most_bytes` bytes for training."""
+    Documents are counted by language first, from two short columns; their texts are read once."""
     known = sorted((r.lang, r.usual_ext) for r in languages.select("lang", "usual_ext").limit(1_000).collect())
     names = tuple(k for k, _ in known)
     if not names:
         return LangModel((), np.zeros((1 << BITS, 0), np.float32), 1.0)
     usual = F.create_map(*(F.lit(x) for pair in known for x in pair))
     ext = F.regexp_extract(F.lower("file_path"), r"\.(\w+)$", 1)
-    chosen = documents.where(F.col("lang").isin(*names) & (F.length("text") > 20) & (usual[F.col("lang")] == ext)).select("doc_id", "lang")
-    picked = bounded_sample(chosen, "doc_id", sample)  # so small that it may be broadcast
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "lang", F.substring("text", 1, most_bytes).alias("text")).toPandas().sort_values(["doc_id", "text"])
-    at = {n: k for k, n in enumerate(names)}
-    return train([t.encode()[:most_bytes] for t in rows["text"]], np.array([at[x] for x in rows["lang"]]), names)
+    agreed = documents.where(F.col("lang").isin(*names) & (usual[F.col("lang")] == ext))
+    counts = {r.lang: r["n"] for r in agreed.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    each = max(8, sample // len(names))
+    share = {x: min(1.0, (1.5 * each + 20) / max(n, 1)) for x, n in counts.items()}
+    top = {x: int(-(2**63) + s * 2**64) if s < 1 else 2**63 - 1 for x, s in share.items()}
+    if not top:
+        return LangModel(names, np.zeros((1 << BITS, len(names)), np.float32), 1.0)
+    limit = F.create_map(*(F.lit(v) for pair in top.items() for v in pair))[F.col("lang")]
+    h = F.xxhash64("doc_id")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [chunks_of(x.encode(), per_document) if x and len(x) > 20 else [] for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.binary()))], names=["h", "lang", "chunks"])
+
+    picked = agreed.where(h <= limit).select(h.alias("h"), "lang", F.col("text").cast("string").alias("text")).mapInArrow(cut, "h long, lang string, chunks array<binary>")
+    taken: dict[str, int] = {}
+    chunks, labels, docs = [], [], []
+    for number, row in enumerate(sorted(picked.where(F.size("chunks") > 0).collect())):
+        taken[row.lang] = taken.get(row.lang, 0) + 1
+        if taken[row.lang] <= each:
+            chunks += row.chunks
+            labels += [names.index(row.lang)] * len(row.chunks)
+            docs += [number] * len(row.chunks)
+    return train([bytes(c) for c in chunks], np.array(labels, np.int64), np.array(docs, np.int64), names)
 
 
 @dataclass(frozen=True)
