@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -78,6 +79,15 @@ def test_garbled_titles_are_found(model, pair, whole):
         assert back == title
 
 
+def test_blocks_are_bounded_by_cells(model, monkeypatch):
+    texts = ["x" * 40 + mojibake.PAIRS[1].garble(TITLES[k % 5])[0] * (1 + k % 7) for k in range(30)]
+    points, offsets, _ = to_codepoints(pa.array(texts))
+    whole = model.label(points, offsets)
+    monkeypatch.setattr(mojibake, "CELLS", 500)
+    parts = model.label(points, offsets)
+    assert len(whole) == 30 and all(a == b and (x == y).all() for (a, x), (b, y) in zip(sorted(whole, key=lambda r: r[0]), sorted(parts, key=lambda r: r[0])))
+
+
 @pytest.mark.parametrize("title", [*TITLES[:5], TITLES[0] + " São João", TITLES[0] + "(Ærø)", TITLES[2] + "£5", TITLES[3] + "®", "ＡＢ" + TITLES[0], "​" + TITLES[1], "", "x", "中" * 20_000])
 def test_clean_titles_are_not(model, title):
     points, offsets, _ = to_codepoints(pa.array([title]))
@@ -121,6 +131,12 @@ def test_term_counts(spark, monkeypatch):
     rows = {r.term: (r.occurrences, r.records, r.mark) for r in terms.term_counts(df).collect()}
     assert rows == {k: (a, b, "rare" if b < 3 else "common" if b > 0.05 * len(once) else None) for k, (a, b) in expect.items()}
     assert terms.term_counts(df.limit(0)).count() == 0
+    for unit, sizes, cut in (("characters", (1, 4), lambda t: [t[i : i + k] for k in (1, 4) for i in range(len(t) - k + 1)]), ("words", (2,), lambda t: regex.findall(r"[\p{L}\p{N}]+", t)), ("values", (2,), lambda t: [t])):
+        many = {(r.term, r.occurrences, r.records) for r in terms.term_counts(df, unit=unit, sizes=sizes).collect()}
+        pairs = [(x, i) for i, t in once.items() for x in cut(t)]
+        assert many == {(x, sum(y == x for y, _ in pairs), len({i for y, i in pairs if y == x})) for x, _ in pairs}
+    with pytest.raises(ValueError):
+        terms.term_counts(df, sizes=(0,))
 
 
 # Tokens
@@ -171,11 +187,16 @@ def languages(data):
     return docs, tuple(sorted(usual))
 
 
+def fitted(docs, names):
+    chunks = [langid.chunks_of(t.encode(), 20) for t in docs.text]
+    sizes = [len(c) for c in chunks]
+    return langid.train([c for x in chunks for c in x], np.repeat([names.index(x) for x in docs.lang], sizes), np.repeat(np.arange(len(docs)), sizes), names)
+
+
 def test_languages_held_out(languages):
     docs, names = languages
-    at = {n: k for k, n in enumerate(names)}
     half = len(docs) // 2
-    model = langid.train([t.encode()[:6000] for t in docs.text[:half]], np.array([at[x] for x in docs.lang[:half]]), names)
+    model = fitted(docs[:half], names)
     test = docs[half:]
     doc, _, _, lang, sure, solid = langid._analyse(model, langid.Rules(label_weight=0.0), pa.array(test.text), [None] * len(test))
     table = np.zeros((len(test), len(names)))
@@ -193,9 +214,7 @@ def test_languages_held_out(languages):
 @pytest.fixture(scope="module")
 def half_model(languages):
     docs, names = languages
-    at = {n: k for k, n in enumerate(names)}
-    half = docs[: len(docs) // 2]
-    return langid.train([t.encode()[:6000] for t in half.text], np.array([at[x] for x in half.lang]), names)
+    return fitted(docs[: len(docs) // 2], names)
 
 
 PYTHON, SQL = "import os\n\ndef f(x):\n    return [y for y in x if y]\n\n", "SELECT a, COUNT(*) FROM t WHERE b IS NOT NULL GROUP BY a;\nINSERT INTO t (a) VALUES (1);\n"

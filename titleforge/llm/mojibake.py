@@ -21,6 +21,7 @@ from titleforge.llm.codepoints import SIZE, to_codepoints
 
 TOP = 0x10000  # planes above the first share one emission
 LOSS = "�"
+CELLS = 1 << 18  # characters of a block, padding included
 
 
 @dataclass(frozen=True)
@@ -133,8 +134,12 @@ class Model:
         rows = np.flatnonzero(bound > self.price)
         out = []
         rows = rows[np.argsort(sizes[rows], kind="stable")]
-        for at in range(0, len(rows), 512):
-            some = rows[at : at + 512]
+        at = 0
+        while at < len(rows):
+            # a block is padded to its longest row, so its cells are bounded, and not only its rows
+            padded = sizes[rows[at : at + 512]] * np.arange(1, len(rows[at : at + 512]) + 1)
+            some = rows[at : at + max(1, int(np.searchsorted(padded, CELLS, "right")))]
+            at += len(some)
             states = self._viterbi(points, offsets[some], sizes[some])
             out += [(int(r), states[k, : sizes[r]]) for k, r in enumerate(some) if states[k, : sizes[r]].any()]
         return out
@@ -201,13 +206,14 @@ class Model:
         return "".join([*out, text[at:]]), met, whole
 
 
-def fit(benchmark: DataFrame, *, id_col: str = "title_id", text: str = "title", sample: int = 3000) -> Model:
+def fit(benchmark: DataFrame, *, id_col: str = "title_id", text: str = "title", sample: int = 3000, pairs: tuple[Pair, ...] = PAIRS) -> Model:
     """The model of a benchmark table. Character counts cover all of it; the pairs' emissions are
-    learned from at most `sample` titles, those of least id hash."""
+    learned from at most `sample` titles, those of least id hash. Text of encodings that are not among
+    `pairs` is found only as far as it looks like one that is."""
     texts = benchmark.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     counts = bucket_counts(texts.select("text"), lambda b: to_codepoints(b.column(0))[0], SIZE)
     picked = [r.text for r in bounded_sample(texts, "id", sample).collect()]
-    return Model(counts.astype(float), picked)
+    return Model(counts.astype(float), picked, pairs)
 
 
 def restored(log: DataFrame, model: Model, *, text: str = "title", keep: tuple[str, ...] = ("line_no",)) -> DataFrame:

@@ -37,6 +37,18 @@ def p3_terms(spark: SparkSession, sf: str) -> DataFrame:
     return terms.term_counts(table(spark, sf, "titles"))
 
 
+def p3_words(spark: SparkSession, sf: str) -> DataFrame:
+    return terms.term_counts(table(spark, sf, "titles"), unit="words")
+
+
+def p3_values(spark: SparkSession, sf: str) -> DataFrame:
+    return terms.term_counts(table(spark, sf, "titles"), unit="values")
+
+
+def p3_long(spark: SparkSession, sf: str) -> DataFrame:
+    return terms.term_counts(table(spark, sf, "titles"), sizes=(1, 5))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return copies.copy_pairs(table(spark, sf, "title_records"))
 
@@ -76,22 +88,23 @@ def p10_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_originals, p2_found, p2_report, p3_found, p3_terms, p4_found, p4_collapsed, p5_found, p5_plain, p6_found, p8_ids, p9_packed, p10_found, p10_segments)
+    for f in (p1_found, p1_originals, p2_found, p2_report, p3_found, p3_terms, p3_words, p3_values, p3_long, p4_found, p4_collapsed, p5_found, p5_plain, p6_found, p8_ids, p9_packed, p10_found, p10_segments)
 }
 
-_TERMS = """
-WITH once AS (SELECT title_id, min(title) AS title FROM titles WHERE title IS NOT NULL GROUP BY title_id),
+_ONCE = "WITH once AS (SELECT title_id, min(title) AS title FROM titles WHERE title IS NOT NULL GROUP BY title_id),"
+_PLACES = """
 places AS (SELECT title_id, title, k, unnest(range(1, length(title) - k + 2)) AS i FROM once, (VALUES (2), (3)) AS sizes(k)),
-counts AS (
-    SELECT substring(title, CAST(i AS INTEGER), k) AS term, count(*) AS occurrences, count(DISTINCT title_id) AS records
-    FROM places GROUP BY 1
-),
+terms AS (SELECT title_id, substring(title, CAST(i AS INTEGER), k) AS term FROM places),
+"""
+_MARKS = """
+counts AS (SELECT term, count(*) AS occurrences, count(DISTINCT title_id) AS records FROM terms GROUP BY 1),
 marked AS (
     SELECT term, occurrences, records,
         CASE WHEN records < 3 THEN 'rare' WHEN records > 0.05 * (SELECT count(*) FROM once) THEN 'common' END AS mark
     FROM counts
 )
 """
+_TERMS = _ONCE + _PLACES + _MARKS
 _KEYED = "WITH keyed AS (SELECT record_id, " + " || chr(31) || ".join(
     rf"regexp_replace(lower(coalesce(json_extract_string(payload, '$.{f}'), '')), '[^\p{{L}}\p{{N}}]+', '', 'g')" for f in copies.FIELDS
 ) + " AS k FROM title_records WHERE payload IS NOT NULL), kept AS (SELECT record_id, min(record_id) OVER (PARTITION BY k) AS kept_id FROM keyed)"
@@ -99,6 +112,9 @@ _KEYED = "WITH keyed AS (SELECT record_id, " + " || chr(31) || ".join(
 SQL: dict[str, str] = {
     "p3_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p3_terms": _TERMS + "SELECT term, occurrences, records, mark FROM marked",
+    "p3_words": _ONCE + r" terms AS (SELECT title_id, unnest(regexp_extract_all(title, '[\p{L}\p{N}]+')) AS term FROM once)," + _MARKS + "SELECT term, occurrences, records, mark FROM marked",
+    "p3_values": _ONCE + " terms AS (SELECT title_id, title AS term FROM once)," + _MARKS + "SELECT term, occurrences, records, mark FROM marked",
+    "p3_long": _ONCE + _PLACES.replace("(2), (3)", "(1), (5)") + _MARKS + "SELECT term, occurrences, records, mark FROM marked",
     "p4_found": _KEYED + " SELECT DISTINCT kept_id, record_id AS copy_id FROM kept WHERE record_id <> kept_id",
     "p4_collapsed": _KEYED + " SELECT kept_id, count(*) AS copies FROM kept GROUP BY kept_id",
 }
