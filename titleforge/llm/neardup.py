@@ -26,7 +26,7 @@ from titleforge.llm.arrow import PART, merged_array, over_batches
 from titleforge.llm.codepoints import from_codepoints, keep, letters_and_digits, lower_case, row_of, to_codepoints
 from titleforge.llm.components import components
 from titleforge.llm.edits import EditSignatures, bucket_of, mixed
-from titleforge.llm.overlap import ENTRY, entries, shingle_costs, table_size
+from titleforge.llm.overlap import ENTRY, crowded, entries, shingle_costs, table_size
 from titleforge.session import cut_lineage
 
 BREAK = 0x1F  # between segments
@@ -223,8 +223,7 @@ def _pairs_between(classes: DataFrame, sig: EditSignatures, rows: int, crowd: in
         return {k: v[other] for k, v in out.items()}
 
     probe = cut_lineage(over_batches(classes, asked, schema))
-    per = probe.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("most"))
-    crowds = cut_lineage(per.where(F.col("n") > crowd).select("h", "most", (F.floor(F.col("n") / sig.salt_rows) + 1).cast("int").alias("parts")))
+    maybe = crowded(probe.select("h", "root"), crowd)
 
     def join(i: DataFrame, p: DataFrame) -> DataFrame:
         i, p = i.alias("i"), p.alias("p")
@@ -239,8 +238,10 @@ def _pairs_between(classes: DataFrame, sig: EditSignatures, rows: int, crowd: in
             )
         )
 
-    if crowds.isEmpty():
+    if maybe is None:
         return join(index.withColumn("salt", F.lit(0)), probe.withColumn("salt", F.lit(0))).distinct()
+    per = maybe.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("most"))
+    crowds = cut_lineage(per.where(F.col("n") > crowd).select("h", "most", (F.floor(F.col("n") / sig.salt_rows) + 1).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
     probe = cut_lineage(probe.join(crowds, "h", "left").withColumn("salt", F.pmod(F.xxhash64("class_id"), parts).cast("int")))
     index = cut_lineage(index.join(crowds, "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))))

@@ -63,6 +63,19 @@ def entries(batch: pa.RecordBatch, sig: EditSignatures, costs: np.ndarray | None
     return row, {"class_id": ids[row], "h": h.view(np.int64), "place": place.astype(np.int32), "size": sizes[row].astype(np.int32), "bag": bags[row]}
 
 
+def crowded(entries: DataFrame, most: int, size: int = 1 << 18) -> DataFrame | None:
+    """The rows of `entries` (h, ...) whose shingle may occur more than `most` times: those of full buckets
+    of a table of fixed size. None if there are none, as on most data; what is left is to be counted exactly."""
+
+    def buckets(batch: pa.RecordBatch) -> np.ndarray:
+        return bucket_of(np.asarray(batch.column(0)).view(np.uint64), size)
+
+    full = bucket_counts(entries.select("h"), buckets, size) > most
+    if not full.any():
+        return None
+    return entries.mapInArrow(lambda batches: (b.filter(pa.array(full[buckets(b)])) for b in batches), entries.schema)
+
+
 def near_classes(classes: DataFrame, edits: int = 3) -> DataFrame:
     """(train_class, eval_class): the classes within `edits` edits of each other, themselves excepted.
 
@@ -86,14 +99,14 @@ def near_classes(classes: DataFrame, edits: int = 3) -> DataFrame:
         return {k: v[hit] for k, v in out.items()}
 
     probe = cut_lineage(over_batches(train, asked, ENTRY))
-    hot = cut_lineage(probe.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > sig.salt_rows).select("h", (F.floor(F.col("n") / sig.salt_rows) + 1).cast("int").alias("parts")))
-    salt = F.lit(0)
-    if not hot.isEmpty():
-        parts = F.coalesce("parts", F.lit(1))
+    maybe = crowded(probe.select("h"), sig.salt_rows)
+    if maybe is not None:
+        hot = maybe.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > sig.salt_rows).select("h", (F.floor(F.col("n") / sig.salt_rows) + 1).cast("int").alias("parts"))
+        hot, parts = cut_lineage(hot), F.coalesce("parts", F.lit(1))
         probe = probe.join(hot, "h", "left").withColumn("salt", F.pmod(F.xxhash64("class_id"), parts).cast("int"))
         index = index.join(hot, "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     else:
-        probe, index = probe.withColumn("salt", salt), index.withColumn("salt", salt)
+        probe, index = probe.withColumn("salt", F.lit(0)), index.withColumn("salt", F.lit(0))
     probe, index = probe.alias("t"), index.alias("e")
     left, right = F.col("t.place") - F.col("e.place"), (F.col("t.size") - F.col("t.place")) - (F.col("e.size") - F.col("e.place"))
     met = (
