@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
+from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Finish reasons of a truncated response, and terms of error messages.
@@ -46,6 +48,36 @@ def error_class(status: Column, message: Column) -> Column:
     )
 
 
+def truncated(finish_reason: str, completion_tokens: int, budget: int) -> bool:
+    """`hit_token_limit` of one response."""
+    reason = finish_reason.strip().lower()
+    return reason in TRUNCATED or (not reason and completion_tokens >= budget)
+
+
+def error_kind(status: int | None, message: str) -> str:
+    """`error_class` of one error."""
+    low = message.lower()
+    if status == 402 or any(t in low for t in BALANCE_TERMS):
+        return "balance_exhausted"
+    if status in RETRYABLE or (status is None and any(t in low for t in NETWORK_TERMS)):
+        return "transient"
+    return "invalid_parameters" if status in (400, 422) else "permanent"
+
+
+def delay(attempt: int, retry_after: object = None, *, base: float = 2.0, most: float = 60.0) -> float:
+    """`retry_delay` of one attempt."""
+    try:
+        wish = float(str(retry_after))
+    except ValueError:
+        wish = math.nan
+    return min(most, base * 2.0**attempt if math.isnan(wish) else max(0.0, wish))
+
+
+def now() -> str:
+    """`utc_now` outside of Spark."""
+    return datetime.now(timezone.utc).isoformat(timespec="microseconds")
+
+
 def retry_delay(attempt: Column, retry_after: Column, *, base: float = 2.0, most: float = 60.0, jitter: Column | None = None) -> Column:
     """Seconds to wait: the server's wish, if it is a number, else a doubling delay; both at most `most`."""
     number = retry_after.try_cast("double")
@@ -54,41 +86,55 @@ def retry_delay(attempt: Column, retry_after: Column, *, base: float = 2.0, most
     return F.least(F.lit(most), F.coalesce(wish, grown))
 
 
+# Whose requests these are, by provider name and address, the part of the model's name that
+# decides, and the syntaxes to try in order. The first row that fits holds.
+PROFILES = (
+    ("deepseek", "api.deepseek.com", "", ("deepseek_thinking",)),
+    ("siliconflow", "siliconflow", "glm-5.2", ("thinking_object", "siliconflow_enable")),
+    ("siliconflow", "siliconflow", "kimi-k2.6", ("siliconflow_enable", "thinking_object")),
+    ("siliconflow", "siliconflow", "", ("siliconflow_enable",)),
+)
+USUAL = ("thinking_object",)
+# What each syntax adds to a request, the budget left to be filled in.
+SYNTAX = {"deepseek_thinking": {"thinking": {"type": "enabled"}}, "siliconflow_enable": {"enable_thinking": True, "thinking_budget": None}, "thinking_object": {"thinking": {"type": "enabled"}}}
+
+
 def thinking_profiles(provider: Column, model_id: Column, base_url: Column) -> Column:
     """The request syntaxes to try, in order, inferred from a provider's name, model and address."""
     p, m, u = (F.lower(F.coalesce(c, F.lit(""))) for c in (provider, model_id, base_url))
-    names = lambda *x: F.array(*map(F.lit, x))
-    flow = (p == "siliconflow") | u.contains("siliconflow")
-    return (
-        F.when((p == "deepseek") | u.contains("api.deepseek.com"), names("deepseek_thinking"))
-        .when(flow & m.contains("glm-5.2"), names("thinking_object", "siliconflow_enable"))
-        .when(flow & m.contains("kimi-k2.6"), names("siliconflow_enable", "thinking_object"))
-        .when(flow, names("siliconflow_enable"))
-        .otherwise(names("thinking_object"))
-    )
-
-
-def request_body(model: Column, prompts: Column, token_parameter: Column, max_tokens: Column, profile: Column, *, temperature: float = 0.6, top_p: float = 0.95, frequency_penalty: float = 0.5, reasoning_effort: str = "high", thinking_budget: int = 1_024) -> Column:
-    """The body of a chat request as JSON text, with the profile's syntax for thinking."""
-    enable = F.when(profile == "siliconflow_enable", F.lit(True))
-    return F.to_json(
-        F.struct(
-            model.alias("model"),
-            prompts.alias("messages"),
-            F.lit(True).alias("stream"),
-            F.lit(temperature).alias("temperature"),
-            F.lit(top_p).alias("top_p"),
-            F.lit(frequency_penalty).alias("frequency_penalty"),
-            F.lit(reasoning_effort).alias("reasoning_effort"),
-            F.create_map(token_parameter, max_tokens).alias("token_limit"),
-            F.struct(F.lit("json_object").alias("type")).alias("response_format"),
-            F.struct(
-                F.when(profile.isin("deepseek_thinking", "thinking_object"), F.struct(F.lit("enabled").alias("type"))).alias("thinking"),
-                enable.alias("enable_thinking"),
-                F.when(enable, F.lit(thinking_budget)).alias("thinking_budget"),
-            ).alias("extra_body"),
-        )
-    )
+    out = F.array(*map(F.lit, USUAL))
+    for name, address, part, profiles in reversed(PROFILES):
+        out = F.when(((p == name) | u.contains(address)) & m.contains(part), F.array(*map(F.lit, profiles))).otherwise(out)
+    return out
+
+
+def profiles_of(provider: str, model: str, url: str) -> list[str]:
+    """The same for one configuration."""
+    p, m, u = provider.lower(), model.lower(), url.lower()
+    return list(next((x for name, address, part, x in PROFILES if (p == name or address in u) and part in m), USUAL))
+
+
+def request_body(
+    model: Column, prompts: Column, token_parameter: Column, max_tokens: Column, profile: Column, *, extra: Column | None = None,
+    temperature: float = 0.6, top_p: float = 0.95, frequency_penalty: float = 0.5, reasoning_effort: str = "high", thinking_budget: int = 1_024,
+) -> Column:
+    """The body of a chat request as JSON text: the token limit under the provider's own name for it, and
+    in extra_body the object `extra` of the configuration (JSON text) with the profile's syntax for
+    thinking, which goes before it. An unknown profile is an error."""
+    head = F.to_json(F.struct(model.alias("model"), prompts.alias("messages")))
+    shared = json.dumps({"stream": True, "stream_options": {"include_usage": True}, "temperature": temperature, "top_p": top_p, "frequency_penalty": frequency_penalty, "reasoning_effort": reasoning_effort, "response_format": {"type": "json_object"}}, separators=(",", ":"))
+    unknown = F.raise_error(F.concat(F.lit("unknown thinking profile: "), F.coalesce(profile, F.lit("null")))).cast("string")
+    own = unknown
+    for name, fields in SYNTAX.items():
+        text = json.dumps({k: thinking_budget if v is None else v for k, v in fields.items()}, separators=(",", ":"))
+        own = F.when(profile == name, F.lit(text)).otherwise(own)
+    if extra is not None:
+        given = F.from_json(extra, "map<string, variant>")
+        both = F.map_concat(F.map_filter(given, lambda k, _: ~F.array_contains(F.json_object_keys(own), k)), F.from_json(own, "map<string, variant>"))
+        own = F.when(given.isNull(), own).otherwise(F.to_json(both))
+    inner = lambda x: F.substring(x, F.lit(2), F.length(x) - 2)  # noqa: E731  without the braces
+    limit = F.concat(F.lit('"'), token_parameter, F.lit('":'), max_tokens.cast("string"))
+    return F.concat(F.lit("{"), inner(head), F.lit(","), inner(F.lit(shared)), F.lit(","), limit, F.lit(',"extra_body":'), own, F.lit("}"))
 
 
 def stage_budget(stage: Column, stages: Sequence[int], *, geometric: bool = False, most: int = 262_144) -> Column:
@@ -160,9 +206,10 @@ def utc_now() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
-def row_hash(*columns: Column) -> Column:
-    """SHA-256 of the columns as canonical JSON: keys in the order given, no blanks, nulls left out."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+def row_hash(*names: str) -> Column:
+    """SHA-256 of columns as canonical JSON: keys in order, no blanks, text as it is, null for null. The same
+    as `stable_hash` of the row's columns as a dictionary."""
+    return F.sha2(F.to_json(F.struct(*(F.col(n) for n in sorted(names))), {"ignoreNullFields": "false"}), 256)
 
 
 def stable_hash(value: Any) -> str:
@@ -177,3 +224,29 @@ def plan_signature(stages: Sequence[int], policy: str = "repeat_until_success")
 def condition_signature(*, experiment: str, prompt: str, model: str, provider: str, thinking_profiles: Sequence[str], shared_request_policy: dict[str, Any]) -> str:
     """Binds results to the exact prompt, model and request settings."""
     return stable_hash(dict(experiment=experiment, prompt=prompt, model=model, provider=provider, thinking_profiles=list(thinking_profiles), shared_request_policy=shared_request_policy))
+
+
+def condition_signatures(configs: Sequence[Mapping[str, Any]], prompt: str, policy: dict[str, Any], experiment: str = "llm_title_detection") -> dict[str, str]:
+    """The current signature of every configured model, by its display name."""
+    return {c["name"]: condition_signature(experiment=experiment, prompt=prompt, model=c["model"], provider=c["provider"], thinking_profiles=c["thinking_profiles"], shared_request_policy=policy) for c in configs}
+
+
+def policy_signature(signatures: Mapping[str, str], stages: Sequence[int], *, policy: str = "repeat_until_success", geometric: bool = False, most: int = 262_144) -> str:
+    """Binds a run to its models' signatures and its plan of stages."""
+    return stable_hash({"condition_signatures": dict(signatures), "token_stages": list(stages), "token_stage_policy": policy, "token_plan_signature": plan_signature(stages, policy), "escalate_after_max": geometric, "max_escalation_tokens": most})
+
+
+def evaluation_signature(titles: DataFrame) -> str:
+    """One hash of all (subset, id, title, gold_label) in their order, whatever the number of rows.
+
+    Rows are sorted in ranges and hashed where they are; the hashes, one per row of 64 signs, are folded
+    range by range, and one hash per range is folded on the driver. Not equal to a hash of the whole
+    list as one text, which would need all rows in one place; equal for equal tables however they lie."""
+    from titleforge.operators.tables import ordered_ordinal
+
+    names = ("subset", "id", "title", "gold_label")
+    rows = ordered_ordinal(titles.select(*names).select(*names, row_hash(*names).alias("_hash")), ["subset", "id", "title", "gold_label"], "_n")
+    block = F.floor((F.col("_n") - 1) / 10_000)
+    folded = rows.groupBy(block.alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_hash"))), lambda x: x["_hash"]), ""), 256).alias("h"))
+    folded = folded.groupBy(F.floor(F.col("b") / 10_000).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
+    return stable_hash([r.h for r in folded.orderBy("b").collect()])  # one row per hundred million titles

@@ -140,28 +140,35 @@ def parse_response(raw: Column) -> Column:
     return let(let(let(text, read), judge), settle)
 
 
-def _exact(raw: str | None) -> tuple[str, str, float, bool]:
-    text = (raw or "").strip()
-    text = re.sub(r"^```(?:json)?\s*", "", text, flags=re.IGNORECASE)
-    text = re.sub(r"\s*```$", "", text)
-    begin, end = text.find("{"), text.rfind("}")
-    if 0 <= begin < end:
-        try:
-            got = json.loads(text[begin : end + 1])
-            value = float(got.get("confidence", 0.5))
-            label = str(got.get("label", "")).strip().capitalize()
-            if label in LABELS:
-                return label, str(got.get("explanation", "")).strip(), 0.0 if math.isnan(value) else min(max(value, 0.0), 1.0), True
-        except (ValueError, TypeError):
-            pass
-    word = re.search(r"\b(yes|no)\b", text, re.IGNORECASE)
-    return (word[1].capitalize() if word else ""), text[:200], 0.5, False
+_FENCE = re.compile(r"(?:\A```(?:json)?\s*)?(.*?)(?:\s*```)?\Z", re.IGNORECASE | re.DOTALL)
+_WORD = re.compile(r"\b(?:yes|no)\b", re.IGNORECASE)
+
+
+def _object(body: str) -> tuple[str, str, float] | None:
+    """(label, explanation, confidence) of the outer object of a text; None without a legal label or a number."""
+    try:
+        fields = json.loads(body[body.index("{") : body.rindex("}") + 1])
+        label, confidence = str(fields.get("label", "")).strip().lower(), float(fields.get("confidence", 0.5))
+    except (ValueError, TypeError, AttributeError):
+        return None
+    legal = {x.lower(): x for x in LABELS}
+    held = 0.0 if math.isnan(confidence) else min(1.0, max(0.0, confidence))
+    return (legal[label], str(fields.get("explanation", "")).strip(), held) if label in legal else None
+
+
+def read_response(raw: str | None) -> tuple[str, str, float, bool]:
+    """(label, explanation, confidence, format_valid) of one response, by the rules of a strict JSON parser."""
+    bare = _FENCE.match((raw or "").strip())[1]  # type: ignore[index]  it matches any text
+    if found := _object(bare):
+        return *found, True
+    word = _WORD.search(bare)
+    return word[0].capitalize() if word else "", bare[:200], 0.5, False
 
 
 @F.pandas_udf(RESPONSE)  # type: ignore[call-overload]
 def parse_response_exact(raw: pd.Series) -> pd.DataFrame:
     """As `parse_response`, with the rules of a strict JSON parser in every corner, over Arrow batches."""
-    return pd.DataFrame([_exact(x) for x in raw], columns=["label", "explanation", "confidence", "format_valid"])
+    return pd.DataFrame([read_response(x) for x in raw], columns=["label", "explanation", "confidence", "format_valid"])
 
 
 def char_ngrams(text: Column, sizes: Sequence[int] = (2, 3, 4, 5)) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +40,23 @@ def ordinal_id(prefix: Column, ordinal: Column) -> Column:
     return F.format_string("%s-%04d", prefix, ordinal)
 
 
+def group_ordinal(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "ordinal") -> tuple[DataFrame, DataFrame]:
+    """(`df` with row numbers from 0 in each group, (by, n) with the groups' sizes), for groups of any size.
+
+    Rows are numbered in the order of group and `order` over all partitions; a group's first number
+    comes off. No task sees a whole group; nulls are a group."""
+    rows = ordered_ordinal(df, [*by, *order], "_all")
+    groups = rows.groupBy(*by).agg(F.min("_all").alias("_first"), F.count("*").alias("n"))
+    joined = join_null_safe(rows, groups.drop("n"), by)
+    return joined.select(*df.columns, (F.col("_all") - F.col("_first")).alias(name)), groups.drop("_first")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Inner join on equal columns `by`, where null equals null; `by` comes out once."""
+    named = right.withColumnsRenamed({c: f"_right_{c}" for c in by})
+    return left.join(named, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in by))).drop(*(f"_right_{c}" for c in by))
+
+
 def head_per_group(df: DataFrame, n: int, *, by: str, order: str) -> DataFrame:
     """The first n rows of each group in `order`. Partial tops: a group is cut before its rows meet."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_rn") <= n).drop("_rn")
@@ -68,6 +87,6 @@ def duplicate_names(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy(name).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def require_columns(df: DataFrame, names: Sequence[str]) -> None:
+def require_columns(df: DataFrame, names: Sequence[str], what: str = "the table") -> None:
     if missing := sorted(set(names) - set(df.columns)):
-        raise ValueError(f"missing columns: {missing}")
+        raise ValueError(f"{what} is missing columns: {missing}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,38 +16,44 @@ from titleforge.session import cut_lineage
 KEY = state.KEY
 
 
-def log_tables(log: DataFrame, titles: DataFrame, signatures: DataFrame | None = None, *, rounds: int = 1_000, seed: int = 42, rng: str = "multinomial") -> dict[str, DataFrame]:
-    """llm_predictions, llm_metrics and pairwise_mcnemar of an append-only log.
+def log_tables(log: DataFrame, titles: DataFrame, signatures: DataFrame, *, rounds: int = 1_000, seed: int = 42, rng: str = "multinomial") -> dict[str, DataFrame]:
+    """llm_predictions, llm_metrics and pairwise_mcnemar of an append-only log, for the lines of the current signatures.
 
     rng `numpy` draws the bootstrap from numpy's index stream, for small logs only."""
-    success = cut_lineage(state.latest_success(log, signatures if signatures is not None else state.current_signatures(log), titles))
+    success = cut_lineage(state.latest_success(log, signatures, titles))
     draw = resample.bootstrap_numpy if rng == "numpy" else resample.bootstrap
     table = metrics.evaluation(success).join(draw(success, rounds=rounds, seed=seed), ["model_name", "subset"], "left")
     return {"llm_predictions": success.orderBy(*KEY), "llm_metrics": table.orderBy("model_name", "subset"), "pairwise_mcnemar": paired.pairwise_mcnemar(success).orderBy("subset", "model_a", "model_b")}
 
 
-def preview(log: DataFrame, titles: DataFrame, models: DataFrame) -> dict[str, int]:
-    """What a run would do, without doing it: requests expected, done and left."""
+def preview(log: DataFrame, titles: DataFrame, models: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(titles, expected, completed, remaining) in one row: what a run would do, without doing it."""
     expected = state.expected_keys(titles, models)
-    done = state.latest_success(log, state.current_signatures(log), titles)
-    row = state.progress(expected, done).agg(F.sum("expected").alias("e"), F.sum("completed").alias("c")).first()
-    return {"expected": row.e or 0, "completed": row.c or 0, "remaining": (row.e or 0) - (row.c or 0)}
+    row = state.progress(expected, state.latest_success(log, signatures, titles)).agg(F.sum("expected").alias("expected"), F.sum("completed").alias("completed"))
+    whole = row.select(F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("completed", F.lit(0)).alias("completed"))
+    return whole.select(F.lit(titles.count()).cast("long").alias("titles"), "expected", "completed", (F.col("expected") - F.col("completed")).alias("remaining"))
 
 
-def classify(rows: DataFrame, dev: int, test: int, *, rounds: int = 1_000, seed: int = 42, rng: str = "multinomial", rule: KeywordRule = KeywordRule(), families: Sequence[str] = tuple(estimators.FAMILIES)) -> dict[str, DataFrame]:
-    """ml_dev_selection, ml_predictions, ml_metrics and ml_top_features of (ordinal, id, title, gold_label).
+def classify(rows: DataFrame, dev: int, test: int, *, rounds: int = 1_000, seed: int = 42, rng: str = "multinomial", rule: KeywordRule = KeywordRule(), families: Sequence[str] = tuple(estimators.FAMILIES)) -> dict[str, Any]:
+    """ml_dev_selection, ml_predictions, ml_metrics and ml_top_features of (ordinal, id, title, gold_label),
+    and the fitted models under `models`: the last rows are for the test, those before for development."""
+    parts = cut_lineage(positional_split(rows, dev, test).select("ordinal", "id", "title", "gold_label", "split"))
+    return classify_splits(*(parts.where(F.col("split") == s) for s in ("train", "dev", "test")), rounds=rounds, seed=seed, rng=rng, rule=rule, families=families)
+
+
+def classify_splits(train: DataFrame, held: DataFrame, last: DataFrame, *, rounds: int = 1_000, seed: int = 42, rng: str = "multinomial", rule: KeywordRule = KeywordRule(), families: Sequence[str] = tuple(estimators.FAMILIES)) -> dict[str, Any]:
+    """The same of three parts with ordinal, id, title, gold_label.
 
     Hyperparameters are chosen on the development part; models are fitted anew on training and
-    development part and tested on the last rows. The keyword rule needs no fit."""
-    parts = cut_lineage(positional_split(rows, dev, test).select("ordinal", "id", "title", "gold_label", "split"))
-    train, held, last = (parts.where(F.col("split") == s) for s in ("train", "dev", "test"))
+    development part and tested on the last. The keyword rule needs no fit."""
     grid = {n: estimators.FAMILIES[n] for n in families}
     chosen = cut_lineage(estimators.selection(train, held, families=grid))
     data = estimators.prepare(train.unionByName(held))
     ruled = last.withColumn("r", rule.predict(F.col("title"))).select(F.lit("keyword_rule").alias("model_name"), "id", "ordinal", "title", "gold_label", F.col("r.label").alias("pred_label"), F.col("r.score").cast("double").alias("score_yes"))
-    predictions, tops = [ruled], []
+    predictions, tops, models = [ruled], [], {}
     for row in chosen.where("selected").orderBy("model_name").collect():  # one row per family
         model = estimators.make_estimator(row.model_name)(data, row.value)
+        models[row.model_name] = model
         predictions.append(model.predict(last).select(F.lit(row.model_name).alias("model_name"), "id", "ordinal", "title", "gold_label", "pred_label", "score_yes"))
         tops.append(estimators.top_features(model, row.model_name))
     every = predictions[0]
@@ -63,4 +70,4 @@ def classify(rows: DataFrame, dev: int, test: int, *, rounds: int = 1_000, seed:
     features = tops[0] if tops else every.sparkSession.createDataFrame([], "model_name string, direction string, rank int, feature string, weight double")
     for t in tops[1:]:
         features = features.unionByName(t)
-    return {"ml_dev_selection": chosen, "ml_predictions": every.drop("ordinal"), "ml_metrics": table.orderBy(F.col("macro_f1").desc(), "model_name"), "ml_top_features": features}
+    return {"ml_dev_selection": chosen, "ml_predictions": every.drop("ordinal"), "ml_metrics": table.orderBy(F.col("macro_f1").desc(), "model_name"), "ml_top_features": features, "models": models}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -21,6 +23,7 @@ def build_session(app: str = "titleforge", master: str | None = None, **conf: st
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # a checkpoint goes when nothing refers to it
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
@@ -36,7 +39,8 @@ def ship_code(spark: SparkSession) -> None:
     if getattr(sc, "_titleforge", False):
         return
     package = Path(__file__).resolve().parent
-    folder = Path(tempfile.mkdtemp())  # on the driver, which serves the file
+    folder = Path(tempfile.mkdtemp())  # on the driver, which serves the file as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     archive = folder / f"{package.name}.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for path in sorted(package.rglob("*.py")):

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from titleforge.functions.control import profiles_of, thinking_profiles
 from titleforge.functions.text import LABELS, strip
-from titleforge.operators.tables import head_per_group, with_ordinal
+from titleforge.operators.tables import head_per_group, require_columns, with_ordinal
 
 LOG_SCHEMA = (
     "timestamp string, experiment string, condition_signature string, token_plan_signature string, provider string, model_name string, model_id string, subset string, id string, title string, gold_label string, "
@@ -30,9 +31,7 @@ def labelled_csv(spark: SparkSession, path: str, subset: str, *, id_prefix: str
     label than Yes and No raise. Other columns are not read. With pandas_compat a missing cell is the
     text `nan`, as in data frames cast to text."""
     raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
-    missing = sorted({"title", "label"} - set(raw.columns))
-    if missing:
-        raise ValueError(f"{path} is missing columns: {missing}")
+    require_columns(raw, ("title", "label"), path)
     void = F.lit("nan") if pandas_compat else F.lit("")
     rows = with_ordinal(raw.select(*(F.coalesce(strip(F.col(c)), void).alias(c) for c in ("title", "label"))), "ordinal")
     bad = rows.where((F.col("title") == "") | ~F.col("label").isin(*LABELS)).select("title", "label").limit(10).collect()
@@ -83,16 +82,6 @@ def _blocks(f: Any, block: int) -> str:
     return h.hexdigest()
 
 
-def _profiles(provider: str, model: str, url: str) -> list[str]:
-    p, m, u = provider.lower(), model.lower(), url.lower()
-    if p == "deepseek" or "api.deepseek.com" in u:
-        return ["deepseek_thinking"]
-    if p == "siliconflow" or "siliconflow" in u:
-        both = ["thinking_object", "siliconflow_enable"]
-        return both if "glm-5.2" in m else both[::-1] if "kimi-k2.6" in m else ["siliconflow_enable"]
-    return ["thinking_object"]
-
-
 def _flat(entry: Mapping[str, Any], shared: Mapping[str, Any]) -> dict[str, Any]:
     """One model of a configuration: own values before the provider's, then the defaults."""
     model = str(entry.get("full_name") or entry.get("model") or entry["name"])
@@ -106,7 +95,8 @@ def _flat(entry: Mapping[str, Any], shared: Mapping[str, Any]) -> dict[str, Any]
         "model": model,
         "token_parameter": str(shared.get("token_parameter", "max_tokens")),
         "supports_temperature": bool(shared.get("supports_temperature", True)),
-        "thinking_profiles": list(entry.get("thinking_profiles") or _profiles(provider, model, url)),
+        "extra_body": dict(entry.get("extra_body") or shared.get("extra_body") or {}),
+        "thinking_profiles": list(entry.get("thinking_profiles") or profiles_of(provider, model, url)),
     }
 
 
@@ -129,8 +119,6 @@ def model_configs(source: str | Path | Sequence[Mapping[str, Any]] | Mapping[str
 def expand_config(config: DataFrame) -> DataFrame:
     """A provider table with nested models, one row per model: model_name, model_id, provider, base_url,
     token_parameter, supports_temperature, thinking_profiles."""
-    from titleforge.functions.control import thinking_profiles
-
     each = config.select("*", F.explode("model").alias("m"))
     model_id = F.coalesce("m.full_name", "m.name")
     provider, url = F.coalesce("provider", F.lit("openai_compatible")), F.coalesce("base_url", F.lit("https://api.openai.com/v1"))

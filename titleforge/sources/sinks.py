@@ -29,19 +29,21 @@ def write_json(path: str | Path, value: Any) -> None:
     write_text(path, json.dumps(value, ensure_ascii=False, indent=2))
 
 
-def write_csv(df: DataFrame, path: str | Path, most_rows: int = 1_000_000) -> None:
-    """A small table as one CSV file with a byte-order mark, for spreadsheets. Larger: `df.write.csv`."""
+def write_csv(df: DataFrame, path: str | Path, most_rows: int = 200_000) -> None:
+    """A table as one CSV file with a byte-order mark, for spreadsheets. A table of more than `most_rows`
+    rows is written by the executors instead, as a folder of CSV files of that name."""
     rows = df.limit(most_rows + 1).toPandas()
     if len(rows) > most_rows:
-        raise ValueError("the table is too large for one file")
-    write_text(path, rows.to_csv(index=False, lineterminator="\n"), "utf-8-sig")
+        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(str(path))
+    else:
+        write_text(path, rows.to_csv(index=False, lineterminator="\n"), "utf-8-sig")
 
 
-def write_tables(tables: Mapping[str, DataFrame], folder: str | Path) -> None:
+def write_tables(tables: Mapping[str, DataFrame], folder: str | Path, most_rows: int = 200_000) -> None:
     """Result tables as <name>.csv; tables without rows are not written."""
     for name, df in tables.items():
         if not df.isEmpty():
-            write_csv(df, Path(folder) / f"{name}.csv")
+            write_csv(df, Path(folder) / f"{name}.csv", most_rows)
 
 
 def quarantine(tail: DataFrame, path: str) -> int:
@@ -63,6 +65,19 @@ def mark_complete(path: str | Path, signature: str, **more: Any) -> None:
     write_json(path, {"status": "complete", "signature": signature, **more})
 
 
+def mark_balance(path: str | Path, record: Mapping[str, Any]) -> None:
+    """The mark of a run that stopped because an account is empty."""
+    write_json(path, {"status": "balance_exhausted", **record})
+
+
+def stopped_for_balance(path: str | Path, *, resume: bool = False) -> bool:
+    """Whether an earlier run left such a mark; with `resume` it is taken away."""
+    path = Path(path)
+    if path.exists() and resume:
+        path.unlink()
+    return path.exists()
+
+
 def is_current(path: str | Path, signature: str, outputs: tuple[str | Path, ...] = ()) -> bool:
     """Whether a completed run with this signature left all its outputs."""
     try:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from titleforge.functions.control import usage
 from titleforge.operators import state
 from titleforge.session import shared_folder
 
@@ -32,26 +33,30 @@ def stream_jsonl(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(fields.add("_bad", "string")).option("columnNameOfCorruptRecord", "_bad").option("lineSep", "\n").json(folder).where("_bad is null").drop("_bad")
 
 
-def run_available(stream: DataFrame, *, mode: str = "complete", checkpoint: str | None = None, out: str | None = None) -> DataFrame:
-    """Everything available goes through the stream; its last result table.
+def run_available(stream: DataFrame, *, mode: str = "append", checkpoint: str | None = None, out: str | None = None) -> DataFrame:
+    """Everything available goes through the stream; all rows it gave, in `update` mode each change of a key.
 
-    State lives in a checkpoint in the shared folder: a run that is stopped goes on from there."""
+    State lives in a checkpoint in the shared folder: a run that is stopped goes on from there. A batch
+    writes only what it changed, to a folder of its own that a repeated batch replaces."""
     spark = stream.sparkSession
     own = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = out or f"{own}/out"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/_number={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{own}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.option("basePath", out).schema(StructType([*stream.schema.fields]).add("_number", "long")).parquet(out)
+    return rows.drop("_number")
 
 
-def latest_success(log: DataFrame, signatures: DataFrame, titles: DataFrame, **options: Any) -> DataFrame:
-    """The latest success per key over a stream: the batch operator itself, as its joins are with tables
-    and its one aggregation keeps a maximum per key."""
-    return run_available(state.latest_success(log, signatures, titles, **options))
+def latest_success(log: DataFrame, signatures: DataFrame, titles: DataFrame, columns: Sequence[str] = state.SUCCESS, **options: Any) -> DataFrame:
+    """The latest success per key over a stream: the batch operator's aggregation keeps a maximum per key
+    and wording as state; the changes it wrote, the last of each counting, are joined with the titles."""
+    changes = run_available(state.success_lines(log, signatures, columns), mode="update", **options)
+    lines = changes.groupBy(*state.KEY, "title").agg(F.max("line_no").alias("line_no"), F.max_by("r", "line_no").alias("r"))
+    return state.settled(lines, titles, columns)
 
 
 def replay(log: DataFrame, refresh: Callable[[DataFrame, int], None], *, checkpoint: str) -> None:
@@ -59,15 +64,21 @@ def replay(log: DataFrame, refresh: Callable[[DataFrame, int], None], *, checkpo
     log.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(refresh).start().awaitTermination()
 
 
+USAGE = ("prompt_tokens", "completion_tokens", "reasoning_tokens", "total_tokens")
+
+
 def fold_deltas(deltas: DataFrame, request: str = "request") -> DataFrame:
     """(request, content, reasoning, finish_reason, chunks) of rows (request, seq, content_delta,
     reasoning_delta, finish_reason): texts joined in order, the last finish reason that is not empty.
+    If the rows have a struct `usage`, the last that is not null gives the token counts as well.
 
     A request's deltas meet in one row: they are one response of bounded length."""
     parts = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("content_delta", F.lit("")).alias("c"), F.coalesce("reasoning_delta", F.lit("")).alias("r"))))
     reason = F.max_by("finish_reason", F.when(F.coalesce("finish_reason", F.lit("")) != "", F.col("seq")))
-    folded = deltas.groupBy(request).agg(parts.alias("p"), F.coalesce(reason, F.lit("")).alias("finish_reason"), F.count("*").alias("chunks"))
-    return folded.select(request, F.array_join(F.col("p.c"), "").alias("content"), F.array_join(F.col("p.r"), "").alias("reasoning"), "finish_reason", "chunks")
+    used = [F.max_by("usage", F.when(F.col("usage").isNotNull(), F.col("seq"))).alias("u")] if "usage" in deltas.columns else []
+    folded = deltas.groupBy(request).agg(parts.alias("p"), F.coalesce(reason, F.lit("")).alias("finish_reason"), F.count("*").alias("chunks"), *used)
+    counts = [usage(*(F.col(f"u.{c}") for c in USAGE))[c].alias(c) for c in USAGE] if used else []
+    return folded.select(request, F.array_join(F.col("p.c"), "").alias("content"), F.array_join(F.col("p.r"), "").alias("reasoning"), "finish_reason", "chunks", *counts)
 
 
 def content_checkpoints(deltas: DataFrame, request: str = "request", step: int = 64) -> DataFrame:
