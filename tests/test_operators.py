@@ -297,3 +297,24 @@ def test_pair_counts(spark):
     for r in paired.pair_counts(df).collect():
         m = pdf[pdf.model_name == r.model_a].merge(pdf[pdf.model_name == r.model_b], on="id")
         assert (r.shared_n, r.model_a_only_correct, r.model_b_only_correct) == (len(m), (m.ok_x & ~m.ok_y).sum(), (~m.ok_x & m.ok_y).sum())
+
+
+def test_ranks_over_ranges(spark):
+    """Area under the curve of scores that are all distinct, over range partitions, with a null group."""
+    rng = np.random.default_rng(3)
+    rows = [(g, float(rng.normal()), ["No", "Yes"][int(rng.random() < 0.4)]) for g in ("a", "b", None) for _ in range(400)] + [("c", 0.5, "Yes")]
+    df = spark.createDataFrame(rows, "g string, s double, gold_label string").withColumn("pred_label", F.lit("Yes")).withColumn("confidence", F.lit(1.0))
+    got = {r.g: r.auroc for r in metrics.auroc(df, ["g"], F.col("s")).collect()}
+    for g in ("a", "b", None):
+        yes, no = ([s for k, s, y in rows if k == g and y == label] for label in ("Yes", "No"))
+        assert abs(got[g] - np.mean([(x > y) + (x == y) / 2 for x in yes for y in no])) < 1e-9
+    assert got["c"] is None
+
+
+def test_group_ordinal(spark):
+    rows = [("a" if i % 3 else None, i) for i in range(50)]
+    got, sizes = tables.group_ordinal(spark.createDataFrame(rows, "g string, i int").repartition(4), ["g"], ["i"], "pos")
+    for g in ("a", None):
+        own = sorted(i for k, i in rows if k == g)
+        assert sorted((r.pos, r.i) for r in got.collect() if r.g == g) == list(enumerate(own))
+    assert {r.g: r.n for r in sizes.collect()} == {"a": 33, None: 17}

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +47,7 @@ class Features:
     rows: DataFrame
     texts: int
     size: int
-    grams: list[str] = field(default_factory=list)
+    blocks: DataFrame | None = None
 
 
 def prepare(train: DataFrame, *, id_col: str = "id", max_features: int = 80_000) -> Features:
@@ -64,25 +62,14 @@ def prepare(train: DataFrame, *, id_col: str = "id", max_features: int = 80_000)
     return Features(vocab, rows, texts, vocab.count())
 
 
-def _vectors(data: Features) -> DataFrame:
-    """One row per title: features (sparse vector), y, c."""
-    size = data.size
+def logistic(data: Features, c_value: float, *, max_iter: int = 1_000, tol: float = 1e-8) -> Linear:
+    """L2-regularised logistic regression with balanced weights: least |w|^2 / 2 + C sum c log(1 + exp(-y f)); the intercept is free."""
 
-    @F.udf(VectorUDT(), useArrow=False)  # sparse vectors have no Arrow form; one call per training title
-    def vector(index: list[int], weight: list[float]) -> SparseVector:
-        return SparseVector(size, index, weight)
+    def loss(y: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m = y * f
+        return np.logaddexp(0.0, -m), -y / (1 + np.exp(np.minimum(m, 700.0)))
 
-    sorted_ = F.array_sort(F.collect_list(F.struct("index", "weight")))
-    per = data.rows.groupBy("id", "y", "c").agg(sorted_.alias("x"))
-    return per.select("y", "c", vector(F.col("x.index"), F.col("x.weight")).alias("features"))
-
-
-def logistic(data: Features, c_value: float, *, max_iter: int = 3_000, tol: float = 1e-8) -> Linear:
-    """L2-regularised logistic regression with balanced weights; the intercept is free."""
-    rows = _vectors(data)
-    total = data.rows.groupBy("id").agg(F.first("c").alias("c")).agg(F.sum("c")).first()[0]
-    fit = LogisticRegression(featuresCol="features", labelCol="y", weightCol="c", regParam=1.0 / (c_value * total), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol).fit(rows)
-    return Linear(data.vocab, fit.coefficients.toArray(), float(fit.intercept), data.texts, "probability")
+    return _fit(data, c_value, loss, 0.0, max_iter, tol, "probability")
 
 
 def complement_nb(data: Features, alpha: float) -> Linear:
@@ -100,45 +87,63 @@ def complement_sums(rows: DataFrame) -> DataFrame:
 
 
 def squared_hinge(data: Features, c_value: float, *, max_iter: int = 300, tol: float = 1e-6) -> Linear:
-    """Linear SVM: least |w, b|^2 / 2 + C sum c max(0, 1 - y f)^2, the intercept regularised too.
+    """Linear SVM: least |w, b|^2 / 2 + C sum c max(0, 1 - y f)^2, the intercept regularised too."""
+
+    def loss(y: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slack = np.maximum(0.0, 1 - y * f)
+        return slack * slack, -2 * slack * y
+
+    return _fit(data, c_value, loss, 1.0, max_iter, tol, "sigmoid")
+
+
+def _blocks(data: Features, rows: int = 2_000) -> DataFrame:
+    """The titles as blocks of arrays (y, c, sizes, index, weight), so that a step reads few rows."""
+    per = data.rows.groupBy("id", "y", "c").agg(F.collect_list("index").alias("i"), F.collect_list("weight").alias("v"))
+    spread = per.repartition(max(1, min(per.sparkSession.sparkContext.defaultParallelism, -(-data.texts // 200))), "id") if data.texts < rows * 8 else per
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), rows):
+                some = pdf.iloc[at : at + rows]
+                yield pd.DataFrame({"y": [some["y"].to_numpy() * 2 - 1], "c": [some["c"].to_numpy()], "sizes": [some["i"].map(len).to_numpy()], "i": [np.concatenate(some["i"].to_list())], "v": [np.concatenate(some["v"].to_list())]})
+
+    return cut_lineage(spread.mapInPandas(pack, "y array<double>, c array<double>, sizes array<long>, i array<int>, v array<double>"))
+
 
-    L-BFGS on the driver over at most max_features weights; losses and gradients are sums over
+def _fit(data: Features, c_value: float, loss: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], intercept_penalty: float, max_iter: int, tol: float, link: str) -> Linear:
+    """L-BFGS on the driver over at most max_features weights; losses and gradients are sums over
     partitions, of which only one row per feature arrives."""
-    spark = data.rows.sparkSession
-    blocks = cut_lineage(
-        data.rows.groupBy("id", "y", "c").agg(F.collect_list("index").alias("i"), F.collect_list("weight").alias("v")).select((F.col("y") * 2 - 1).alias("y"), "c", "i", "v")
-    )
-    size = data.size
+    spark, size = data.rows.sparkSession, data.size
+    if data.blocks is None:
+        data.blocks = _blocks(data)
+    blocks = data.blocks
+    penalty = np.append(np.ones(size), intercept_penalty)
 
     def value(w: np.ndarray) -> tuple[float, np.ndarray]:
         shared = spark.sparkContext.broadcast(w)
 
-        def part(batches):
-            grad, loss = np.zeros(size + 1), 0.0
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            grad, total = np.zeros(size + 1), 0.0
             for pdf in batches:
-                lengths = pdf["i"].map(len).to_numpy()
-                if not len(lengths):
-                    continue
-                row = np.repeat(np.arange(len(lengths)), lengths)
-                i, v = np.concatenate(pdf["i"].to_list()).astype(np.int64), np.concatenate(pdf["v"].to_list())
-                y, c = pdf["y"].to_numpy(), pdf["c"].to_numpy() * c_value
-                f = np.bincount(row, weights=v * shared.value[i], minlength=len(y)) + shared.value[size]
-                slack = np.maximum(0.0, 1 - y * f)
-                loss += float((c * slack * slack).sum())
-                g = -2 * c * slack * y
-                grad[:size] += np.bincount(i, weights=v * g[row], minlength=size)
-                grad[size] += g.sum()
+                for y, c, sizes, i, v in pdf[["y", "c", "sizes", "i", "v"]].itertuples(index=False):
+                    row = np.repeat(np.arange(len(y)), sizes)
+                    f = np.bincount(row, weights=v * shared.value[i], minlength=len(y)) + shared.value[size]
+                    each, g = loss(y, f)
+                    total += float((c * each).sum()) * c_value
+                    g = g * c * c_value
+                    grad[:size] += np.bincount(i, weights=v * g[row], minlength=size)
+                    grad[size] += g.sum()
             at = np.flatnonzero(grad)
-            yield pd.DataFrame({"i": np.append(at, -1), "g": np.append(grad[at], loss)})
+            yield pd.DataFrame({"i": np.append(at, -1), "g": np.append(grad[at], total)})
 
         got = blocks.mapInPandas(part, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas()
         shared.destroy()
         grad = np.zeros(size + 2)
         grad[got["i"].to_numpy()] = got["g"].to_numpy()  # -1 is the loss
-        return float(w @ w) / 2 + grad[-1], w + grad[:-1]
+        return float(penalty @ (w * w)) / 2 + grad[-1], penalty * w + grad[:-1]
 
     w = _lbfgs(value, np.zeros(size + 1), max_iter, tol)
-    return Linear(data.vocab, w[:size], float(w[size]), data.texts)
+    return Linear(data.vocab, w[:size], float(w[size]), data.texts, link)
 
 
 def _lbfgs(value: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, max_iter: int, tol: float, memory: int = 12) -> np.ndarray:

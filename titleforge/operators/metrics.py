@@ -12,6 +12,9 @@ from typing import Literal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from titleforge.operators.tables import join_null_safe
+from titleforge.session import cut_lineage
+
 Policy = Literal["fixed", "observed"]
 #: The edges of ten equal bins as floating-point steps give them; 0.3, 0.6 and 0.7 lie below their edges.
 EDGES = tuple([k * 0.1 for k in range(10)] + [1.0])
@@ -105,10 +108,20 @@ def _error(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     return _bins(cells, by).groupBy(*by).agg((F.coalesce(F.sum(gap), F.lit(0.0)) / F.sum("n")).alias("ece"))
 
 
-def _area(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+def _area(cells: DataFrame, by: Sequence[str], *, ranges: bool = False) -> DataFrame:
+    """Area under the curve from counts per score. With `ranges`, for scores that are nearly all distinct,
+    the scores of all groups are sorted in ranges and the ranges' sums carried on, so that no task sees a whole group."""
     per = cells.groupBy(*by, "s").agg(F.sum(F.col("y") * F.col("n")).alias("pos"), F.sum((1 - F.col("y")) * F.col("n")).alias("neg"))
-    w = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    inside = list(by)
+    if ranges:
+        per = cut_lineage(per.repartitionByRange(*by, "s").withColumn("_part", F.spark_partition_id()))
+        inside = [*by, "_part"]
+    w = Window.partitionBy(*inside).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     ranked = per.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    if ranges:  # one row per range and group that share rows
+        sums = per.groupBy(*inside).agg(F.sum("neg").alias("_sum"))
+        before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        ranked = join_null_safe(ranked, before.drop("_sum"), inside).withColumn("below", F.col("below") + F.col("_before"))
     won = F.sum(F.col("pos").cast("double") * (F.col("below") + F.col("neg") / 2.0))
     return ranked.groupBy(*by).agg(F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"))
 
@@ -126,8 +139,10 @@ def calibration_error(predictions: DataFrame, by: Sequence[str] = ("model_name",
 
 
 def auroc(predictions: DataFrame, by: Sequence[str] = ("model_name", "subset"), score: Column | None = None) -> DataFrame:
-    """Area under the ROC curve per group, ties shared; null where gold has one class."""
-    return _area(score_cells(predictions, by, score), by)
+    """Area under the ROC curve per group, ties shared; null where gold has one class.
+
+    With a `score` column of its own, scores may all be distinct: they are ranked range by range."""
+    return _area(score_cells(predictions, by, score), by, ranges=score is not None)
 
 
 def evaluation(predictions: DataFrame, by: Sequence[str] = ("model_name", "subset"), policy: Policy = "fixed") -> DataFrame:

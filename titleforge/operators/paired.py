@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,13 +13,26 @@ from pyspark.sql import types as T
 
 @lru_cache(100_000)
 def _p_value(k: int, n: int) -> float:
-    if not n:
+    """min(1, 2 P(X <= k)) of a binomial X of n fair draws, as the incomplete beta function at one half
+    by its continued fraction: no memory, and steps that grow with the root of n."""
+    if not n or 2 * k >= n:
         return 1.0
-    # pmf by its recurrence in logarithms: no underflow for large n
-    i = np.arange(1, k + 1, dtype=float)
-    logs = np.concatenate([[0.0], np.cumsum(np.log(n - i + 1) - np.log(i))]) - n * np.log(2.0)
-    top = logs.max()
-    return float(min(1.0, 2.0 * np.exp(top) * np.exp(logs - top).sum()))
+    a, b = float(n - k), k + 1.0  # P(X <= k) = I(1/2; a, b); a > b, where the fraction converges fast
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) - (a + b) * math.log(2.0)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) / (a + 1) / 2
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    value = d
+    for m in range(1, 10_000_000):
+        for part in (m * (b - m) / ((a + 2 * m - 1) * (a + 2 * m)) / 2, -(a + m) * (a + b + m) / ((a + 2 * m) * (a + 2 * m + 1)) / 2):
+            d = 1.0 + part * d
+            c = 1.0 + part / c
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            value *= d * c
+        if abs(d * c - 1.0) < 1e-14:
+            break
+    return min(1.0, 2.0 * front * value)
 
 
 @F.pandas_udf(T.DoubleType())  # type: ignore[call-overload]

@@ -11,10 +11,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titleforge.operators.metrics import Policy, confusion, indicator, rates
+from titleforge.operators.tables import group_ordinal
 
 METRICS = ("accuracy", "macro_f1", "f1_yes")
 
@@ -73,14 +74,14 @@ def arithmetic_index(round_: Column, position: Column, n: Column) -> Column:
     return F.pmod((round_ + 1) * 7_919 + position * (round_ * 2 + 104_729) + F.pmod(position * position, F.lit(1_009)) * 31, n)
 
 
-def bootstrap_gather(predictions: DataFrame, by: Sequence[str] = ("model_name", "subset"), *, order: str = "id", rounds: int = 20, metrics: Sequence[str] = METRICS) -> DataFrame:
+def bootstrap_gather(predictions: DataFrame, by: Sequence[str] = ("model_name", "subset"), *, order: str = "id", rounds: int = 1_000, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Rounds drawn by gathering rows by index, with the arithmetic stream.
 
-    Rows are joined by (group, index), a key of few rows each, so no group meets in one task after
-    its positions are numbered."""
-    w = Window.partitionBy(*by).orderBy(order)
-    rows = predictions.select(*by, order, "gold_label", "pred_label").withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("size")).where("size > 1")
+    Positions are numbered over range partitions and rows are joined by (group, index), a key of few
+    rows each, so no group meets in one task. Work is rows times rounds: `bootstrap` has the same
+    distribution at a cost that does not depend on the rows."""
+    rows, sizes = group_ordinal(predictions.select(*by, order, "gold_label", "pred_label"), by, [order], "pos")
+    sizes = sizes.withColumnRenamed("n", "size").where("size > 1")
     drawn = rows.select(*by, "pos").join(sizes, list(by)).withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))))
     drawn = drawn.select(*by, "round", arithmetic_index(F.col("round"), F.col("pos"), F.col("size")).alias("pos"))
     picks = drawn.groupBy(*by, "round", "pos").agg(F.count("*").alias("times"))

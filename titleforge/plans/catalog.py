@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,10 +11,10 @@ from pyspark.sql import functions as F
 
 from titleforge.functions import control, text
 from titleforge.operators import estimators, features, metrics, paired, resample, state, tables
-from titleforge.plans import inputs
+from titleforge.plans import inputs, pipelines
 from titleforge.plans.inputs import STAGES, sql
-from titleforge.session import cut_lineage, table
-from titleforge.sources import recovering_csv
+from titleforge.session import cut_lineage, shared_folder, table
+from titleforge.sources import readers, recovering_csv, sinks
 from titleforge.streaming import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,8 +174,25 @@ def auroc(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.auroc(inputs.predictions(spark, sf)))
 
 
-@query()
+_ROUND = ", ".join(f"round({c}, 6) AS {c}" for c in metrics.RATES)
+
+
+@query(
+    sql(
+        "pred",
+        "SELECT model_name, subset, " + _INT.replace("CAST(", "CAST(rates.") + ", round(fv, 6) AS format_valid_rate, round(th, 6) AS thinking_observed_rate, round(lat, 6) AS mean_latency_ms, round(rea, 6) AS mean_reasoning_tokens, " + _ROUND + ", "
+        "round(ece, 6) AS ece, round(CASE WHEN a * b > 0 THEN (sums.r - a * (a + 1) / 2) / (a * b) END, 6) AS auroc FROM rates JOIN sums USING (model_name, subset) "
+        "JOIN (SELECT model_name, subset, sum(bins.n * abs(mean_p - mean_y)) / any_value(counts.n) AS ece FROM bins JOIN counts USING (model_name, subset) GROUP BY 1, 2) USING (model_name, subset)",
+        ",".join((_COUNTS, _BINS.strip().replace("scored AS", "binnable AS").replace("FROM scored", "FROM binnable"), _RANKS)),
+    )
+)
 def evaluation_table(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.evaluation(inputs.predictions(spark, sf)))
+
+
+@query()
+def llm_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole result table of the log: all metrics with their bootstrap intervals."""
     kept = cut_lineage(inputs.predictions(spark, sf))
     return rounded(metrics.evaluation(kept).join(resample.bootstrap(kept), ["model_name", "subset"], "left"))
 
@@ -204,7 +223,7 @@ _GATHER = """
 numbered AS (SELECT model_name, subset, gold_label, pred_label, row_number() OVER (PARTITION BY model_name, subset ORDER BY id) - 1 AS pos, count(*) OVER (PARTITION BY model_name, subset) AS size FROM pred),
 drawn AS (
     SELECT model_name, subset, round, (((round + 1) * 7919 + pos * (round * 2 + 104729) + ((pos * pos) % 1009) * 31) % size) AS pos
-    FROM numbered, (SELECT unnest(range(0, 20)) AS round) WHERE size > 1
+    FROM numbered, (SELECT unnest(range(0, 1000)) AS round) WHERE size > 1
 ),
 cells AS (
     SELECT model_name, subset, round, CAST(count(*) FILTER (WHERE gold_label = 'Yes' AND pred_label = 'Yes') AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE gold_label = 'No' AND pred_label = 'Yes') AS DOUBLE) AS fp,
@@ -236,7 +255,7 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bootstrap_ci_numpy(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(resample.bootstrap_numpy(inputs.predictions(spark, sf), rounds=200))
+    return rounded(resample.bootstrap_numpy(inputs.predictions(spark, sf)))
 
 
 # State of the log
@@ -408,8 +427,8 @@ def positional_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql("bench", "SELECT subset, count(*) AS n, count(DISTINCT title) AS titles FROM bench GROUP BY 1"))
 def subset_union(spark: SparkSession, sf: str) -> DataFrame:
-    df = inputs.benchmark(spark, sf)
-    return df.where("subset = 'core_all'").unionByName(df.where("subset <> 'core_all'")).groupBy("subset").agg(F.count("*").alias("n"), F.countDistinct("title").alias("titles"))
+    first, second = inputs.sources(spark, sf)
+    return first.unionByName(second).groupBy("subset").agg(F.count("*").alias("n"), F.countDistinct("title").alias("titles"))
 
 
 @query(sql("bench", "SELECT DISTINCT subset, id FROM bench EXCEPT SELECT subset, id FROM prediction_log"))
@@ -455,9 +474,69 @@ def config_explode(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.models(spark, sf).select("model_name", "model_id", "provider", "base_url", "token_parameter", "supports_temperature", F.size("thinking_profiles").cast("long").alias("profiles"))
 
 
-@query(sql("bench", "SELECT subset, id, sha256(subset || '|' || id || '|' || title || '|' || gold_label) AS signature FROM bench"))
+@query(sql("bench", "SELECT subset, id, sha256(CAST(json_object('gold_label', gold_label, 'id', id, 'subset', subset, 'title', title) AS VARCHAR)) AS signature FROM bench"))
 def sha256_signature(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.benchmark(spark, sf).select("subset", "id", F.sha2(F.concat_ws("|", "subset", "id", "title", "gold_label"), 256).alias("signature"))
+    return inputs.benchmark(spark, sf).select("subset", "id", control.row_hash("subset", "id", "title", "gold_label").alias("signature"))
+
+
+_POLICY = control.request_policy(stages=STAGES)
+_POLICY_TEXT = json.dumps(_POLICY, sort_keys=True, separators=(",", ":"))
+_PROFILES = (
+    "CASE WHEN len(m.thinking_profiles) > 0 THEN m.thinking_profiles WHEN lower(provider) = 'deepseek' OR contains(lower(base_url), 'api.deepseek.com') THEN ['deepseek_thinking'] "
+    "WHEN (lower(provider) = 'siliconflow' OR contains(lower(base_url), 'siliconflow')) AND contains(lower(m.full_name), 'glm-5.2') THEN ['thinking_object', 'siliconflow_enable'] "
+    "WHEN (lower(provider) = 'siliconflow' OR contains(lower(base_url), 'siliconflow')) AND contains(lower(m.full_name), 'kimi-k2.6') THEN ['siliconflow_enable', 'thinking_object'] "
+    "WHEN lower(provider) = 'siliconflow' OR contains(lower(base_url), 'siliconflow') THEN ['siliconflow_enable'] ELSE ['thinking_object'] END"
+)
+
+
+@query(
+    "SELECT m.name AS model_name, sha256('{\"experiment\":\"e\",\"model\":' || to_json(m.full_name) || ',\"prompt\":\"Judge the title.\",\"provider\":' || to_json(provider) || "
+    f"',\"shared_request_policy\":{_POLICY_TEXT},\"thinking_profiles\":' || to_json({_PROFILES}) || '}}') AS condition_signature FROM (SELECT *, unnest(model) AS m FROM model_config)"
+)
+def model_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """The signature of each configured model: what binds results to prompt, model and settings."""
+    rows = inputs.models(spark, sf).collect()  # the configuration, one row per model
+    configs = [{"name": r.model_name, "model": r.model_id, "provider": r.provider, "thinking_profiles": r.thinking_profiles} for r in rows]
+    return state.configured_signatures(spark, control.condition_signatures(configs, "Judge the title.", _POLICY, "e"))
+
+
+@query("SELECT model_name, " + ", ".join(f"count(*) FILTER (WHERE status = '{v}') AS {k}" for k, v in (("successes", "success"), ("token_limits", "token_limit"), ("transient_failures", "transient_failure"), ("permanent_failures", "permanent_failure"))) + ", count(*) FILTER (WHERE status IN ('transient_failure', 'permanent_failure')) > 0 AS failed FROM prediction_log GROUP BY 1")
+def worker_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return state.worker_counters(inputs.log(spark, sf))
+
+
+@query(
+    sql(
+        "expected",
+        "SELECT (SELECT count(*) FROM bench) AS titles, count(*) AS expected, count(p.id) AS completed, count(*) - count(p.id) AS remaining FROM expected e LEFT JOIN pred p ON e.model_name = p.model_name AND e.subset = p.subset AND e.id = p.id",
+    )
+)
+def run_preview(spark: SparkSession, sf: str) -> DataFrame:
+    logged = inputs.log(spark, sf)
+    return pipelines.preview(logged, inputs.benchmark(spark, sf), inputs.models(spark, sf), state.current_signatures(logged))
+
+
+@query(sql("bench", "SELECT row_number() OVER (ORDER BY subset, id) AS ordinal, format('read-{:04d}', row_number() OVER (ORDER BY subset, id)) AS id, 'read' AS subset, title, gold_label FROM bench WHERE " + f"regexp_replace(title, '^{_SPACE}+|{_SPACE}+$', '', 'g') = title"))
+def labelled_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark written as a labelled CSV file and read back, with its ordinals and ids."""
+    rows = inputs.benchmark(spark, sf).where(text.strip(F.col("title")) == F.col("title"))
+    path = f"{shared_folder(spark)}/labelled-{uuid.uuid4().hex}.csv"
+    rows.repartitionByRange(1, "subset", "id").sortWithinPartitions("subset", "id").select("title", F.col("gold_label").alias("label"), "split").write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return readers.labelled_csv(spark, path, "read")
+
+
+@query("SELECT model_name, subset, id, title, status, pred_label, raw_response, confidence, format_valid, token_stage_index, total_tokens, http_status FROM prediction_log")
+def log_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The prediction log appended to a JSONL log and read back, with the schema of a log."""
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    sinks.append_jsonl(inputs.log(spark, sf).drop("line_no"), path)
+    names = ("model_name", "subset", "id", "title", "status", "pred_label", "raw_response", "confidence", "format_valid", "token_stage_index", "total_tokens", "http_status")
+    return readers.jsonl(spark, path)[0].select(*names)
+
+
+@query("SELECT line_no, coalesce(latency_ms / 1000 >= 60, FALSE) AS timed_out FROM prediction_log")
+def wall_clock(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs.log(spark, sf).select("line_no", F.coalesce(control.timed_out(F.col("latency_ms") / 1000, 60.0), F.lit(False)).alias("timed_out"))
 
 
 # Text and responses
@@ -539,9 +618,24 @@ def prompt_build(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.benchmark(spark, sf).select("subset", "id", prompt.alias("prompt"), F.size(text.messages(F.lit("Judge the title."), prompt)).alias("messages"))
 
 
-@query()
+_BODY = (
+    "'{\"model\":' || to_json(full_name) || ',\"messages\":[{\"role\":\"system\",\"content\":\"Judge the title.\"},{\"role\":\"user\",\"content\":' || to_json('Article title: ' || title || chr(10) || 'Judge the title now and return JSON only.') || "
+    "'}],\"stream\":true,\"stream_options\":{\"include_usage\":true},\"temperature\":0.6,\"top_p\":0.95,\"frequency_penalty\":0.5,\"reasoning_effort\":\"high\",\"response_format\":{\"type\":\"json_object\"},\"' || parameter || '\":4096,\"extra_body\":' || "
+    "CASE profile WHEN 'siliconflow_enable' THEN '{\"enable_thinking\":true,\"thinking_budget\":1024}' ELSE '{\"thinking\":{\"type\":\"enabled\"}}' END || '}'"
+)
+
+
+@query(
+    sql(
+        "expected",
+        f"SELECT model_name, subset, id, {_BODY} AS body FROM expected JOIN requested USING (model_name) WHERE profile IN {tuple(control.SYNTAX)}",
+        f"requested AS (SELECT m.name AS model_name, m.full_name, coalesce(token_parameter, 'max_tokens') AS parameter, ({_PROFILES})[1] AS profile FROM (SELECT *, unnest(model) AS m FROM model_config))",
+    )
+)
 def request_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    keys = inputs.expected(spark, sf).join(inputs.models(spark, sf), "model_name")
+    """The bodies of all open questions to the models whose first profile has a known syntax; any other is an error."""
+    known = inputs.models(spark, sf).where(F.col("thinking_profiles")[0].isin(*control.SYNTAX))
+    keys = inputs.expected(spark, sf).join(known, "model_name")
     prompts = text.messages(F.lit("Judge the title."), text.user_prompt(F.col("title")))
     body = control.request_body(F.col("model_id"), prompts, F.col("token_parameter"), F.lit(STAGES[0]), F.col("thinking_profiles")[0])
     return keys.select("model_name", "subset", "id", body.alias("body"))
@@ -706,7 +800,18 @@ def svm_fit(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_fitted(spark, sf, "char_tfidf_linear_svm", 0.25)[1].select("id", "gold_label", "pred_label", "score_yes"))
 
 
-@query()
+_KNOWN = _GRAMS.replace("split = 'train'", "split IN ('train', 'dev')")
+_NB = _KNOWN.rstrip() + f""",
+asked AS (SELECT id, gold_label, {_LOW} AS t FROM bench WHERE split = 'test'),
+asked_places AS (SELECT id, t, k, unnest(range(1, length(t) - k + 2)) AS i FROM asked, (VALUES (2), (3), (4), (5)) AS sizes(k)),
+asked_tf AS (SELECT id, substring(t, CAST(i AS INTEGER), k) AS gram, count(*) AS tf FROM asked_places GROUP BY 1, 2),
+asked_raw AS (SELECT id, index, (1 + ln(asked_tf.tf)) * (ln((1.0 + (SELECT n FROM size)) / (1 + df)) + 1) AS w FROM asked_tf JOIN vocab USING (gram)),
+asked_weights AS (SELECT id, index, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM asked_raw),
+margins AS (SELECT id, sum(weight * (b - a)) AS f FROM asked_weights JOIN contrast USING (index) GROUP BY 1)
+"""
+
+
+@query(sql("bench", "SELECT id, gold_label, CASE WHEN coalesce(f, 0) > 0 THEN 'Yes' ELSE 'No' END AS pred_label, round(1 / (1 + exp(-coalesce(f, 0))), 6) AS score_yes FROM asked LEFT JOIN margins USING (id)", _NB))
 def nb_fit(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_fitted(spark, sf, "char_tfidf_complement_nb", 0.5)[1].select("id", "gold_label", "pred_label", "score_yes"))
 
@@ -718,14 +823,9 @@ def model_selection(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ml_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """The keyword rule and naive Bayes on the test split: metrics with observed labels, AUROC and intervals."""
-    test = _part(spark, sf, "test")
-    rule = test.withColumn("r", _RULE.predict(F.col("title"))).select(F.lit("keyword_rule").alias("model_name"), "id", "gold_label", F.col("r.label").alias("pred_label"), F.col("r.score").cast("double").alias("score_yes"))
-    nb = _fitted(spark, sf, "char_tfidf_complement_nb", 0.5)[1].select(F.lit("char_tfidf_complement_nb").alias("model_name"), "id", "gold_label", "pred_label", "score_yes")
-    rows = cut_lineage(rule.unionByName(nb))
-    by = ["model_name"]
-    table_ = metrics.point_metrics(rows, by, "observed").join(metrics.auroc(rows, by, F.col("score_yes")), by, "left")
-    return rounded(table_.join(resample.bootstrap(rows, by, metrics=("accuracy", "macro_f1"), policy="observed"), by, "left")).orderBy(F.col("macro_f1").desc(), "model_name")
+    """The keyword rule and all three families at their selected values on the test split: metrics with observed labels, AUROC and intervals."""
+    parts = (_part(spark, sf, s).withColumn("ordinal", F.col("id")) for s in ("train", "dev", "test"))
+    return rounded(pipelines.classify_splits(*parts)["ml_metrics"])
 
 
 # Streaming

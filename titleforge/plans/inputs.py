@@ -13,12 +13,18 @@ from titleforge.sources.readers import expand_config
 STAGES = (4096, 8192, 16384)
 
 
-def benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    """(subset, id, title, gold_label, split) of every valid title, latest delivery, and of the anchors."""
+def sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The benchmark's two sources with equal columns: the titles, latest delivery, and the anchors, valid rows only."""
     titles = latest_row(table(spark, sf, "titles").select("title_id", "loaded_at", "subset", "id", "title", "gold_label", "split"), ["title_id"], "loaded_at")
     anchors = table(spark, sf, "anchor_titles").select("subset", "id", "title", "gold_label", F.lit("anchor").alias("split"))
-    both = titles.select("subset", "id", "title", "gold_label", "split").unionByName(anchors)
-    return both.where(F.col("title").isNotNull() & F.col("gold_label").isin("Yes", "No"))
+    valid = F.col("title").isNotNull() & F.col("gold_label").isin("Yes", "No")
+    return titles.select("subset", "id", "title", "gold_label", "split").where(valid), anchors.where(valid)
+
+
+def benchmark(spark: SparkSession, sf: str) -> DataFrame:
+    """(subset, id, title, gold_label, split) of every valid title, latest delivery, and of the anchors."""
+    titles, anchors = sources(spark, sf)
+    return titles.unionByName(anchors)
 
 
 def models(spark: SparkSession, sf: str) -> DataFrame:
