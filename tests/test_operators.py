@@ -236,7 +236,9 @@ def small(spark):
     return spark.createDataFrame(rows, "id string, title string, gold_label string")
 
 
-def test_models_reach_their_optimum(small):
+@pytest.mark.parametrize("whole", [2_000_000, 0])
+def test_models_reach_their_optimum(small, monkeypatch, whole):
+    monkeypatch.setattr(estimators, "WHOLE", whole)
     data = estimators.prepare(small)
     rows = data.rows.toPandas()
     ids = {k: i for i, k in enumerate(sorted(rows["id"].unique()))}

@@ -16,6 +16,9 @@ from titleforge.operators.metrics import confusion, rates
 from titleforge.session import cut_lineage
 
 
+Loss = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]  # of y and f: the losses and their slopes
+
+
 @dataclass
 class Linear:
     """f(x) = w x + b; Yes above 0, ties are No. `link` says how f becomes a score."""
@@ -48,6 +51,7 @@ class Features:
     texts: int
     size: int
     blocks: DataFrame | None = None
+    entries: int = 0
 
 
 def prepare(train: DataFrame, *, id_col: str = "id", max_features: int = 80_000) -> Features:
@@ -110,29 +114,51 @@ def _blocks(data: Features, rows: int = 2_000) -> DataFrame:
     return cut_lineage(spread.mapInPandas(pack, "y array<double>, c array<double>, sizes array<long>, i array<int>, v array<double>"))
 
 
-def _fit(data: Features, c_value: float, loss: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], intercept_penalty: float, max_iter: int, tol: float, link: str) -> Linear:
-    """L-BFGS on the driver over at most max_features weights; losses and gradients are sums over
-    partitions, of which only one row per feature arrives."""
+WHOLE = 2_000_000  # entries of the training table up to which one task holds it and finds the weights by itself
+
+
+def _gradient(pdf: pd.DataFrame, w: np.ndarray, c_value: float, loss: Loss) -> tuple[float, np.ndarray]:
+    """(loss, gradient) of some blocks at the weights w, the intercept last, without the penalty."""
+    size = len(w) - 1
+    grad, total = np.zeros(size + 1), 0.0
+    for y, c, sizes, i, v in pdf[["y", "c", "sizes", "i", "v"]].itertuples(index=False):
+        row = np.repeat(np.arange(len(y)), sizes)
+        f = np.bincount(row, weights=v * w[i], minlength=len(y)) + w[size]
+        each, g = loss(y, f)
+        total += float((c * each).sum()) * c_value
+        g = g * c * c_value
+        grad[:size] += np.bincount(i, weights=v * g[row], minlength=size)
+        grad[size] += g.sum()
+    return total, grad
+
+
+def _fit(data: Features, c_value: float, loss: Loss, intercept_penalty: float, max_iter: int, tol: float, link: str) -> Linear:
+    """L-BFGS over at most max_features weights. A training table of at most WHOLE entries is given to one
+    task, which needs one job; beyond that the driver takes the steps, and losses and gradients are sums
+    over partitions, of which only one row per feature arrives."""
     spark, size = data.rows.sparkSession, data.size
     if data.blocks is None:
-        data.blocks = _blocks(data)
+        data.blocks, data.entries = _blocks(data), data.rows.count()
     blocks = data.blocks
     penalty = np.append(np.ones(size), intercept_penalty)
 
+    def penalised(w: np.ndarray, total: float, grad: np.ndarray) -> tuple[float, np.ndarray]:
+        return float(penalty @ (w * w)) / 2 + total, penalty * w + grad
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            held = pd.concat(parts)
+            yield pd.DataFrame({"i": np.arange(size + 1), "g": _lbfgs(lambda w: penalised(w, *_gradient(held, w, c_value, loss)), np.zeros(size + 1), max_iter, tol)})
+
     def value(w: np.ndarray) -> tuple[float, np.ndarray]:
         shared = spark.sparkContext.broadcast(w)
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             grad, total = np.zeros(size + 1), 0.0
             for pdf in batches:
-                for y, c, sizes, i, v in pdf[["y", "c", "sizes", "i", "v"]].itertuples(index=False):
-                    row = np.repeat(np.arange(len(y)), sizes)
-                    f = np.bincount(row, weights=v * shared.value[i], minlength=len(y)) + shared.value[size]
-                    each, g = loss(y, f)
-                    total += float((c * each).sum()) * c_value
-                    g = g * c * c_value
-                    grad[:size] += np.bincount(i, weights=v * g[row], minlength=size)
-                    grad[size] += g.sum()
+                more, g = _gradient(pdf, shared.value, c_value, loss)
+                grad, total = grad + g, total + more
             at = np.flatnonzero(grad)
             yield pd.DataFrame({"i": np.append(at, -1), "g": np.append(grad[at], total)})
 
@@ -140,9 +166,14 @@ def _fit(data: Features, c_value: float, loss: Callable[[np.ndarray, np.ndarray]
         shared.destroy()
         grad = np.zeros(size + 2)
         grad[got["i"].to_numpy()] = got["g"].to_numpy()  # -1 is the loss
-        return float(penalty @ (w * w)) / 2 + grad[-1], penalty * w + grad[:-1]
-
-    w = _lbfgs(value, np.zeros(size + 1), max_iter, tol)
+        return penalised(w, grad[-1], grad[:-1])
+
+    w = np.zeros(size + 1)
+    if data.entries <= WHOLE:
+        got = blocks.coalesce(1).mapInPandas(whole, "i long, g double").toPandas()
+        w[got["i"].to_numpy(np.int64)] = got["g"].to_numpy(float)
+    else:
+        w = _lbfgs(value, w, max_iter, tol)
     return Linear(data.vocab, w[:size], float(w[size]), data.texts, link)
 
 
