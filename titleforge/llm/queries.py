@@ -73,6 +73,16 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf, "documents"))
 
 
+def p8_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same ids with chunks so short that nearly every text is cut and stitched."""
+    return tokens.token_ids(table(spark, sf, "documents"), chunk=256, overlap=64)
+
+
+def p9_report(spark: SparkSession, sf: str) -> DataFrame:
+    report = packing.packing_report(p9_packed(spark, sf))
+    return report.withColumn("used_share", F.round("used_share", 6))
+
+
 def p9_packed(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(table(spark, sf, "documents"), table(spark, sf, "pack_bins"))
 
@@ -88,7 +98,7 @@ def p10_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_originals, p2_found, p2_report, p3_found, p3_terms, p3_words, p3_values, p3_long, p4_found, p4_collapsed, p5_found, p5_plain, p6_found, p8_ids, p9_packed, p10_found, p10_segments)
+    for f in (p1_found, p1_originals, p2_found, p2_report, p3_found, p3_terms, p3_words, p3_values, p3_long, p4_found, p4_collapsed, p5_found, p5_plain, p6_found, p8_ids, p8_chunks, p9_packed, p9_report, p10_found, p10_segments)
 }
 
 _ONCE = "WITH once AS (SELECT title_id, min(title) AS title FROM titles WHERE title IS NOT NULL GROUP BY title_id),"
