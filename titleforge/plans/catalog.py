@@ -628,16 +628,17 @@ _BODY = (
 @query(
     sql(
         "expected",
-        f"SELECT model_name, subset, id, {_BODY} AS body FROM expected JOIN requested USING (model_name) WHERE profile IN {tuple(control.SYNTAX)}",
-        f"requested AS (SELECT m.name AS model_name, m.full_name, coalesce(token_parameter, 'max_tokens') AS parameter, ({_PROFILES})[1] AS profile FROM (SELECT *, unnest(model) AS m FROM model_config))",
+        f"SELECT model_name, subset, id, {_BODY} AS body FROM expected JOIN requested USING (model_name)",
+        f"requested AS (SELECT m.name AS model_name, m.full_name, coalesce(token_parameter, 'max_tokens') AS parameter, coalesce(list_filter(m.thinking_profiles, lambda x: x IN {tuple(control.SYNTAX)})[1], ({_PROFILES.replace("len(m.thinking_profiles) > 0", "FALSE")})[1]) AS profile FROM (SELECT *, unnest(model) AS m FROM model_config))",
     )
 )
 def request_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """The bodies of all open questions to the models whose first profile has a known syntax; any other is an error."""
-    known = inputs.models(spark, sf).where(F.col("thinking_profiles")[0].isin(*control.SYNTAX))
-    keys = inputs.expected(spark, sf).join(known, "model_name")
+    """The bodies of all questions, with the first profile of the configuration that has a known syntax, else the one inferred."""
+    named = F.get(F.filter("thinking_profiles", lambda x: x.isin(*control.SYNTAX)), F.lit(0))
+    profile = F.coalesce(named, control.thinking_profiles(F.col("provider"), F.col("model_id"), F.col("base_url"))[0])
+    keys = inputs.expected(spark, sf).join(inputs.models(spark, sf), "model_name")
     prompts = text.messages(F.lit("Judge the title."), text.user_prompt(F.col("title")))
-    body = control.request_body(F.col("model_id"), prompts, F.col("token_parameter"), F.lit(STAGES[0]), F.col("thinking_profiles")[0])
+    body = control.request_body(F.col("model_id"), prompts, F.col("token_parameter"), F.lit(STAGES[0]), profile)
     return keys.select("model_name", "subset", "id", body.alias("body"))
 
 
