@@ -169,6 +169,25 @@ def test_bootstrap_streams(spark):
     assert resample.bootstrap(df.limit(1)).count() == 0 and resample.bootstrap_numpy(df.limit(1)).count() in (0, 1)
 
 
+def test_gathered_rounds_write_no_draws(spark):
+    """Equal to plain indexing, for groups held whole, in pieces, and with rounds cut into slices; no join per draw."""
+    rng = random.Random(3)
+    rows = [(m, "s", f"{i:05d}", rng.choice(["Yes", "No"]), rng.choice(["Yes", "No", None])) for m, n in (("a", 1), ("b", 2), ("c", 2_500), ("d", 20_011)) for i in range(n)]
+    df = spark.createDataFrame(rows, "model_name string, subset string, id string, gold_label string, pred_label string").repartition(5)
+    want = {}
+    for m in "bcd":
+        y, p = (np.array([r[k] == "Yes" for r in rows if r[0] == m]) for k in (3, 4))
+        pos, accuracy = np.arange(len(y)), []
+        for r in range(40):
+            i = ((r + 1) * 7_919 + pos * (r * 2 + 104_729) + pos * pos % 1_009 * 31) % len(y)
+            accuracy.append((y == p)[i].mean())
+        want[m] = pytest.approx(np.percentile(accuracy, [2.5, 97.5]).tolist())
+    for sizes in ({}, {"piece": 900, "draws": 5_000}):
+        got = resample.bootstrap_gather(df, rounds=40, **sizes)
+        assert {r.model_name: [r.accuracy_ci_low, r.accuracy_ci_high] for r in got.collect()} == want
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 # State
 
 
