@@ -281,6 +281,28 @@ def test_models_reach_their_optimum(small, monkeypatch, whole):
     assert np.allclose(nb.weights, logs[0] - logs[1])
 
 
+@pytest.mark.parametrize("turned", [True, False])
+def test_fits_take_few_passes(turned):
+    """Common and rare features of very different curvature: few passes over the titles to a gradient of 1e-8."""
+    rng, n, size = np.random.default_rng(5), 4_000, 1_500
+    i = np.minimum((rng.pareto(0.7, (n, 30)) * 3).astype(np.int32), size - 1)
+    y, v, c = np.where(rng.random(n) < 0.4, 1.0, -1.0), rng.random((n, 30)) / 4, np.ones(n)
+    blocks = pd.DataFrame({"y": [y.tobytes()], "c": [c.tobytes()], "sizes": [np.full(n, 30).tobytes()], "i": [i.tobytes()], "v": [v.tobytes()]})
+    dense = np.zeros((n, size + 1))
+    np.add.at(dense, (np.repeat(np.arange(n), 30), i.ravel()), v.ravel())
+    dense[:, size] = 1
+    penalty, seen = np.append(np.ones(size), 0.0), []
+
+    def loss(y, f):
+        wrong = 1 / (1 + np.exp(y * f))
+        return np.logaddexp(0.0, -y * f), -y * wrong, wrong * (1 - wrong)
+
+    held = estimators._Titles(blocks, size, loss, 4.0, turned=turned)
+    w = estimators._newton(lambda part, length, *given: seen.append(part) or part(held, *given), penalty, 1_000, 1e-8)
+    slope = lambda w: penalty * w - 4 * dense.T @ (y / (1 + np.exp(y * (dense @ w))))
+    assert np.linalg.norm(slope(w)) <= 1.1e-8 * np.linalg.norm(slope(np.zeros(size + 1))) and len(seen) < 300
+
+
 def test_predict_save_load(spark, small, tmp_path):
     model = estimators.complement_nb(estimators.prepare(small), 0.5)
     odd = spark.createDataFrame([("a", None), ("b", ""), ("c", "zzzz")], "id string, title string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -16,7 +17,7 @@ from titleforge.operators.metrics import confusion, rates
 from titleforge.session import cut_lineage
 
 
-Loss = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]  # of y and f: the losses and their slopes
+Loss = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]  # of y and f: the losses, their slopes and curvatures
 
 
 @dataclass
@@ -69,9 +70,10 @@ def prepare(train: DataFrame, *, id_col: str = "id", max_features: int = 80_000)
 def logistic(data: Features, c_value: float, *, max_iter: int = 1_000, tol: float = 1e-8) -> Linear:
     """L2-regularised logistic regression with balanced weights: least |w|^2 / 2 + C sum c log(1 + exp(-y f)); the intercept is free."""
 
-    def loss(y: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def loss(y: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = y * f
-        return np.logaddexp(0.0, -m), -y / (1 + np.exp(np.minimum(m, 700.0)))
+        wrong = 1 / (1 + np.exp(np.minimum(m, 700.0)))
+        return np.logaddexp(0.0, -m), -y * wrong, wrong * (1 - wrong)
 
     return _fit(data, c_value, loss, 0.0, max_iter, tol, "probability")
 
@@ -93,15 +95,15 @@ def complement_sums(rows: DataFrame) -> DataFrame:
 def squared_hinge(data: Features, c_value: float, *, max_iter: int = 300, tol: float = 1e-6) -> Linear:
     """Linear SVM: least |w, b|^2 / 2 + C sum c max(0, 1 - y f)^2, the intercept regularised too."""
 
-    def loss(y: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def loss(y: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         slack = np.maximum(0.0, 1 - y * f)
-        return slack * slack, -2 * slack * y
+        return slack * slack, -2 * slack * y, 2.0 * (slack > 0)
 
     return _fit(data, c_value, loss, 1.0, max_iter, tol, "sigmoid")
 
 
 def _blocks(data: Features, rows: int = 2_000) -> DataFrame:
-    """The titles as blocks of arrays (y, c, sizes, index, weight), so that a step reads few rows."""
+    """The titles as blocks of arrays (y, c, sizes, index, weight), as bytes, so that a step reads few rows."""
     per = data.rows.groupBy("id", "y", "c").agg(F.collect_list("index").alias("i"), F.collect_list("weight").alias("v"))
     spread = per.repartition(max(1, min(per.sparkSession.sparkContext.defaultParallelism, -(-data.texts // 200))), "id") if data.texts < rows * 8 else per
 
@@ -109,103 +111,148 @@ def _blocks(data: Features, rows: int = 2_000) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), rows):
                 some = pdf.iloc[at : at + rows]
-                yield pd.DataFrame({"y": [some["y"].to_numpy() * 2 - 1], "c": [some["c"].to_numpy()], "sizes": [some["i"].map(len).to_numpy()], "i": [np.concatenate(some["i"].to_list())], "v": [np.concatenate(some["v"].to_list())]})
+                arrays = {"y": some["y"].to_numpy(float) * 2 - 1, "c": some["c"].to_numpy(float), "sizes": some["i"].map(len).to_numpy(np.int64), "i": np.concatenate(some["i"].to_list()).astype(np.int32), "v": np.concatenate(some["v"].to_list()).astype(float)}
+                yield pd.DataFrame({k: [v.tobytes()] for k, v in arrays.items()})
 
-    return cut_lineage(spread.mapInPandas(pack, "y array<double>, c array<double>, sizes array<long>, i array<int>, v array<double>"))
+    return cut_lineage(spread.mapInPandas(pack, "y binary, c binary, sizes binary, i binary, v binary"))
 
 
-WHOLE = 2_000_000  # entries of the training table up to which one task holds it and finds the weights by itself
+WHOLE = 10_000_000  # entries of the training table, of some 60 bytes each, up to which one task holds it and finds the weights by itself
+_PREPARING = threading.Lock()  # fits may run side by side on the same table
 
 
-def _gradient(pdf: pd.DataFrame, w: np.ndarray, c_value: float, loss: Loss) -> tuple[float, np.ndarray]:
-    """(loss, gradient) of some blocks at the weights w, the intercept last, without the penalty."""
-    size = len(w) - 1
-    grad, total = np.zeros(size + 1), 0.0
-    for y, c, sizes, i, v in pdf[["y", "c", "sizes", "i", "v"]].itertuples(index=False):
-        row = np.repeat(np.arange(len(y)), sizes)
-        f = np.bincount(row, weights=v * w[i], minlength=len(y)) + w[size]
-        each, g = loss(y, f)
-        total += float((c * each).sum()) * c_value
-        g = g * c * c_value
-        grad[:size] += np.bincount(i, weights=v * g[row], minlength=size)
-        grad[size] += g.sum()
-    return total, grad
+class _Titles:
+    """Some blocks as a sparse matrix; with `turned` also by columns, for many steps on the same titles."""
+
+    def __init__(self, blocks: pd.DataFrame, size: int, loss: Loss, c_value: float, turned: bool = False) -> None:
+        def joined(name: str, kind: type) -> np.ndarray:
+            return np.concatenate([np.frombuffer(b, kind) for b in blocks[name]])
+
+        self.size, self.loss, self.turned = size, loss, turned
+        self.y, self.c, sizes = joined("y", float), joined("c", float) * c_value, joined("sizes", np.int64)
+        self.i, self.v = joined("i", np.int32).astype(np.intp), joined("v", float)
+        self.starts, self.row = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)  # every title has entries
+        self.by, self.f = None, np.zeros(0)
+        if turned:
+            order, counts = np.argsort(self.i, kind="stable"), np.bincount(self.i, minlength=size)
+            self.row, self.x = self.row[order], self.v[order]
+            self.columns = np.flatnonzero(counts)
+            self.tops = (np.cumsum(counts) - counts)[self.columns]
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.v * w[self.i], self.starts) + w[-1]
+
+    def at(self, w: np.ndarray) -> np.ndarray:
+        """The margins at w, computed once for the same w."""
+        if self.by is not w:
+            self.by, self.f = w, self.margins(w)
+        return self.f
+
+    def summed(self, g: np.ndarray, power: int = 1) -> np.ndarray:
+        """The sums of g times the entries, or their squares, per feature; the intercept last."""
+        out = np.zeros(self.size + 1)
+        if self.turned:
+            x = g[self.row] * self.x
+            out[self.columns] = np.add.reduceat(x if power == 1 else x * self.x, self.tops)
+        else:
+            out[:-1] = np.bincount(self.i, weights=g[self.row] * self.v**power, minlength=self.size)
+        out[-1] = g.sum()
+        return out
+
+
+def _state(t: _Titles, w: np.ndarray) -> np.ndarray:
+    """Loss, gradient, and the diagonal of the second derivatives, one behind the other."""
+    each, slope, curve = t.loss(t.y, t.at(w))
+    return np.concatenate(([t.c @ each], t.summed(t.c * slope), t.summed(t.c * curve, 2)))
+
+
+def _curved(t: _Titles, w: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The second derivatives at w times d."""
+    return t.summed(t.c * t.loss(t.y, t.at(w))[2] * t.margins(d))
+
+
+def _along(t: _Titles, w: np.ndarray, d: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The losses at w + step * d."""
+    f, more = t.at(w), t.margins(d)
+    return np.array([t.c @ t.loss(t.y, f + step * more)[0] for step in steps])
 
 
 def _fit(data: Features, c_value: float, loss: Loss, intercept_penalty: float, max_iter: int, tol: float, link: str) -> Linear:
-    """L-BFGS over at most max_features weights. A training table of at most WHOLE entries is given to one
-    task, which needs one job; beyond that the driver takes the steps, and losses and gradients are sums
+    """Newton's method over at most max_features weights. A training table of at most WHOLE entries is given
+    to one task, which needs one job; beyond that the driver takes the steps, and what they need are sums
     over partitions, of which only one row per feature arrives."""
     spark, size = data.rows.sparkSession, data.size
-    if data.blocks is None:
-        data.blocks, data.entries = _blocks(data), data.rows.count()
+    with _PREPARING:
+        if data.blocks is None:
+            data.blocks, data.entries = _blocks(data), data.rows.count()
     blocks = data.blocks
     penalty = np.append(np.ones(size), intercept_penalty)
 
-    def penalised(w: np.ndarray, total: float, grad: np.ndarray) -> tuple[float, np.ndarray]:
-        return float(penalty @ (w * w)) / 2 + total, penalty * w + grad
-
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         if parts:
-            held = pd.concat(parts)
-            yield pd.DataFrame({"i": np.arange(size + 1), "g": _lbfgs(lambda w: penalised(w, *_gradient(held, w, c_value, loss)), np.zeros(size + 1), max_iter, tol)})
+            held = _Titles(pd.concat(parts), size, loss, c_value, turned=True)
+            parts.clear()
+            yield pd.DataFrame({"i": np.arange(size + 1), "g": _newton(lambda part, length, *given: part(held, *given), penalty, max_iter, tol)})
 
-    def value(w: np.ndarray) -> tuple[float, np.ndarray]:
-        shared = spark.sparkContext.broadcast(w)
+    def summed(part: Callable[..., np.ndarray], length: int, *given: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(given)
 
-        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            grad, total = np.zeros(size + 1), 0.0
+        def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(length)
             for pdf in batches:
-                more, g = _gradient(pdf, shared.value, c_value, loss)
-                grad, total = grad + g, total + more
-            at = np.flatnonzero(grad)
-            yield pd.DataFrame({"i": np.append(at, -1), "g": np.append(grad[at], total)})
+                if len(pdf):
+                    total += part(_Titles(pdf, size, loss, c_value), *shared.value)
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"i": at, "g": total[at]})
 
-        got = blocks.mapInPandas(part, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas()
+        got = blocks.mapInPandas(some, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas()
         shared.destroy()
-        grad = np.zeros(size + 2)
-        grad[got["i"].to_numpy()] = got["g"].to_numpy()  # -1 is the loss
-        return penalised(w, grad[-1], grad[:-1])
+        out = np.zeros(length)
+        out[got["i"].to_numpy(np.int64)] = got["g"].to_numpy(float)
+        return out
 
     w = np.zeros(size + 1)
     if data.entries <= WHOLE:
         got = blocks.coalesce(1).mapInPandas(whole, "i long, g double").toPandas()
         w[got["i"].to_numpy(np.int64)] = got["g"].to_numpy(float)
     else:
-        w = _lbfgs(value, w, max_iter, tol)
+        w = _newton(summed, penalty, max_iter, tol)
     return Linear(data.vocab, w[:size], float(w[size]), data.texts, link)
 
 
-def _lbfgs(value: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, max_iter: int, tol: float, memory: int = 12) -> np.ndarray:
-    """Limited-memory BFGS with backtracking, until the gradient is below tol times its first norm."""
-    f, g = value(w)
-    first, steps = np.linalg.norm(g), []
+def _newton(run: Callable[..., np.ndarray], penalty: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
+    """Newton's method with backtracking, until the gradient is below tol times its first norm. `run(part,
+    length, ...)` gives the sum of a part over all titles. The steps are solved by conjugate gradients, scaled
+    by the diagonal and the more exactly the smaller the gradient: the passes over the titles are a fraction
+    of those that a method without second derivatives takes."""
+    w, first, n = np.zeros(len(penalty)), 0.0, len(penalty)
     for _ in range(max_iter):
-        if np.linalg.norm(g) <= tol * max(first, 1.0):
+        state = run(_state, 1 + 2 * n, w)
+        value, g, scale = penalty @ (w * w) / 2 + state[0], penalty * w + state[1 : n + 1], np.maximum(penalty + state[n + 1 :], 1e-12)
+        norm = np.linalg.norm(g)
+        first = first or norm
+        if norm <= tol * max(first, 1.0):
             break
-        d, keep = -g, []
-        for s, y in reversed(steps):
-            a = s @ d / (s @ y)
-            keep.append(a)
-            d = d - a * y
-        if steps:
-            s, y = steps[-1]
-            d = d * (s @ y / (y @ y))
-        for (s, y), a in zip(steps, reversed(keep)):
-            d = d + (a - y @ d / (s @ y)) * s
-        slope, step = g @ d, 1.0 if steps else 1.0 / max(first, 1.0)
-        for _ in range(30):
-            new_f, new_g = value(w + step * d)
-            if new_f <= f + 1e-4 * step * slope:
+        d, left = np.zeros(n), -g
+        p, enough = left / scale, min(0.25, np.sqrt(norm / first)) * norm
+        z, rest = p, left @ p
+        for _ in range(1_000):
+            if np.linalg.norm(left) <= enough:
+                break
+            h = penalty * p + run(_curved, n, w, p)
+            a = rest / (p @ h)
+            d, left = d + a * p, left - a * h
+            z = left / scale
+            p, rest = z + (left @ z) / rest * p, left @ z
+        for steps in (np.ones(1), 0.5 ** np.arange(1, 30)):
+            after = run(_along, len(steps), w, d, steps) + [penalty @ ((w + t * d) ** 2) / 2 for t in steps]
+            good = steps[after <= value + 1e-4 * steps * (g @ d) + 1e-13 * abs(value)]  # rounding is no rise
+            if len(good):
                 break
-            step /= 2
         else:
             break
-        s, y = step * d, new_g - g
-        if s @ y > 1e-12:
-            steps = [*steps[-memory + 1 :], (s, y)]
-        w, f, g = w + s, new_f, new_g
+        w = w + good[0] * d
     return w
 
 
