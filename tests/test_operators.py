@@ -2,6 +2,7 @@
 
 import math
 import random
+import threading
 
 import numpy as np
 import pandas as pd
@@ -303,6 +304,22 @@ def test_fits_take_few_passes(turned):
     assert np.linalg.norm(slope(w)) <= 1.1e-8 * np.linalg.norm(slope(np.zeros(size + 1))) and len(seen) < 300
 
 
+def test_grid_is_fitted_side_by_side(small):
+    """Fits that wait for each other end, and the scores are those of fits one by one."""
+    together = threading.Barrier(3, timeout=60)
+
+    def fit(data, alpha):
+        together.wait()
+        return estimators.complement_nb(data, alpha)
+
+    families = {"nb": ("alpha", (0.1, 0.5, 1.0), fit)}
+    got = estimators.selection(small, small, families=families).orderBy("position").collect()
+    data = estimators.prepare(small)
+    for r, alpha in zip(got, (0.1, 0.5, 1.0), strict=True):
+        alone = metrics.confusion(estimators.complement_nb(data, alpha).predict(small), []).select(metrics.rates("observed")["macro_f1"].alias("f")).first().f
+        assert r.value == alpha and r.dev_macro_f1 == pytest.approx(alone)
+
+
 def test_predict_save_load(spark, small, tmp_path):
     model = estimators.complement_nb(estimators.prepare(small), 0.5)
     odd = spark.createDataFrame([("a", None), ("b", ""), ("c", "zzzz")], "id string, title string")

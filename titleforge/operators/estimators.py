@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
@@ -35,9 +36,12 @@ class Linear:
         spark = self.vocab.sparkSession
         return spark.createDataFrame(pd.DataFrame({"index": np.arange(len(self.weights), dtype=np.int32), "w": self.weights.astype(float)}))
 
-    def predict(self, titles: DataFrame, *, id_col: str = "id") -> DataFrame:
-        """`titles` with pred_label and score_yes; texts without known grams get the intercept alone."""
-        x = features.tfidf(features.term_frequencies(titles, id_col=id_col), self.vocab, self.texts, id_col=id_col)
+    def predict(self, titles: DataFrame, *, id_col: str = "id", x: DataFrame | None = None) -> DataFrame:
+        """`titles` with pred_label and score_yes; texts without known grams get the intercept alone.
+
+        `x` may bring the titles' TF-IDF rows over this vocabulary, for several models."""
+        if x is None:
+            x = features.tfidf(features.term_frequencies(titles, id_col=id_col), self.vocab, self.texts, id_col=id_col)
         f = x.join(F.broadcast(self.table()), "index").groupBy(id_col).agg(F.sum(F.col("weight") * F.col("w")).alias("f"))
         out = titles.join(f, id_col, "left").withColumn("f", F.coalesce("f", F.lit(0.0)) + F.lit(self.intercept))
         return out.withColumn("pred_label", F.when(F.col("f") > 0, "Yes").otherwise("No")).withColumn("score_yes", 1 / (1 + F.exp(-F.col("f")))).drop("f")
@@ -269,15 +273,25 @@ def make_estimator(name: str) -> Callable[[Features, float], Linear]:
     return FAMILIES[name][2]
 
 
+def side_by_side(calls: Sequence[Callable[[], Any]], most: int = 6) -> list[Any]:
+    """The results of calls that run Spark jobs, in their order; up to `most` at a time, as a fit has one task."""
+    with ThreadPoolExecutor(max(1, min(most, len(calls)))) as pool:
+        return [f.result() for f in [pool.submit(c) for c in calls]]
+
+
 def selection(train: DataFrame, dev: DataFrame, *, families: dict[str, Any] | None = None, id_col: str = "id") -> DataFrame:
     """(model_name, position, parameter, value, dev_macro_f1, selected): every grid point's score on the
-    fixed development split; the first best of a family is selected."""
-    data, rows = prepare(train, id_col=id_col), []
+    fixed development split; the first best of a family is selected. The fits run side by side."""
+    data = prepare(train, id_col=id_col)
     dev = cut_lineage(dev.where(F.col("gold_label").isin("Yes", "No") & F.col("title").isNotNull()).select(id_col, "title", "gold_label"))
-    for name, (parameter, values, fit) in (families or FAMILIES).items():
-        for at, v in enumerate(values):
-            got = confusion(fit(data, v).predict(dev, id_col=id_col), []).select(rates("observed")["macro_f1"].alias("f")).first()
-            rows.append((name, at, parameter, float(v), float(got.f)))
+    x = cut_lineage(features.tfidf(features.term_frequencies(dev, id_col=id_col), data.vocab, data.texts, id_col=id_col))
+    grid = [(fit, name, at, parameter, float(v)) for name, (parameter, values, fit) in (families or FAMILIES).items() for at, v in enumerate(values)]
+
+    def score(model: Linear) -> float:
+        return float(confusion(model.predict(dev, id_col=id_col, x=x), []).select(rates("observed")["macro_f1"].alias("f")).first().f)
+
+    scores = side_by_side([lambda fit=fit, v=v: score(fit(data, v)) for fit, *_, v in grid])
+    rows = [(*point, f) for (_, *point), f in zip(grid, scores)]
     table = train.sparkSession.createDataFrame(rows, "model_name string, position int, parameter string, value double, dev_macro_f1 double")
     w = Window.partitionBy("model_name").orderBy(F.col("dev_macro_f1").desc(), "position")
     return table.withColumn("selected", F.row_number().over(w) == 1)
