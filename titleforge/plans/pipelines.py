@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from titleforge.functions.text import KeywordRule
-from titleforge.operators import estimators, metrics, paired, resample, state
+from titleforge.operators import estimators, features, metrics, paired, resample, state
 from titleforge.operators.tables import positional_split
 from titleforge.session import cut_lineage
 
@@ -51,10 +51,12 @@ def classify_splits(train: DataFrame, held: DataFrame, last: DataFrame, *, round
     data = estimators.prepare(train.unionByName(held))
     ruled = last.withColumn("r", rule.predict(F.col("title"))).select(F.lit("keyword_rule").alias("model_name"), "id", "ordinal", "title", "gold_label", F.col("r.label").alias("pred_label"), F.col("r.score").cast("double").alias("score_yes"))
     predictions, tops, models = [ruled], [], {}
-    for row in chosen.where("selected").orderBy("model_name").collect():  # one row per family
-        model = estimators.make_estimator(row.model_name)(data, row.value)
+    best = chosen.where("selected").orderBy("model_name").collect()  # one row per family
+    fitted = estimators.side_by_side([lambda row=row: estimators.make_estimator(row.model_name)(data, row.value) for row in best])
+    x = cut_lineage(features.tfidf(features.term_frequencies(last), data.vocab, data.texts))
+    for row, model in zip(best, fitted):
         models[row.model_name] = model
-        predictions.append(model.predict(last).select(F.lit(row.model_name).alias("model_name"), "id", "ordinal", "title", "gold_label", "pred_label", "score_yes"))
+        predictions.append(model.predict(last, x=x).select(F.lit(row.model_name).alias("model_name"), "id", "ordinal", "title", "gold_label", "pred_label", "score_yes"))
         tops.append(estimators.top_features(model, row.model_name))
     every = predictions[0]
     for p in predictions[1:]:
@@ -67,7 +69,7 @@ def classify_splits(train: DataFrame, held: DataFrame, last: DataFrame, *, round
         intervals = resample.bootstrap(every, by, rounds=rounds, seed=seed, metrics=names, policy="observed")
     setting = chosen.where("selected").select("model_name", F.to_json(F.create_map("parameter", F.col("value"))).alias("selected_parameters"))
     table = metrics.point_metrics(every, by, "observed").join(metrics.auroc(every, by, F.col("score_yes")), by, "left").join(intervals, by, "left").join(setting, by, "left")
-    features = tops[0] if tops else every.sparkSession.createDataFrame([], "model_name string, direction string, rank int, feature string, weight double")
+    ranked = tops[0] if tops else every.sparkSession.createDataFrame([], "model_name string, direction string, rank int, feature string, weight double")
     for t in tops[1:]:
-        features = features.unionByName(t)
-    return {"ml_dev_selection": chosen, "ml_predictions": every.drop("ordinal"), "ml_metrics": table.orderBy(F.col("macro_f1").desc(), "model_name"), "ml_top_features": features, "models": models}
+        ranked = ranked.unionByName(t)
+    return {"ml_dev_selection": chosen, "ml_predictions": every.drop("ordinal"), "ml_metrics": table.orderBy(F.col("macro_f1").desc(), "model_name"), "ml_top_features": ranked, "models": models}
