@@ -282,6 +282,56 @@ def test_models_reach_their_optimum(small, monkeypatch, whole):
     assert np.allclose(nb.weights, logs[0] - logs[1])
 
 
+@pytest.mark.parametrize("together", [1_000_000, 7])
+def test_counted_grams_equal_the_table(spark, monkeypatch, together):
+    """Counts and weights over batches are those of the table of all grams, whatever the signs and the lengths."""
+    monkeypatch.setattr(features, "TOGETHER", together)
+    texts = ["", "a", "\U0001f600\U0001f600\U0001f600", "Ab  aB\u3000\u3000ab", None, "\u0130\ud55c\uae00 x" * 40, "aaaaaaa", "z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, title string")
+    plain = features.plain(df)
+    tf = features.term_frequencies(df)
+    assert sorted(features.document_frequencies(tf).collect()) == sorted(features.gram_counts(plain).collect())
+    vocab = features.vocabulary(features.document_frequencies(tf), len(texts), max_features=40)
+    rows = plain.orderBy("id").collect()
+    sizes, index, weight = features.vectors([r._t for r in rows], *features.lookup(vocab, len(texts)))
+    got = dict(zip(zip(np.repeat([r.id for r in rows], sizes).tolist(), index.tolist()), weight, strict=True))
+    assert got == pytest.approx({(r.id, r["index"]): r.weight for r in features.tfidf(tf, vocab, len(texts)).collect()})
+
+
+@pytest.mark.parametrize("whole", [2_000_000, 0])
+def test_titles_without_grams_count(spark, small, monkeypatch, whole):
+    """A title too short for any gram pulls at the intercept; gradient and score see it."""
+    monkeypatch.setattr(estimators, "WHOLE", whole)
+    short = spark.createDataFrame([(f"x{i}", "\u4e2d", "No") for i in range(15)], "id string, title string, gold_label string")
+    data = estimators.prepare(small.unionByName(short))
+    svm = estimators.squared_hinge(data, 1.0)
+    f = svm.predict(small.unionByName(short)).select("gold_label", F.log(F.col("score_yes") / (1 - F.col("score_yes"))).alias("f")).toPandas()
+    y = np.where(f.gold_label == "Yes", 1.0, -1.0)
+    c = np.where(y > 0, 75 / (2 * (y > 0).sum()), 75 / (2 * (y < 0).sum()))
+    assert abs(svm.intercept - 2 * (c * y * np.maximum(0, 1 - y * f.f)).sum()) < 1e-4
+
+
+def test_equal_features_are_fitted_as_one():
+    """Features of equal entries become one, and the weights are those of the whole table."""
+    rng, n, size = np.random.default_rng(3), 300, 60
+    x = np.where(rng.random((n, 20)) < 0.3, rng.random((n, 20)), 0.0)[:, np.arange(size) % 20]
+    y, at = np.where(rng.random(n) < 0.5, 1.0, -1.0), [np.flatnonzero(r) for r in x]
+    block = {"y": y, "c": np.ones(n), "sizes": np.array([len(k) for k in at]), "i": np.concatenate(at).astype(np.int32), "v": x[x > 0]}
+    parts = [pd.DataFrame({k: [v.tobytes()] for k, v in block.items()})]
+
+    def loss(y, f):
+        slack = np.maximum(0.0, 1 - y * f)
+        return slack * slack, -2 * slack * y, 2.0 * (slack > 0)
+
+    merged, same, times = estimators._merged(parts, size)
+    assert len(times) == 20 and set(times) == {3} and len(merged["v"][0]) * 3 == len(parts[0]["v"][0])
+    held = estimators._Titles(merged, 20, loss, 1.0, turned=True)
+    u = estimators._newton(lambda part, length, *given: part(held, *given), np.ones(21), 100, 1e-10)
+    w, b = (u[:-1] / np.sqrt(times))[same], u[-1]
+    pull = y * np.maximum(0, 1 - y * (x @ w + b))
+    assert np.allclose(w, 2 * x.T @ pull, atol=1e-6) and b == pytest.approx(2 * pull.sum(), abs=1e-6)
+
+
 @pytest.mark.parametrize("turned", [True, False])
 def test_fits_take_few_passes(turned):
     """Common and rare features of very different curvature: few passes over the titles to a gradient of 1e-8."""

@@ -171,9 +171,14 @@ def parse_response_exact(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_response(x) for x in raw], columns=["label", "explanation", "confidence", "format_valid"])
 
 
+def ngram_text(text: Column) -> Column:
+    """A text as n-grams are cut from it: lower case, runs of white space as one blank; null is the empty text."""
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{WHITE}][{WHITE}]+", " "))
+
+
 def char_ngrams(text: Column, sizes: Sequence[int] = (2, 3, 4, 5)) -> Column:
     """All character n-grams of a text in lower case, runs of white space as one blank; null and short texts have none."""
-    t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{WHITE}][{WHITE}]+", " "))
+    t = ngram_text(text)
     n = F.length(t)
 
     def grams(size: int) -> Column:

@@ -10,8 +10,10 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from titleforge.operators import features
 from titleforge.operators.metrics import confusion, rates
@@ -41,34 +43,68 @@ class Linear:
 
         `x` may bring the titles' TF-IDF rows over this vocabulary, for several models."""
         if x is None:
-            x = features.tfidf(features.term_frequencies(titles, id_col=id_col), self.vocab, self.texts, id_col=id_col)
-        f = x.join(F.broadcast(self.table()), "index").groupBy(id_col).agg(F.sum(F.col("weight") * F.col("w")).alias("f"))
-        out = titles.join(f, id_col, "left").withColumn("f", F.coalesce("f", F.lit(0.0)) + F.lit(self.intercept))
+            out = self._scored(titles)
+        else:
+            f = x.join(F.broadcast(self.table()), "index").groupBy(id_col).agg(F.sum(F.col("weight") * F.col("w")).alias("f"))
+            out = titles.join(f, id_col, "left").withColumn("f", F.coalesce("f", F.lit(0.0)) + F.lit(self.intercept))
         return out.withColumn("pred_label", F.when(F.col("f") > 0, "Yes").otherwise("No")).withColumn("score_yes", 1 / (1 + F.exp(-F.col("f")))).drop("f")
 
+    def _scored(self, titles: DataFrame) -> DataFrame:
+        """`titles` with f, text by text over Arrow batches: no entry is moved."""
+        sc = self.vocab.sparkSession.sparkContext
+        shared = sc.broadcast((*features.lookup(self.vocab, self.texts), self.weights, self.intercept))
+
+        def margin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, idf, w, intercept = shared.value
+            for batch in batches:
+                sizes, index, weight = features.vectors(batch.column("_t").to_pylist(), known, idf)
+                f = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=weight * w[index], minlength=len(sizes)) + intercept
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(f)], names=[*batch.schema.names[:-1], "f"])
+
+        spread = features.plain(titles.repartition(sc.defaultParallelism))
+        return spread.mapInArrow(margin, T.StructType([*titles.schema.fields, T.StructField("f", T.DoubleType())]))
+
 
 @dataclass
 class Features:
-    """The training table of a split: vocabulary, TF-IDF rows with label and class weight."""
+    """The training table of a split: vocabulary, TF-IDF of each title (id, y, c, i, v) with label and class weight."""
 
     vocab: DataFrame
-    rows: DataFrame
+    titles: DataFrame
     texts: int
     size: int
+    entries: int
     blocks: DataFrame | None = None
-    entries: int = 0
+
+    @property
+    def rows(self) -> DataFrame:
+        """(id, index, weight, y, c): a row for each entry."""
+        return self.titles.select("id", F.inline(F.arrays_zip("i", "v")), "y", "c").select("id", F.col("i").alias("index"), F.col("v").alias("weight"), "y", "c")
 
 
 def prepare(train: DataFrame, *, id_col: str = "id", max_features: int = 80_000) -> Features:
     """TF-IDF of the training titles with y (0, 1) and balanced class weight c."""
     train = train.where(F.col("gold_label").isin("Yes", "No") & F.col("title").isNotNull())
-    texts = train.count()
-    tf = cut_lineage(features.term_frequencies(train, id_col=id_col))
-    vocab = cut_lineage(features.vocabulary(features.document_frequencies(tf), texts, max_features=max_features))
+    train = cut_lineage(features.plain(train).select(F.col(id_col).alias("id"), "_t", "gold_label"))
+    sc, texts = train.sparkSession.sparkContext, train.count()
+    spread = train.repartition(max(sc.defaultParallelism, -(-texts // 20_000)), "id")
+    vocab = cut_lineage(features.vocabulary(features.gram_counts(spread), texts, max_features=max_features))
     weights = features.class_weights(train).select("gold_label", F.col("weight").alias("c"))
-    y = train.select(id_col, "gold_label").join(F.broadcast(weights), "gold_label").select(id_col, (F.col("gold_label") == "Yes").cast("double").alias("y"), "c")
-    rows = cut_lineage(features.tfidf(tf, vocab, texts, id_col=id_col).join(y, id_col).select(F.col(id_col).alias("id"), "index", "weight", "y", "c"))
-    return Features(vocab, rows, texts, vocab.count())
+    known = spread.join(F.broadcast(weights), "gold_label").select("id", (F.col("gold_label") == "Yes").cast("double").alias("y"), "c", "_t")
+    shared = sc.broadcast(features.lookup(vocab, texts))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, index, weight = features.vectors(batch.column("_t").to_pylist(), *shared.value)
+            upto = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            lists = (pa.ListArray.from_arrays(upto, pa.array(x)) for x in (index.astype(np.int32), weight))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], names=["id", "y", "c", "i", "v"])
+
+    kinds = [known.schema["id"], *(T.StructField(n, t) for n, t in (("y", T.DoubleType()), ("c", T.DoubleType()), ("i", T.ArrayType(T.IntegerType())), ("v", T.ArrayType(T.DoubleType()))))]
+    titles = cut_lineage(known.mapInArrow(weighed, T.StructType(kinds)))
+    shared.destroy()
+    entries = titles.agg(F.sum(F.size("i").cast("long")).alias("n")).first().n or 0
+    return Features(vocab, titles, texts, vocab.count(), entries)
 
 
 def logistic(data: Features, c_value: float, *, max_iter: int = 1_000, tol: float = 1e-8) -> Linear:
@@ -108,23 +144,32 @@ def squared_hinge(data: Features, c_value: float, *, max_iter: int = 300, tol: f
 
 def _blocks(data: Features, rows: int = 2_000) -> DataFrame:
     """The titles as blocks of arrays (y, c, sizes, index, weight), as bytes, so that a step reads few rows."""
-    per = data.rows.groupBy("id", "y", "c").agg(F.collect_list("index").alias("i"), F.collect_list("weight").alias("v"))
-    spread = per.repartition(max(1, min(per.sparkSession.sparkContext.defaultParallelism, -(-data.texts // 200))), "id") if data.texts < rows * 8 else per
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), rows):
-                some = pdf.iloc[at : at + rows]
-                arrays = {"y": some["y"].to_numpy(float) * 2 - 1, "c": some["c"].to_numpy(float), "sizes": some["i"].map(len).to_numpy(np.int64), "i": np.concatenate(some["i"].to_list()).astype(np.int32), "v": np.concatenate(some["v"].to_list()).astype(float)}
-                yield pd.DataFrame({k: [v.tobytes()] for k, v in arrays.items()})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                y, c, i, v = batch.slice(at, rows).columns
+                arrays = {"y": y.to_numpy() * 2 - 1, "c": c.to_numpy(), "sizes": i.value_lengths().to_numpy().astype(np.int64), "i": i.flatten().to_numpy(), "v": v.flatten().to_numpy()}
+                yield pa.RecordBatch.from_pydict({k: pa.array([x.tobytes()], pa.binary()) for k, x in arrays.items()})
 
-    return cut_lineage(spread.mapInPandas(pack, "y binary, c binary, sizes binary, i binary, v binary"))
+    return cut_lineage(data.titles.select("y", "c", "i", "v").mapInArrow(pack, "y binary, c binary, sizes binary, i binary, v binary"))
 
 
 WHOLE = 10_000_000  # entries of the training table, of some 60 bytes each, up to which one task holds it and finds the weights by itself
 _PREPARING = threading.Lock()  # fits may run side by side on the same table
 
 
+def _sums(of: np.ndarray, at: np.ndarray, x: np.ndarray, starts: np.ndarray, piece: int = 32_768) -> np.ndarray:
+    """The sums of of[at] * x from each start to the next, none of them empty, in pieces that stay in the cache."""
+    out, k = np.empty(len(starts)), 0
+    while k < len(starts):
+        more = max(k + 1, int(np.searchsorted(starts, starts[k] + piece)))
+        a, b = starts[k], starts[more] if more < len(starts) else len(at)
+        np.add.reduceat(of[at[a:b]] * x[a:b], starts[k:more] - a, out=out[k:more])
+        k = more
+    return out
+
+
 class _Titles:
     """Some blocks as a sparse matrix; with `turned` also by columns, for many steps on the same titles."""
 
@@ -135,7 +180,8 @@ class _Titles:
         self.size, self.loss, self.turned = size, loss, turned
         self.y, self.c, sizes = joined("y", float), joined("c", float) * c_value, joined("sizes", np.int64)
         self.i, self.v = joined("i", np.int32).astype(np.intp), joined("v", float)
-        self.starts, self.row = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)  # every title has entries
+        self.filled = np.flatnonzero(sizes)  # a title without known grams has the intercept alone
+        self.starts, self.row = (np.cumsum(sizes) - sizes)[self.filled], np.repeat(np.arange(len(sizes)), sizes)
         self.by, self.f = None, np.zeros(0)
         if turned:
             order, counts = np.argsort(self.i, kind="stable"), np.bincount(self.i, minlength=size)
@@ -144,7 +190,9 @@ class _Titles:
             self.tops = (np.cumsum(counts) - counts)[self.columns]
 
     def margins(self, w: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.v * w[self.i], self.starts) + w[-1]
+        out = np.full(len(self.y), w[-1])
+        out[self.filled] += _sums(w, self.i, self.v, self.starts)
+        return out
 
     def at(self, w: np.ndarray) -> np.ndarray:
         """The margins at w, computed once for the same w."""
@@ -156,14 +204,29 @@ class _Titles:
         """The sums of g times the entries, or their squares, per feature; the intercept last."""
         out = np.zeros(self.size + 1)
         if self.turned:
-            x = g[self.row] * self.x
-            out[self.columns] = np.add.reduceat(x if power == 1 else x * self.x, self.tops)
+            out[self.columns] = _sums(g, self.row, self.x if power == 1 else self.x**power, self.tops)
         else:
             out[:-1] = np.bincount(self.i, weights=g[self.row] * self.v**power, minlength=self.size)
         out[-1] = g.sum()
         return out
 
 
+def _merged(parts: Sequence[pd.DataFrame], size: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """The blocks with features of equal entries in all titles as one, the number of the one for each feature,
+    and how many it stands for.
+
+    Equal features have equal weights at the optimum, so m of them are one with entries sqrt(m) times as
+    large, of the same loss and norm. Grams of one phrase are mostly such. Two random sums tell them."""
+    y, c, sizes, i, v = (np.concatenate([np.frombuffer(b, kind) for part in parts for b in part[name]]) for name, kind in (("y", float), ("c", float), ("sizes", np.int64), ("i", np.int32), ("v", float)))
+    rng = np.random.default_rng(0)
+    sums = np.stack([np.bincount(i, weights=v * np.repeat(rng.random(len(y)), sizes), minlength=size) for _ in range(2)], axis=1)
+    _, first, same, times = np.unique(sums, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    same, kept = same.ravel(), np.isin(np.arange(size), first)[i]
+    sizes = np.bincount(np.repeat(np.arange(len(y)), sizes)[kept], minlength=len(y))
+    i = same[i[kept]].astype(np.int32)
+    return pd.DataFrame({k: [x.tobytes()] for k, x in (("y", y), ("c", c), ("sizes", sizes), ("i", i), ("v", v[kept] * np.sqrt(times)[i]))}), same, times
+
+
 def _state(t: _Titles, w: np.ndarray) -> np.ndarray:
     """Loss, gradient, and the diagonal of the second derivatives, one behind the other."""
     each, slope, curve = t.loss(t.y, t.at(w))
@@ -185,19 +248,21 @@ def _fit(data: Features, c_value: float, loss: Loss, intercept_penalty: float, m
     """Newton's method over at most max_features weights. A training table of at most WHOLE entries is given
     to one task, which needs one job; beyond that the driver takes the steps, and what they need are sums
     over partitions, of which only one row per feature arrives."""
-    spark, size = data.rows.sparkSession, data.size
+    spark, size = data.vocab.sparkSession, data.size
     with _PREPARING:
         if data.blocks is None:
-            data.blocks, data.entries = _blocks(data), data.rows.count()
+            data.blocks = _blocks(data)
     blocks = data.blocks
     penalty = np.append(np.ones(size), intercept_penalty)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         if parts:
-            held = _Titles(pd.concat(parts), size, loss, c_value, turned=True)
+            merged, same, times = _merged(parts, size)
             parts.clear()
-            yield pd.DataFrame({"i": np.arange(size + 1), "g": _newton(lambda part, length, *given: part(held, *given), penalty, max_iter, tol)})
+            held = _Titles(merged, len(times), loss, c_value, turned=True)
+            u = _newton(lambda part, length, *given: part(held, *given), np.append(np.ones(len(times)), intercept_penalty), max_iter, tol)
+            yield pd.DataFrame({"i": np.arange(size + 1), "g": np.append((u[:-1] / np.sqrt(times))[same], u[-1])})
 
     def summed(part: Callable[..., np.ndarray], length: int, *given: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(given)
@@ -239,7 +304,7 @@ def _newton(run: Callable[..., np.ndarray], penalty: np.ndarray, max_iter: int,
         if norm <= tol * max(first, 1.0):
             break
         d, left = np.zeros(n), -g
-        p, enough = left / scale, min(0.25, np.sqrt(norm / first)) * norm
+        p, enough = left / scale, max(min(0.25, norm / first) * norm, tol * max(first, 1.0) / 100)
         z, rest = p, left @ p
         for _ in range(1_000):
             if np.linalg.norm(left) <= enough:
