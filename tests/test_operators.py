@@ -370,6 +370,32 @@ def test_grid_is_fitted_side_by_side(small):
         assert r.value == alpha and r.dev_macro_f1 == pytest.approx(alone)
 
 
+@pytest.mark.parametrize("whole", [2_000_000, 500, 0])
+def test_fits_of_larger_tables(spark, small, monkeypatch, whole):
+    """A table too large for one task is held by several, which fit all that is asked for in one job; the weights are those of one task."""
+    data = estimators.prepare(small)
+    wanted = [(estimators.logistic, 1.0), (estimators.complement_nb, 0.5), (estimators.squared_hinge, 0.25), (estimators.logistic, 4.0)]
+    alone = [fit(data, value) for fit, value in wanted]
+    assert 500 < data.entries <= 2_000
+    monkeypatch.setattr(estimators, "WHOLE", whole)
+    led = []
+    monkeypatch.setattr(estimators, "_newton", lambda *given, newton=estimators._newton: led.append(1) or newton(*given))
+    for model, one in zip(estimators.fits(data, wanted), alone, strict=True):
+        assert np.allclose(model.weights, one.weights, atol=1e-6) and model.intercept == pytest.approx(one.intercept, abs=1e-6)
+    assert len(led) == (0 if whole else 3)  # the driver takes steps only where no tasks can hold the table
+
+
+def test_models_score_together(spark, small):
+    """Several models score each row at once, rows of equal or missing ids too."""
+    data = estimators.prepare(small)
+    models = [estimators.complement_nb(data, a) for a in (0.1, 1.0)]
+    odd = spark.createDataFrame([("a", "根治秘方春1", 1), ("a", "天气预报秋2", 2), (None, "交通新闻", 3), ("b", None, 4)], "id string, title string, n int")
+    got = {r.n: r.f for r in estimators.margins(models, odd).collect()}
+    for k, model in enumerate(models):
+        assert {r.n: pytest.approx(r.score_yes) for r in model.predict(odd).collect()} == {n: 1 / (1 + np.exp(-f[k])) for n, f in got.items()}
+    assert len(got) == 4 and got[4] == [0.0, 0.0]
+
+
 def test_predict_save_load(spark, small, tmp_path):
     model = estimators.complement_nb(estimators.prepare(small), 0.5)
     odd = spark.createDataFrame([("a", None), ("b", ""), ("c", "zzzz")], "id string, title string")

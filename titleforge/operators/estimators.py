@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hmac
+import secrets
+import socket
 import threading
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -11,7 +14,8 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import BarrierTaskContext, SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,31 +42,36 @@ class Linear:
         spark = self.vocab.sparkSession
         return spark.createDataFrame(pd.DataFrame({"index": np.arange(len(self.weights), dtype=np.int32), "w": self.weights.astype(float)}))
 
-    def predict(self, titles: DataFrame, *, id_col: str = "id", x: DataFrame | None = None) -> DataFrame:
-        """`titles` with pred_label and score_yes; texts without known grams get the intercept alone.
+    def predict(self, titles: DataFrame) -> DataFrame:
+        """`titles` with pred_label and score_yes; texts without known grams get the intercept alone."""
+        f = F.col("f")[0]
+        return margins([self], titles).withColumn("pred_label", predicted(f)).withColumn("score_yes", score(f)).drop("f")
 
-        `x` may bring the titles' TF-IDF rows over this vocabulary, for several models."""
-        if x is None:
-            out = self._scored(titles)
-        else:
-            f = x.join(F.broadcast(self.table()), "index").groupBy(id_col).agg(F.sum(F.col("weight") * F.col("w")).alias("f"))
-            out = titles.join(f, id_col, "left").withColumn("f", F.coalesce("f", F.lit(0.0)) + F.lit(self.intercept))
-        return out.withColumn("pred_label", F.when(F.col("f") > 0, "Yes").otherwise("No")).withColumn("score_yes", 1 / (1 + F.exp(-F.col("f")))).drop("f")
 
-    def _scored(self, titles: DataFrame) -> DataFrame:
-        """`titles` with f, text by text over Arrow batches: no entry is moved."""
-        sc = self.vocab.sparkSession.sparkContext
-        shared = sc.broadcast((*features.lookup(self.vocab, self.texts), self.weights, self.intercept))
+def predicted(f: Column) -> Column:
+    return F.when(f > 0, "Yes").otherwise("No")
+
+
+def score(f: Column) -> Column:
+    return 1 / (1 + F.exp(-f))
+
 
-        def margin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, idf, w, intercept = shared.value
-            for batch in batches:
-                sizes, index, weight = features.vectors(batch.column("_t").to_pylist(), known, idf)
-                f = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=weight * w[index], minlength=len(sizes)) + intercept
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(f)], names=[*batch.schema.names[:-1], "f"])
+def margins(models: Sequence[Linear], titles: DataFrame) -> DataFrame:
+    """`titles` with f, the values of models over one vocabulary, text by text over Arrow batches: no entry is moved."""
+    vocab, sc = models[0].vocab, models[0].vocab.sparkSession.sparkContext
+    shared = sc.broadcast((*features.lookup(vocab, models[0].texts), [(m.weights, m.intercept) for m in models]))
 
-        spread = features.plain(titles.repartition(sc.defaultParallelism))
-        return spread.mapInArrow(margin, T.StructType([*titles.schema.fields, T.StructField("f", T.DoubleType())]))
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf, weights = shared.value
+        for batch in batches:
+            sizes, index, weight = features.vectors(batch.column("_t").to_pylist(), known, idf)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            f = np.stack([np.bincount(row, weights=weight * w[index], minlength=len(sizes)) + b for w, b in weights], axis=1)
+            upto = np.arange(0, f.size + 1, len(weights), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(upto, pa.array(f.ravel()))], names=[*batch.schema.names[:-1], "f"])
+
+    spread = features.plain(titles.repartition(sc.defaultParallelism))
+    return spread.mapInArrow(some, T.StructType([*titles.schema.fields, T.StructField("f", T.ArrayType(T.DoubleType()))]))
 
 
 @dataclass
@@ -75,6 +84,7 @@ class Features:
     size: int
     entries: int
     blocks: DataFrame | None = None
+    sums: np.ndarray | None = None
 
     @property
     def rows(self) -> DataFrame:
@@ -107,39 +117,79 @@ def prepare(train: DataFrame, *, id_col: str = "id", max_features: int = 80_000)
     return Features(vocab, titles, texts, vocab.count(), entries)
 
 
-def logistic(data: Features, c_value: float, *, max_iter: int = 1_000, tol: float = 1e-8) -> Linear:
-    """L2-regularised logistic regression with balanced weights: least |w|^2 / 2 + C sum c log(1 + exp(-y f)); the intercept is free."""
+@dataclass(frozen=True)
+class Problem:
+    """What Newton's method is to find: least (|w|^2 + intercept_penalty * b^2) / 2 + C sum c loss."""
+
+    loss: Loss
+    c_value: float
+    intercept_penalty: float
+    max_iter: int
+    tol: float
+    link: str
 
+
+def logistic_problem(c_value: float, *, max_iter: int = 1_000, tol: float = 1e-8) -> Problem:
     def loss(y: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = y * f
         wrong = 1 / (1 + np.exp(np.minimum(m, 700.0)))
         return np.logaddexp(0.0, -m), -y * wrong, wrong * (1 - wrong)
 
-    return _fit(data, c_value, loss, 0.0, max_iter, tol, "probability")
+    return Problem(loss, c_value, 0.0, max_iter, tol, "probability")
+
+
+def squared_hinge_problem(c_value: float, *, max_iter: int = 300, tol: float = 1e-6) -> Problem:
+    def loss(y: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        slack = np.maximum(0.0, 1 - y * f)
+        return slack * slack, -2 * slack * y, 2.0 * (slack > 0)
+
+    return Problem(loss, c_value, 1.0, max_iter, tol, "sigmoid")
+
+
+def logistic(data: Features, c_value: float, **limits: float) -> Linear:
+    """L2-regularised logistic regression with balanced weights: least |w|^2 / 2 + C sum c log(1 + exp(-y f)); the intercept is free."""
+    return _fit(data, [logistic_problem(c_value, **limits)])[0]
+
+
+def squared_hinge(data: Features, c_value: float, **limits: float) -> Linear:
+    """Linear SVM: least |w, b|^2 / 2 + C sum c max(0, 1 - y f)^2, the intercept regularised too."""
+    return _fit(data, [squared_hinge_problem(c_value, **limits)])[0]
 
 
 def complement_nb(data: Features, alpha: float) -> Linear:
     """Complement naive Bayes: each class by the sums of the other; f is the difference of Yes and No."""
-    table = complement_sums(data.rows).toPandas()  # at most the vocabulary
-    sums = np.zeros((2, data.size))
-    sums[:, table["index"]] = table[["no", "yes"]].to_numpy().T
+    with _PREPARING:
+        if data.sums is None:
+            data.sums = _class_sums(data)
+    sums = data.sums
     logs = np.log(sums[::-1] + alpha) - np.log((sums[::-1] + alpha).sum(axis=1, keepdims=True))
     return Linear(data.vocab, logs[0] - logs[1], 0.0, data.texts, "probability")
 
 
-def complement_sums(rows: DataFrame) -> DataFrame:
-    """(index, no, yes): summed weights of the titles of each class."""
-    return rows.groupBy("index").agg(F.sum(F.when(F.col("y") == 0, F.col("weight")).otherwise(0.0)).alias("no"), F.sum(F.when(F.col("y") == 1, F.col("weight")).otherwise(0.0)).alias("yes"))
+def _class_sums(data: Features) -> np.ndarray:
+    """`complement_sums` as an array (no, yes) by index, summed over Arrow batches."""
+    size = data.size
 
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, size))
+        for batch in batches:
+            y, i, v = batch.columns
+            yes = np.repeat(y.to_numpy() == 1, i.value_lengths().to_numpy())
+            index, weight = i.flatten().to_numpy(), v.flatten().to_numpy()
+            sums += [np.bincount(index[yes == k], weights=weight[yes == k], minlength=size) for k in (False, True)]
+        at = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_pydict({"index": at, "no": sums[0, at], "yes": sums[1, at]})
+
+    parts = data.titles.select("y", "i", "v").mapInArrow(some, "index long, no double, yes double")
+    table = parts.groupBy("index").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).toPandas()  # at most the vocabulary
+    out = np.zeros((2, size))
+    out[:, table["index"].to_numpy(np.int64)] = table[["no", "yes"]].to_numpy(float).T
+    return out
 
-def squared_hinge(data: Features, c_value: float, *, max_iter: int = 300, tol: float = 1e-6) -> Linear:
-    """Linear SVM: least |w, b|^2 / 2 + C sum c max(0, 1 - y f)^2, the intercept regularised too."""
 
-    def loss(y: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        slack = np.maximum(0.0, 1 - y * f)
-        return slack * slack, -2 * slack * y, 2.0 * (slack > 0)
-
-    return _fit(data, c_value, loss, 1.0, max_iter, tol, "sigmoid")
+def complement_sums(rows: DataFrame) -> DataFrame:
+    """(index, no, yes): summed weights of the titles of each class."""
+    return rows.groupBy("index").agg(F.sum(F.when(F.col("y") == 0, F.col("weight")).otherwise(0.0)).alias("no"), F.sum(F.when(F.col("y") == 1, F.col("weight")).otherwise(0.0)).alias("yes"))
 
 
 def _blocks(data: Features, rows: int = 2_000) -> DataFrame:
@@ -155,7 +205,7 @@ def _blocks(data: Features, rows: int = 2_000) -> DataFrame:
     return cut_lineage(data.titles.select("y", "c", "i", "v").mapInArrow(pack, "y binary, c binary, sizes binary, i binary, v binary"))
 
 
-WHOLE = 10_000_000  # entries of the training table, of some 60 bytes each, up to which one task holds it and finds the weights by itself
+WHOLE = 10_000_000  # entries of the training table, of some 60 bytes each, that a task holds at most; up to so many in all, it finds the weights by itself
 _PREPARING = threading.Lock()  # fits may run side by side on the same table
 
 
@@ -175,20 +225,23 @@ class _Titles:
 
     def __init__(self, blocks: pd.DataFrame, size: int, loss: Loss, c_value: float, turned: bool = False) -> None:
         def joined(name: str, kind: type) -> np.ndarray:
-            return np.concatenate([np.frombuffer(b, kind) for b in blocks[name]])
+            return np.concatenate([np.zeros(0, kind), *(np.frombuffer(b, kind) for b in blocks[name])])
 
-        self.size, self.loss, self.turned = size, loss, turned
-        self.y, self.c, sizes = joined("y", float), joined("c", float) * c_value, joined("sizes", np.int64)
+        self.size, self.turned = size, turned
+        self.y, self.given, sizes = joined("y", float), joined("c", float), joined("sizes", np.int64)
         self.i, self.v = joined("i", np.int32).astype(np.intp), joined("v", float)
         self.filled = np.flatnonzero(sizes)  # a title without known grams has the intercept alone
         self.starts, self.row = (np.cumsum(sizes) - sizes)[self.filled], np.repeat(np.arange(len(sizes)), sizes)
-        self.by, self.f = None, np.zeros(0)
+        self.ask(loss, c_value)
         if turned:
             order, counts = np.argsort(self.i, kind="stable"), np.bincount(self.i, minlength=size)
             self.row, self.x = self.row[order], self.v[order]
             self.columns = np.flatnonzero(counts)
             self.tops = (np.cumsum(counts) - counts)[self.columns]
 
+    def ask(self, loss: Loss, c_value: float) -> None:
+        self.loss, self.c, self.by, self.f = loss, self.given * c_value, None, np.zeros(0)
+
     def margins(self, w: np.ndarray) -> np.ndarray:
         out = np.full(len(self.y), w[-1])
         out[self.filled] += _sums(w, self.i, self.v, self.starts)
@@ -211,20 +264,40 @@ class _Titles:
         return out
 
 
-def _merged(parts: Sequence[pd.DataFrame], size: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """The blocks with features of equal entries in all titles as one, the number of the one for each feature,
-    and how many it stands for.
+def _marks(parts: Sequence[pd.DataFrame], size: int, seed: int = 0) -> np.ndarray:
+    """Two random sums of each feature's entries, equal for features of equal entries in all titles."""
+    out, rng = np.zeros((2, size)), np.random.default_rng(seed)
+    for sizes, i, v in (x for part in parts for x in zip(part["sizes"], part["i"], part["v"])):
+        sizes, i, v = np.frombuffer(sizes, np.int64), np.frombuffer(i, np.int32), np.frombuffer(v, float)
+        for k in range(2):
+            out[k] += np.bincount(i, weights=v * np.repeat(rng.random(len(sizes)), sizes), minlength=size)
+    return out
+
+
+def _equal(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features that stand for equal ones, the number of the one for each feature, and how many it stands for.
 
     Equal features have equal weights at the optimum, so m of them are one with entries sqrt(m) times as
-    large, of the same loss and norm. Grams of one phrase are mostly such. Two random sums tell them."""
-    y, c, sizes, i, v = (np.concatenate([np.frombuffer(b, kind) for part in parts for b in part[name]]) for name, kind in (("y", float), ("c", float), ("sizes", np.int64), ("i", np.int32), ("v", float)))
-    rng = np.random.default_rng(0)
-    sums = np.stack([np.bincount(i, weights=v * np.repeat(rng.random(len(y)), sizes), minlength=size) for _ in range(2)], axis=1)
-    _, first, same, times = np.unique(sums, axis=0, return_index=True, return_inverse=True, return_counts=True)
-    same, kept = same.ravel(), np.isin(np.arange(size), first)[i]
-    sizes = np.bincount(np.repeat(np.arange(len(y)), sizes)[kept], minlength=len(y))
-    i = same[i[kept]].astype(np.int32)
-    return pd.DataFrame({k: [x.tobytes()] for k, x in (("y", y), ("c", c), ("sizes", sizes), ("i", i), ("v", v[kept] * np.sqrt(times)[i]))}), same, times
+    large, of the same loss and norm. Grams of one phrase are mostly such."""
+    _, first, same, times = np.unique(marks.T, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return first, same.ravel(), times
+
+
+def _reduced(parts: Sequence[pd.DataFrame], size: int, first: np.ndarray, same: np.ndarray, times: np.ndarray) -> pd.DataFrame:
+    """The blocks with equal features as one."""
+    stands, number, factor, rows = np.isin(np.arange(size), first), same.astype(np.int32), np.sqrt(times), []
+    for y, c, sizes, i, v in (x for part in parts for x in zip(*(part[k] for k in ("y", "c", "sizes", "i", "v")))):
+        sizes, i, v = np.frombuffer(sizes, np.int64), np.frombuffer(i, np.int32), np.frombuffer(v, float)
+        kept = stands[i]
+        sizes, i = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes)), number[i[kept]]
+        rows.append((y, c, sizes.tobytes(), i.tobytes(), (v[kept] * factor[i]).tobytes()))
+    return pd.DataFrame(rows, columns=["y", "c", "sizes", "i", "v"])
+
+
+def _merged(parts: Sequence[pd.DataFrame], size: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """The blocks with features of equal entries as one, the number of the one for each feature, and how many it stands for."""
+    first, same, times = _equal(_marks(parts, size))
+    return _reduced(parts, size, first, same, times), same, times
 
 
 def _state(t: _Titles, w: np.ndarray) -> np.ndarray:
@@ -244,34 +317,146 @@ def _along(t: _Titles, w: np.ndarray, d: np.ndarray, steps: np.ndarray) -> np.nd
     return np.array([t.c @ t.loss(t.y, f + step * more)[0] for step in steps])
 
 
-def _fit(data: Features, c_value: float, loss: Loss, intercept_penalty: float, max_iter: int, tol: float, link: str) -> Linear:
+_PARTS = (_state, _curved, _along)
+_WAIT = 900  # seconds without a word from another task after which a task gives up
+
+
+def _received(link: socket.socket, count: int, kind: type = float) -> np.ndarray:
+    out = np.empty(count, kind)
+    left = memoryview(out).cast("B")
+    while len(left):
+        got = link.recv_into(left)
+        if not got:
+            raise ConnectionError("another task of the fit has ended")
+        left = left[got:]
+    return out
+
+
+def _links(context: BarrierTaskContext) -> list[socket.socket]:
+    """Connections of task 0 to all others, in their order, and of each other task to task 0. Only who has the word
+    that Spark carried is let in, and nothing but numbers is read."""
+    rank, tasks = context.partitionId(), context.getTaskInfos()
+    host = tasks[0].address.rpartition(":")[0]
+    if rank:
+        port, word = context.allGather("")[0].split()
+        link = socket.create_connection((host, int(port)), timeout=_WAIT)
+        link.sendall(bytes.fromhex(word) + np.int64(rank).tobytes())
+        links = {0: link}
+    else:
+        word, links = secrets.token_bytes(32), {}
+        with socket.create_server((host, 0), backlog=len(tasks)) as server:
+            server.settimeout(_WAIT)
+            context.allGather(f"{server.getsockname()[1]} {word.hex()}")
+            while len(links) < len(tasks) - 1:
+                link, _ = server.accept()
+                link.settimeout(_WAIT)
+                try:
+                    known = hmac.compare_digest(_received(link, 32, np.uint8).tobytes(), word)
+                    links[int(_received(link, 1, np.int64)[0]) if known else -1] = link
+                except OSError:
+                    link.close()
+                links.pop(-1, link)  # who had another word is dropped
+    for link in links.values():
+        link.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+    return [links[k] for k in sorted(links)]
+
+
+def _lead(links: Sequence[socket.socket], parts: list[pd.DataFrame], size: int, problems: Sequence[Problem]) -> Iterator[np.ndarray]:
+    """The weights of one problem after another, found by task 0: it takes the steps, and the others give sums over the titles they hold."""
+
+    def say(*arrays: np.ndarray) -> None:
+        message = b"".join(a.tobytes() for a in arrays)
+        for link in links:
+            link.sendall(message)
+
+    marks = _marks(parts, size)
+    for link in links:
+        marks += _received(link, 2 * size).reshape(2, size)
+    first, same, times = _equal(marks)
+    say(np.array([len(times)]), first, same, times)
+    held = _take(parts, size, first, same, times, problems[0])
+    for k, problem in enumerate(problems):
+        held.ask(problem.loss, problem.c_value)
+        last: list[Any] = [None]  # the w that the others have
+
+        def run(part: Callable[..., np.ndarray], length: int, w: np.ndarray, *more: np.ndarray) -> np.ndarray:
+            given = [*([] if w is last[0] else [w]), *more]
+            say(np.array([k, _PARTS.index(part), len(given) > len(more), len(w), *(len(x) for x in more), *[0] * (2 - len(more))]), *given)
+            last[0], total = w, part(held, w, *more)
+            for link in links:
+                total += _received(link, length)
+            return total
+
+        u = _newton(run, np.append(np.ones(len(times)), problem.intercept_penalty), problem.max_iter, problem.tol)
+        yield np.append((u[:-1] / np.sqrt(times))[same], u[-1])
+    say(np.array([-1, 0, 0, 0, 0, 0]))
+
+
+def _follow(link: socket.socket, rank: int, parts: list[pd.DataFrame], size: int, problems: Sequence[Problem]) -> None:
+    """What the other tasks do: the sums that task 0 asks for."""
+    link.sendall(_marks(parts, size, rank).tobytes())
+    kinds = int(_received(link, 1, np.int64)[0])
+    first, same, times = (_received(link, n, np.int64) for n in (kinds, size, kinds))
+    held, at, w = _take(parts, size, first, same, times, problems[0]), 0, np.zeros(0)
+    while True:
+        k, part, new, length, *more = _received(link, 6, np.int64).tolist()
+        if k < 0:
+            return
+        if k != at:
+            held.ask(problems[k].loss, problems[k].c_value)
+            at = k
+        w = _received(link, length) if new else w
+        link.sendall(_PARTS[part](held, w, *(_received(link, n) for n in more if n)).tobytes())
+
+
+def _take(parts: list[pd.DataFrame], size: int, first: np.ndarray, same: np.ndarray, times: np.ndarray, problem: Problem) -> _Titles:
+    """The reduced blocks, held for many steps; the list of parts is emptied."""
+    merged = _reduced(parts, size, first, same, times)
+    parts.clear()
+    return _Titles(merged, len(times), problem.loss, problem.c_value, turned=True)
+
+
+def _slots(sc: SparkContext) -> int:
+    """How many tasks can run at once; 0 if that changes as it pleases the cluster."""
+    if sc.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
+        return 0
+    inner = sc._jsc.sc()
+    return inner.maxNumConcurrentTasks(inner.resourceProfileManager().defaultResourceProfile())
+
+
+def _fit(data: Features, problems: Sequence[Problem]) -> list[Linear]:
     """Newton's method over at most max_features weights. A training table of at most WHOLE entries is given
-    to one task, which needs one job; beyond that the driver takes the steps, and what they need are sums
-    over partitions, of which only one row per feature arrives."""
+    to one task, which needs one job. Larger ones are held by as many tasks as run at once, which find the
+    weights of all problems in one job. Beyond what these can hold, the driver takes the steps, and what they
+    need are sums over partitions, of which only one row per feature arrives."""
     spark, size = data.vocab.sparkSession, data.size
     with _PREPARING:
         if data.blocks is None:
             data.blocks = _blocks(data)
-    blocks = data.blocks
-    penalty = np.append(np.ones(size), intercept_penalty)
+    blocks, tasks = data.blocks, _slots(spark.sparkContext) if data.entries > WHOLE else 1
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
-        if parts:
-            merged, same, times = _merged(parts, size)
-            parts.clear()
-            held = _Titles(merged, len(times), loss, c_value, turned=True)
-            u = _newton(lambda part, length, *given: part(held, *given), np.append(np.ones(len(times)), intercept_penalty), max_iter, tol)
-            yield pd.DataFrame({"i": np.arange(size + 1), "g": np.append((u[:-1] / np.sqrt(times))[same], u[-1])})
-
-    def summed(part: Callable[..., np.ndarray], length: int, *given: np.ndarray) -> np.ndarray:
+        context = BarrierTaskContext.get() if tasks > 1 else None
+        links = _links(context) if context else []
+        try:
+            if context and context.partitionId():
+                _follow(links[0], context.partitionId(), parts, size, problems)
+            elif context or parts:
+                for k, w in enumerate(_lead(links, parts, size, problems)):
+                    yield pd.DataFrame({"k": k, "i": np.arange(size + 1), "g": w})
+        finally:
+            for link in links:
+                link.close()
+
+    def summed(problem: Problem, part: Callable[..., np.ndarray], length: int, *given: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(given)
 
         def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(length)
             for pdf in batches:
                 if len(pdf):
-                    total += part(_Titles(pdf, size, loss, c_value), *shared.value)
+                    total += part(_Titles(pdf, size, problem.loss, problem.c_value), *shared.value)
             at = np.flatnonzero(total)
             yield pd.DataFrame({"i": at, "g": total[at]})
 
@@ -281,13 +466,15 @@ def _fit(data: Features, c_value: float, loss: Loss, intercept_penalty: float, m
         out[got["i"].to_numpy(np.int64)] = got["g"].to_numpy(float)
         return out
 
-    w = np.zeros(size + 1)
-    if data.entries <= WHOLE:
-        got = blocks.coalesce(1).mapInPandas(whole, "i long, g double").toPandas()
-        w[got["i"].to_numpy(np.int64)] = got["g"].to_numpy(float)
+    found = np.zeros((len(problems), size + 1))
+    if data.entries <= WHOLE * tasks:
+        spread = blocks.repartition(tasks) if tasks > 1 else blocks.coalesce(1)
+        got = spread.mapInPandas(held, "k long, i long, g double", barrier=tasks > 1).toPandas()
+        found[got["k"].to_numpy(np.int64), got["i"].to_numpy(np.int64)] = got["g"].to_numpy(float)
     else:
-        w = _newton(summed, penalty, max_iter, tol)
-    return Linear(data.vocab, w[:size], float(w[size]), data.texts, link)
+        stepped = [lambda p=p: _newton(lambda *asked: summed(p, *asked), np.append(np.ones(size), p.intercept_penalty), p.max_iter, p.tol) for p in problems]
+        found[:] = side_by_side(stepped)
+    return [Linear(data.vocab, w[:size], float(w[size]), data.texts, p.link) for w, p in zip(found, problems)]
 
 
 def _newton(run: Callable[..., np.ndarray], penalty: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
@@ -344,19 +531,32 @@ def side_by_side(calls: Sequence[Callable[[], Any]], most: int = 6) -> list[Any]
         return [f.result() for f in [pool.submit(c) for c in calls]]
 
 
+PROBLEMS: dict[Callable[..., Linear], Callable[[float], Problem]] = {logistic: logistic_problem, squared_hinge: squared_hinge_problem}
+
+
+def fits(data: Features, wanted: Sequence[tuple[Callable[[Features, float], Linear], float]]) -> list[Linear]:
+    """The models of several (fit, value) on one table, in their order: side by side, but those of a table too large for one task together in one job."""
+    joint = [k for k, (fit, _) in enumerate(wanted) if fit in PROBLEMS and data.entries > WHOLE]
+    alone = [k for k in range(len(wanted)) if k not in joint]
+    calls: list[Callable[[], Any]] = [lambda k=k: wanted[k][0](data, wanted[k][1]) for k in alone]
+    if joint:
+        calls.append(lambda: _fit(data, [PROBLEMS[wanted[k][0]](wanted[k][1]) for k in joint]))
+    got = side_by_side(calls)
+    models = dict(zip(alone, got)) | (dict(zip(joint, got[-1])) if joint else {})
+    return [models[k] for k in range(len(wanted))]
+
+
 def selection(train: DataFrame, dev: DataFrame, *, families: dict[str, Any] | None = None, id_col: str = "id") -> DataFrame:
     """(model_name, position, parameter, value, dev_macro_f1, selected): every grid point's score on the
-    fixed development split; the first best of a family is selected. The fits run side by side."""
+    fixed development split; the first best of a family is selected. The fits run side by side, and all
+    models score a text at once."""
     data = prepare(train, id_col=id_col)
-    dev = cut_lineage(dev.where(F.col("gold_label").isin("Yes", "No") & F.col("title").isNotNull()).select(id_col, "title", "gold_label"))
-    x = cut_lineage(features.tfidf(features.term_frequencies(dev, id_col=id_col), data.vocab, data.texts, id_col=id_col))
+    dev = dev.where(F.col("gold_label").isin("Yes", "No") & F.col("title").isNotNull()).select("title", "gold_label")
     grid = [(fit, name, at, parameter, float(v)) for name, (parameter, values, fit) in (families or FAMILIES).items() for at, v in enumerate(values)]
-
-    def score(model: Linear) -> float:
-        return float(confusion(model.predict(dev, id_col=id_col, x=x), []).select(rates("observed")["macro_f1"].alias("f")).first().f)
-
-    scores = side_by_side([lambda fit=fit, v=v: score(fit(data, v)) for fit, *_, v in grid])
-    rows = [(*point, f) for (_, *point), f in zip(grid, scores)]
+    models = fits(data, [(fit, v) for fit, *_, v in grid])
+    each = margins(models, dev).select("gold_label", F.posexplode("f").alias("at", "f")).withColumn("pred_label", predicted(F.col("f")))
+    scores = {r["at"]: float(r.f) for r in confusion(each, ["at"]).select("at", rates("observed")["macro_f1"].alias("f")).collect()}
+    rows = [(*point, scores.get(k, 0.0)) for k, (_, *point) in enumerate(grid)]
     table = train.sparkSession.createDataFrame(rows, "model_name string, position int, parameter string, value double, dev_macro_f1 double")
     w = Window.partitionBy("model_name").orderBy(F.col("dev_macro_f1").desc(), "position")
     return table.withColumn("selected", F.row_number().over(w) == 1)

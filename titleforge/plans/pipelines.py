@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from titleforge.functions.text import KeywordRule
-from titleforge.operators import estimators, features, metrics, paired, resample, state
+from titleforge.operators import estimators, metrics, paired, resample, state
 from titleforge.operators.tables import positional_split
 from titleforge.session import cut_lineage
 
@@ -50,17 +50,13 @@ def classify_splits(train: DataFrame, held: DataFrame, last: DataFrame, *, round
     chosen = cut_lineage(estimators.selection(train, held, families=grid))
     data = estimators.prepare(train.unionByName(held))
     ruled = last.withColumn("r", rule.predict(F.col("title"))).select(F.lit("keyword_rule").alias("model_name"), "id", "ordinal", "title", "gold_label", F.col("r.label").alias("pred_label"), F.col("r.score").cast("double").alias("score_yes"))
-    predictions, tops, models = [ruled], [], {}
     best = chosen.where("selected").orderBy("model_name").collect()  # one row per family
-    fitted = estimators.side_by_side([lambda row=row: estimators.make_estimator(row.model_name)(data, row.value) for row in best])
-    x = cut_lineage(features.tfidf(features.term_frequencies(last), data.vocab, data.texts))
-    for row, model in zip(best, fitted):
-        models[row.model_name] = model
-        predictions.append(model.predict(last, x=x).select(F.lit(row.model_name).alias("model_name"), "id", "ordinal", "title", "gold_label", "pred_label", "score_yes"))
-        tops.append(estimators.top_features(model, row.model_name))
-    every = predictions[0]
-    for p in predictions[1:]:
-        every = every.unionByName(p)
+    models = dict(zip([row.model_name for row in best], estimators.fits(data, [(estimators.make_estimator(row.model_name), row.value) for row in best])))
+    tops, every = [estimators.top_features(model, name) for name, model in models.items()], ruled
+    if models:
+        names = F.array(*(F.lit(n) for n in models))
+        each = estimators.margins(list(models.values()), last).select(F.inline(F.arrays_zip(names.alias("model_name"), F.col("f"))), "id", "ordinal", "title", "gold_label")
+        every = ruled.unionByName(each.withColumn("pred_label", estimators.predicted(F.col("f"))).withColumn("score_yes", estimators.score(F.col("f"))).drop("f"))
     every = cut_lineage(every)
     by, names = ["model_name"], ("accuracy", "macro_f1")
     if rng == "numpy":
