@@ -354,6 +354,22 @@ def test_fits_take_few_passes(turned):
     assert np.linalg.norm(slope(w)) <= 1.1e-8 * np.linalg.norm(slope(np.zeros(size + 1))) and len(seen) < 300
 
 
+def test_curvature_is_taken_once_a_step():
+    """The products of one step share the losses' second derivatives."""
+    y, asked = np.array([1.0, -1.0, 1.0]), []
+    arrays = {"y": y, "c": np.ones(3), "sizes": np.ones(3, np.int64), "i": np.arange(3, dtype=np.int32), "v": np.ones(3)}
+
+    def loss(y, f):
+        asked.append(1)
+        return f, f, f + 2
+
+    held = estimators._Titles(pd.DataFrame({k: [x.tobytes()] for k, x in arrays.items()}), 3, loss, 2.0, turned=True)
+    for w, calls in ((np.zeros(4), 1), (np.ones(4), 2)):
+        for d in (np.ones(4), np.arange(4.0)):
+            assert np.allclose(estimators._curved(held, w, d)[:3], 2 * (w[:3] + w[3] + 2) * (d[:3] + d[3]))
+        assert len(asked) == calls
+
+
 def test_grid_is_fitted_side_by_side(small):
     """Fits that wait for each other end, and the scores are those of fits one by one."""
     together = threading.Barrier(3, timeout=60)

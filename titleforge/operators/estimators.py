@@ -240,7 +240,7 @@ class _Titles:
             self.tops = (np.cumsum(counts) - counts)[self.columns]
 
     def ask(self, loss: Loss, c_value: float) -> None:
-        self.loss, self.c, self.by, self.f = loss, self.given * c_value, None, np.zeros(0)
+        self.loss, self.c, self.by, self.f, self.bent = loss, self.given * c_value, None, np.zeros(0), None
 
     def margins(self, w: np.ndarray) -> np.ndarray:
         out = np.full(len(self.y), w[-1])
@@ -250,9 +250,16 @@ class _Titles:
     def at(self, w: np.ndarray) -> np.ndarray:
         """The margins at w, computed once for the same w."""
         if self.by is not w:
-            self.by, self.f = w, self.margins(w)
+            self.by, self.f, self.bent = w, self.margins(w), None
         return self.f
 
+    def curvature(self, w: np.ndarray) -> np.ndarray:
+        """The weighed second derivatives of the losses at w, computed once for the same w."""
+        f = self.at(w)
+        if self.bent is None:
+            self.bent = self.c * self.loss(self.y, f)[2]
+        return self.bent
+
     def summed(self, g: np.ndarray, power: int = 1) -> np.ndarray:
         """The sums of g times the entries, or their squares, per feature; the intercept last."""
         out = np.zeros(self.size + 1)
@@ -308,7 +315,7 @@ def _state(t: _Titles, w: np.ndarray) -> np.ndarray:
 
 def _curved(t: _Titles, w: np.ndarray, d: np.ndarray) -> np.ndarray:
     """The second derivatives at w times d."""
-    return t.summed(t.c * t.loss(t.y, t.at(w))[2] * t.margins(d))
+    return t.summed(t.curvature(w) * t.margins(d))
 
 
 def _along(t: _Titles, w: np.ndarray, d: np.ndarray, steps: np.ndarray) -> np.ndarray:
